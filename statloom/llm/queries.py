@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import budget, mixing, packing, split
+from statloom.llm import budget, mixing, packing, residue, split
 from statloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,9 +68,22 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.share_report(*mixing.mix(spark, table(spark, d, "documents"), table(spark, d, "mix_targets")))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.find_residue(table(spark, d, "documents"), ["doc_id"]).select("doc_id").distinct()
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    found = residue.find_residue(table(spark, d, "documents"), ["doc_id", "source", "lang"])
+    return found.select("doc_id", "source", "lang", "residue", "example")
+
+
+def p8_clean_corpus(spark: SparkSession, d: str) -> DataFrame:
+    return residue.find_residue(table(spark, d, "documents"), [], clean=True)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p4_token_budget, p4_chunk_verdicts, p5_found, p5_pieces, p5_pieces_tokens, p6_pack_small, p6_pack_large, p6_fill, p7_mix, p7_shares)
+    for f in (p4_token_budget, p4_chunk_verdicts, p5_found, p5_pieces, p5_pieces_tokens, p6_pack_small, p6_pack_large, p6_fill, p7_mix, p7_shares, p8_found, p8_report, p8_clean_corpus)
 }
 
 SQL: dict[str, str] = {
