@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from statloom.llm.budget import folded_source
 from statloom.llm.tokens import VOCABULARY, with_tokens
+from statloom.session import ensure_checkpoint_dir
 
 #: Tokens of a block, slots of an output shard, and hash ranges of a source.
 BLOCK_TOKENS, SHARD_SLOTS, RANGES = 1024, 256, 1024
@@ -114,7 +115,9 @@ def _blocks(sized: DataFrame, plan: DataFrame) -> DataFrame:
 
 def mix(spark: SparkSession, documents: DataFrame, targets: DataFrame, path: str = VOCABULARY, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(chosen records with their uses and output shards, quotas per source)."""
-    sized = sized_documents(documents, targets, path, seed)
+    ensure_checkpoint_dir(spark)
+    # numbers only; read several times below, and tokenized once
+    sized = sized_documents(documents, targets, path, seed).checkpoint()
     q = quotas(sized, targets)
     numbers = {s: i for i, s in enumerate(q["source"])}
     plan_rows = [(s, numbers[s], int(b), int(p), int(r), int(m or 1)) for s, b, p, r, m in zip(q["source"], q["blocks"], q["passes"], q["rest"], q["max_repeats"].fillna(1))]
@@ -145,7 +148,7 @@ def mix(spark: SparkSession, documents: DataFrame, targets: DataFrame, path: str
     ).join(F.broadcast(plan.select("source", "blocks")), "source")
     uses = uses.withColumn("place", F.col("use") * F.col("blocks") + F.col("slot"))
     dealt = uses.join(
-        deal_slots(spark, slots_per, seed).withColumnRenamed("source_number", "source_no"), ["source_no", "place"], "left"
+        deal_slots(spark, slots_per, seed).withColumnRenamed("source_number", "source_no").hint("merge"), ["source_no", "place"], "left"
     )
     # a short last slot may lie beyond the quota in blocks: it goes to the last shard
     last = max(0, -(-sum(slots_per) // SHARD_SLOTS) - 1)
