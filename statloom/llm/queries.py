@@ -7,12 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import budget, mixing, packing, residue, split
+from statloom.llm import budget, mixing, mojibake, packing, residue, scans, split
 from statloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _restored(spark: SparkSession, d: str) -> DataFrame:
+    both = [table(spark, d, t).select(F.lit(t).alias("src_table"), "raw_id", "text") for t in ("raw_statutes", "raw_taas")]
+    return mojibake.restore_texts(both[0].unionByName(both[1]), ["src_table", "raw_id"])
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _restored(spark, d).select("src_table", "raw_id").distinct()
+
+
+def p1_restored(spark: SparkSession, d: str) -> DataFrame:
+    return _restored(spark, d)
+
+
+def _scans(spark: SparkSession, d: str, **how) -> DataFrame:
+    taas = table(spark, d, "raw_taas").select("raw_id", "pdf_path", "text")
+    return scans.repair_scans(taas, scans.build_model(taas), ["raw_id", "pdf_path"], **how)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scans(spark, d, with_text=False).select("raw_id").distinct()
+
+
+def p3_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return _scans(spark, d)
+
+
 def p4_token_budget(spark: SparkSession, d: str) -> DataFrame:
     t = lambda n: table(spark, d, n)
     return budget.token_budget(t("documents"), t("graph_chunks"), t("graph_documents"), t("legal_chunks"))
@@ -83,7 +109,7 @@ def p8_clean_corpus(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p4_token_budget, p4_chunk_verdicts, p5_found, p5_pieces, p5_pieces_tokens, p6_pack_small, p6_pack_large, p6_fill, p7_mix, p7_shares, p8_found, p8_report, p8_clean_corpus)
+    for f in (p1_found, p1_restored, p3_found, p3_repaired, p4_token_budget, p4_chunk_verdicts, p5_found, p5_pieces, p5_pieces_tokens, p6_pack_small, p6_pack_large, p6_fill, p7_mix, p7_shares, p8_found, p8_report, p8_clean_corpus)
 }
 
 SQL: dict[str, str] = {
