@@ -23,12 +23,13 @@ from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-#: Bytes charged for each step of a chain, and the least gain that justifies one.
-STEP_COST, LEAST_GAIN, MOST_LAYERS, MOST_ROUNDS = 1, 1, 4, 5
+#: Bytes charged for each step of a chain and for a step between one-byte code pages, the least gain
+#: that justifies a chain, and how deep a chain may be.
+STEP_COST, SINGLE_COST, LEAST_GAIN, MOST_LAYERS, MOST_ROUNDS = 1, 1, 1, 4, 5
 
 #: Wrong reading of UTF-8 bytes, then wrong reading of Windows-1252 (Latin-1) bytes.
 STEPS: list[tuple[str, str]] = [
@@ -61,33 +62,39 @@ SEEDS = {
     ),
     "other": (
         "Müller Søn Großmann Straßenbau Ångström Łódź Köln Zürich Jürgen Bäcker Größe für über Öl Österreich Københavns Ærø Göteborg Malmö Čapek Dvořák Šimon Žižka Šťastný "
+        "São Tomé Logística SÃO TOMÉ LOGÍSTICA Compañía Ñandú Peña Niña Marítima Crème Brûlée Façade Pâtisserie Hôtel Bâtiment Brévière Cafetería Grâce Château "
         "ООО «Вектор» Москва Россия общество Київ 東海商事 株式会社 有限公司 北京 上海 ﾄｳｷｮｳ Αθήνα "
     ),
 }
-_LEVEL = 12
+_LEVEL = 19
 
 #: A run: non-ASCII characters and entities next to each other (letters may stand between accents).
-_RUN = re.compile(r"(?:[^\x00-\x7f]|&(?:#\d{2,5}|#x[0-9a-fA-F]{2,4}|[A-Za-z]{2,8}\d{0,2});)+")
+_RUN = re.compile(r"(?:[^\x00-\x7f�]|&(?:#\d{2,5}|#x[0-9a-fA-F]{2,4}|[A-Za-z]{2,8}\d{0,2});)+")
 _ENTITY = re.compile(r"&(?:#\d{2,5}|#x[0-9a-fA-F]{2,4}|[A-Za-z]{2,8}\d{0,2});")
 #: Characters that a sound text of the domain has by themselves; a text with no others is not searched.
 SOUND = "§’‘“”—–½¼¾¢°… "
-_CONTEXT = 14
+_CONTEXT = 5
 
 _SINGLE_OK = set("’‘“”—–§½¼¾°¢… éèêëáàâäãåíìîïóòôöõúùûüñçÉÈÁÀÂÃÍÓÔÕÚÑÇøØßæÆœŒ€£©®™•«»¿¡")
 
 
+def _wide(text: str) -> bytes:
+    """Two bytes a character, so that no sign is cheaper than another before compression."""
+    return text.encode("utf-16-le", "surrogatepass")
+
+
 @lru_cache(maxsize=1)
 def _compressors() -> list[tuple[str, zstandard.ZstdCompressor]]:
-    params = zstandard.ZstdCompressionParameters.from_level(_LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+    params = zstandard.ZstdCompressionParameters.from_level(_LEVEL, min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False)
     return [
-        (lang, zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(seed.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params))
+        (lang, zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(_wide(SEEDS["other"] * (lang != "other") + seed), dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params))
         for lang, seed in SEEDS.items()
     ]
 
 
 def description_length(text: str) -> int:
     """Bytes of the text under the language dictionary that fits it best."""
-    data = text.encode("utf-8", "surrogatepass")
+    data = _wide(text)
     return min(len(c.compress(data)) for _, c in _compressors())
 
 
@@ -124,7 +131,7 @@ def decoded(run: str, step: tuple[str, str], left: str = " ", right: str = " ")
         except UnicodeDecodeError:
             return _partly(data, wrong)
         return out if out != run and _printable(out) else None
-    if len(run) > 3:
+    if len(run) > 3 or any(c in "­¬‐‑" for c in run):  # the hyphens of scans
         return None
     try:
         out = data.decode(good)
@@ -186,21 +193,28 @@ def _fits(c: str, left: str, right: str) -> bool:
         return not left.isalpha() and not right.isalpha()
     if c in "¢°":
         return left.isdigit()
+    if c.isalpha():
+        return left.isalpha() or right.isalpha()
     return True
 
 
+_GONE = r"(?:[鈥窶]�|鈥斅�|â€�|�{1,4})"
 #: What a replacement character must have been, by its neighbours.
-_LOST = [
-    (re.compile(r"(?<=[A-Za-z])�{1,3}(?=s\b)"), "’"),
-    (re.compile(r"(?<=[ (\n])�{1,3}(?=[  ]?\d{3}\.\d)"), "§"),
-    (re.compile(r"(?<=[\n ])�{1,3}(?=[A-Za-z][A-Za-z -]{2,60}[.,]?�)"), "“"),
-    (re.compile(r"(?<=\.)�{1,3}(?=s\. \d|\n)"), "—"),
-    (re.compile(r"(?<=rights\.)�{1,3}"), "”"),
-    (re.compile(r"(?<=\d)�{1,2}(?= per gallon)"), "¢"),
-    (re.compile(r"(?<=60)�{1,2}(?=F\b)"), "°"),
-    (re.compile(r"\br�{1,2}sum�{1,2}(?=\W|$)"), "résumé"),
-    (re.compile(r"(?<=[a-z])�{1,3}(?=(?:including|shall|it is|and|or)\b)"), "—"),
-]
+_LOST = [(re.compile(p.replace("@", _GONE)), sign) for p, sign in (
+    (r"(?<=[A-Za-z])@(?=s\b)", "’"),
+    (r"(?<=§)�(?=\d)", "\u00a0"),
+    (r"(?<=[ (\n])@(?=[ \u00a0]?\d{3}\.\d)", "§"),
+    (r"(?<=[ (\n])�{4}(?=\d{3}\.\d)", "§\u00a0"),
+    (r"(?<=[\n ])@(?=[A-Za-z][A-Za-z -]{2,60}[.,]?@)", "“"),
+    (r"(“[A-Za-z][A-Za-z \n-]{1,60}[.,]?)@", r"\1”"),
+    (r"(?<=[.a-z])@(?=s\. \d|\n)", "—"),
+    (r"(?<=rights\.)@", "”"),
+    (r"(?<=\d)�{1,2}(?= per gallon)", "¢"),
+    (r"(?<=60)�{1,2}(?=F\b)", "°"),
+    (r"\br�{1,2}sum�{1,2}(?=\W|$)", "résumé"),
+    (r"(?<=[a-z])@(?=(?:including|shall|it is|and|or)\b)", "—"),
+    (r"(?<=exemption)@�{0,2}½?(?= of the rate)", "—½"),
+)]
 
 
 class Restored:
@@ -213,7 +227,8 @@ class Restored:
 
 
 def _windows(text: str, runs: list[re.Match], done: list[str]) -> str:
-    return "\n".join(text[max(0, m.start() - _CONTEXT) : m.start()] + d + text[m.end() : m.end() + _CONTEXT] for m, d in zip(runs, done))
+    """The distinct runs as they would read, each with a few characters around it."""
+    return "".join(dict.fromkeys(text[max(0, m.start() - _CONTEXT) : m.start()] + d + text[m.end() : m.end() + _CONTEXT] for m, d in zip(runs, done)))
 
 
 def _suspicious(run: str) -> bool:
@@ -236,7 +251,7 @@ def restore(text: str) -> Restored:
         chains: list[tuple[int, str, list[str]]] = []
         for step in STEPS:
             now = [r if "&" not in r else p for r, p in zip(opened, plain)]
-            for layer in range(1, MOST_LAYERS + 1):
+            for layer in range(1, MOST_LAYERS + 1 if step[1] == "utf-8" else 2):
                 new = [d if (d := decoded(r, step, *a)) is not None else r for r, a in zip(now, around)]
                 if new == now:
                     break
@@ -248,7 +263,7 @@ def restore(text: str) -> Restored:
         if chains:
             stays = description_length(_windows(text, runs, plain))
             for layer, name, done in chains:
-                length = description_length(_windows(text, runs, done)) + STEP_COST * layer
+                length = description_length(_windows(text, runs, done)) + STEP_COST * layer + (0 if ">utf-8" in name else SINGLE_COST)
                 if length + LEAST_GAIN <= stays and (best is None or length < best[0]):
                     best = (length, name, done)
         if best is None:
@@ -272,9 +287,8 @@ def restore(text: str) -> Restored:
     return out
 
 
-#: Texts without such a sign cannot be garbled; this is checked before Python sees them.
-def may_be_garbled(text: Column) -> Column:
-    return text.rlike(r"[^\x{00}-\x{7f}" + SOUND + r"é]|&[A-Za-z#][A-Za-z0-9]{1,7};(?:[^\x{00}-\x{7f}]|&)")
+#: Texts without such a sign cannot be garbled and are not looked at further.
+_MAY = re.compile(rf"[^\x00-\x7f{SOUND}é]|&[A-Za-z#][A-Za-z0-9]{{1,7}};(?:[^\x00-\x7f]|&)")
 
 
 def restore_texts(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -282,14 +296,13 @@ def restore_texts(df: DataFrame, keep: list[str], text: str = "text") -> DataFra
     extra = [StructField("chains", ArrayType(StringType())), StructField("n_lost", IntegerType()), StructField("restored_text", StringType())]
     names = [c for c in keep if c not in {f.name for f in extra}]
     schema = StructType([df.schema[c] for c in names] + extra)
-    source = df.select(*[F.col(f"`{c}`") for c in names], F.col(text).cast("string").alias("__text")).where(may_be_garbled(F.col("__text")))
+    source = df.select(*[F.col(f"`{c}`") for c in names], F.col(text).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, chains, lost, texts = [], [], [], []
             for r, t in enumerate(b.column(len(names)).to_pylist()):
-                x = restore(t)
-                if x.found:
+                if t and _MAY.search(t) and (x := restore(t)).found:
                     rows.append(r)
                     chains.append(x.chains)
                     lost.append(x.lost)
