@@ -29,7 +29,8 @@ def subsections(text: Column) -> Column:
     before the first marker and empty contents are dropped."""
     pattern = r"\n\((\d+)\)\n"
     markers = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    parts = F.slice(F.split(text, pattern), 2, 2147483647)
+    whole = F.split(text, pattern)
+    parts = F.slice(whole, F.lit(2), F.greatest(F.size(whole) - 1, F.lit(0)))
     pairs = F.zip_with(markers, parts, lambda m, p: F.struct(F.concat(F.lit("("), m, F.lit(")")).alias("marker"), _strip(p).alias("content")))
     return F.filter(pairs, lambda x: x["content"] != "")
 

@@ -228,7 +228,7 @@ SQL = {
     "cite_rules": f"SELECT doc_id, {_either(_RU, 'upper')} AS cited FROM documents",
     "cite_cases_chapters": r"SELECT DISTINCT id, array_to_string(list_sort(list_distinct(list_transform(list_zip(regexp_extract_all(full_citation, '(?i)(\d{1,4})\s+(So\.\s*[23]d|Fla\.\s*L\.\s*Weekly(?:\s*Supp\.)?|Fla\.)\s+(\d{1,5})', 1), regexp_extract_all(full_citation, '(?i)(\d{1,4})\s+(So\.\s*[23]d|Fla\.\s*L\.\s*Weekly(?:\s*Supp\.)?|Fla\.)\s+(\d{1,5})', 2), regexp_extract_all(full_citation, '(?i)(\d{1,4})\s+(So\.\s*[23]d|Fla\.\s*L\.\s*Weekly(?:\s*Supp\.)?|Fla\.)\s+(\d{1,5})', 3)), lambda m: m[1] || ' ' || m[2] || ' ' || m[3]))), '|') AS cases, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '(?i)(?:chapters?|ch\.)\s+(\d{1,3})', 1))), '|') AS chapters FROM legal_documents",
     "citation_forms": rf"SELECT DISTINCT c, {_NORMAL} AS normal, regexp_replace({_NORMAL}, '\([^)]*\)', '', 'g') AS base, CASE WHEN regexp_matches(c, '(?i)v\.\s+\w+|vs\.\s+\w+') THEN 'case' WHEN contains(lower(c), 'taa') OR contains(lower(c), 'technical assistance') THEN 'taa' WHEN contains(c, '§') OR contains(lower(c), 'statute') THEN 'statute' WHEN regexp_matches(c, '(?i)(?:Rule\s+|F\.?A\.?C\.?\s*R?\.?\s*)[\dA-Za-z.-]+') OR contains(lower(c), 'f.a.c') THEN 'rule' ELSE 'unknown' END AS kind, {_SECTION} AS section FROM ({_CITED}) WHERE c IS NOT NULL",
-    "chunk_subsections": rf"WITH x AS (SELECT raw_id, regexp_extract_all(text, '\n\((\d+)\)\n', 1) AS m, list_slice(regexp_split_to_array(text, '\n\(\d+\)\n'), 2, NULL) AS p FROM raw_statutes), y AS (SELECT raw_id, unnest(list_zip(m, p)) AS z, generate_subscripts(m, 1) AS i FROM x), w AS (SELECT raw_id, i, '(' || z[1] || ')' AS marker, {_STRIP.format('z[2]')} AS content FROM y) SELECT raw_id, (row_number() OVER (PARTITION BY raw_id ORDER BY i) - 1)::INT AS pos, marker, md5(content) AS content_md5 FROM w WHERE content <> ''",
+    "chunk_subsections": rf"WITH x AS (SELECT raw_id, regexp_extract_all(text, '\n\((\d+)\)\n', 1) AS m, regexp_split_to_array(text, '\n\(\d+\)\n')[2:] AS p FROM raw_statutes), y AS (SELECT raw_id, unnest(list_zip(m, p)) AS z, generate_subscripts(m, 1) AS i FROM x), w AS (SELECT raw_id, i, '(' || z[1] || ')' AS marker, {_STRIP.format('z[2]')} AS content FROM y) SELECT raw_id, (row_number() OVER (PARTITION BY raw_id ORDER BY i) - 1)::INT AS pos, marker, md5(content) AS content_md5 FROM w WHERE content <> ''",
     "resolve_tiers": f"WITH cited AS (SELECT c, count(*) AS n, {_SECTION} AS section FROM ({_CITED}) WHERE c IS NOT NULL GROUP BY c), idx AS (SELECT doc_id, coalesce(min(id) FILTER (ends_with(id, ':0')), min(id)) AS parent_chunk FROM legal_chunks GROUP BY doc_id) SELECT c, n, section, coalesce(a.doc_id, b.doc_id) AS target_doc_id, coalesce(a.parent_chunk, b.parent_chunk) AS target_chunk_id, CASE WHEN a.doc_id IS NOT NULL THEN 1.0 WHEN b.doc_id IS NOT NULL THEN 0.8 ELSE 0.0 END::DOUBLE AS confidence FROM cited LEFT JOIN idx a ON a.doc_id = 'statute:' || section LEFT JOIN idx b ON contains(section, '(') AND b.doc_id = 'statute:' || split_part(section, '(', 1)",
     "edges_once": f"SELECT edge_id, source_doc_id, target_doc_id, relation_type, loaded_at FROM ({_ONCE})",
     "edges_dedupe": f"SELECT source_doc_id, target_doc_id, relation_type, confidence, edge_id FROM ({_ONCE}) WHERE target_doc_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_doc_id, target_doc_id, relation_type ORDER BY confidence DESC, edge_id) = 1",
