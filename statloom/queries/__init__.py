@@ -6,7 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 #: Modules with QUERIES and SQL.
-FAMILIES = ("data", "ingest")
+FAMILIES = ("data", "ingest", "graph")
 
 
 def all_queries() -> dict[str, Callable]:
