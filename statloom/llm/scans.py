@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
+from statloom.session import ensure_checkpoint_dir
+
 #: A word or pair is in the model if at least one text in so many has it (and two texts at least).
 LEAST_SHARE = 2000
 
@@ -54,28 +56,45 @@ _FURNITURE = re.compile(
     rf"(?:[A-Z] ){{4,}}[A-Z](?:[ ]+(?:[A-Z] )+[A-Z])*|{_TAA} \(rev\.\)|[A-Z][\w ]{{2,40}},? cont[’'i]?n?[u’']?e?d\.?|(?:TAA|Taa) (?:NO|No)\. ?{_TAA}|DEPARTMENT OF [A-Z]+|"
     rf"[A-Z][A-Za-z ]{{8,50}} {_TAA}[ \t]{{2,}}{_NUM}"
 )
-_GLUED = re.compile(
-    rf"(?<=[^\s\f])(?:Page {_NUM}(?: of {_NUM})?|PAGE {_NUM}|p\. {_NUM}|\[{_NUM}\]|- {_NUM} -|\d{{1,3}}/\d{{1,3}}|{_TAA} \(rev\.\)|[A-Z][a-z]+, cont’d|DEPARTMENT OF REVENUE|(?:[A-Z] ){{4,}}[A-Z](?:  (?:[A-Z] )+[A-Z])*|Technical Assistance Advisement {_TAA} +{_NUM})(?=\n|\f|$)"
-    rf"|(?:(?<=\n)|(?<=\f)|\A)(?:Page {_NUM}(?: of {_NUM})?|PAGE {_NUM}|p\. {_NUM}|\[{_NUM}\]|- {_NUM} -|\d{{1,3}}/\d{{1,3}})(?=[A-Za-z“(][a-z’])"
+_TAIL = rf"(?:Page {_NUM}(?: of {_NUM})?|PAGE {_NUM}|p\. {_NUM}|\[{_NUM}\]|- {_NUM} -|\d{{1,3}}/\d{{1,3}})"
+_GLUED_END = re.compile(
+    rf"(?<=\S)(?:{_TAIL}|{_TAA} \(rev\.\)|[A-Z][a-z]+, cont’d|DEPARTMENT OF REVENUE|(?:[A-Z] ){{4,}}[A-Z](?:  (?:[A-Z] )+[A-Z])*|Technical Assistance Advisement {_TAA} +{_NUM})\Z"
 )
+_GLUED_START = re.compile(rf"{_TAIL}(?=[A-Za-z“(][a-z’])")
+_STARTS = frozenset("Pp[-0123456789")
 _BARE = re.compile(rf"{_NUM}")
 _SPACED = re.compile(r"(?<![^\s(“\"])(?:[^\W\d_](?: |\n)){3,}[^\W\d_](?![^\s.,;:)”])")
-_BROKEN = re.compile(r"([^\W\d_]+)([-­¬‐‑]|[^\w\s.,;:!?)\]”’\"'(]{1,6}|[^\x00-\x7f]{1,6}\??|\?)[ \t]*(?:\r?\n[ \t]*)+([^\W\d_]+)")
+_MARK = re.compile(r"(?<=[^\W\d_])([-­¬‐‑]|[^\w\s.,;:!?)\]”’\"'(]{1,6}|[^\x00-\x7f]{1,6}\??|\?)[ \t]*(?:\r?\n[ \t]*)+(?=[^\W\d_])")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_MIXED = re.compile(r"\d[Ol]|[Ol]\d|[Ol]{2}")
 _DIGITS = re.compile(r"(?<![A-Za-zÀ-ÿ\d])\$?(?=[\dOl.,]*\d)(?=[\dOl.,]*[Ol])(?:\d|[Ol](?=[\d.,Ol])|(?<=[\d.,Ol])[Ol]|[.,](?=[\dOl]))+(?![A-Za-zÀ-ÿ\d])")
 _CODES = re.compile(r"\b(?=[\dOl]{2}[A-Z][\dOl]{2}-[\dOl]{3}\b)(?=[\w-]*[Ol])[\dOl]{2}[A-Z][\dOl]{2}-[\dOl]{3}\b|\b(?=[\dOl]{2}[A-E]-)(?=[\w.-]*[Ol])[\dOl]{2}[A-E]-[\dOl]{1,2}\.[\dOl]{3}\b")
 
 
+_HYPHENATED = re.compile(r"[a-zà-ÿ]-[ \t]*\n\s*[a-zà-ÿ]")
+
+
+def _glued(line: str) -> list[tuple[int, int]]:
+    """Furniture that ran into the text at a line's start or end."""
+    out = []
+    if line[:1] in _STARTS and (m := _GLUED_START.match(line)):
+        out.append(m.span())
+    if line and (line[-1] in "])-ixvXVI" or line[-1].isdigit() or line[-1].isupper() or line.endswith("’d")) and (m := _GLUED_END.search(line, max(0, len(line) - 90))) and m.start():
+        out.append(m.span())
+    return out
+
+
 def obvious_traces(text: str) -> bool:
     """Traces that need no model; texts with them do not count into it."""
-    if "\f" in text or any(c in text for c in _SOFT) or _DIGITS.search(text) or _CODES.search(text) or _SPACED.search(text) or _GLUED.search(text):
+    if "\f" in text or any(c in text for c in _SOFT) or _HYPHENATED.search(text) or _SPACED.search(text):
         return True
-    if re.search(r"[a-zà-ÿ]-[ \t]*\n\s*[a-zà-ÿ]", text):
+    if _MIXED.search(text) and (_DIGITS.search(text) or _CODES.search(text)):
         return True
-    return any(_FURNITURE.fullmatch(line.strip()) for line in text.split("\n"))
+    return any(_glued(line) or (len(line) < 80 and _FURNITURE.fullmatch(line.strip())) for line in text.split("\n"))
 
 
 def words_of(text: str) -> list[str]:
-    return [w.lower() for w in _WORD.findall(text)]
+    return _WORD.findall(text.lower())
 
 
 @dataclass
@@ -85,6 +104,8 @@ class Model:
     words: dict[str, int]
     pairs: dict[tuple[str, str], int]
     total: int
+    #: Words without candidates met so far.
+    fine: set[str] = field(default_factory=set)
     _known: dict[str, list[tuple[str, float]]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -135,6 +156,15 @@ class Model:
             self._known[token] = found
         return found
 
+    def is_fine(self, word: str) -> bool:
+        """Nothing to correct: a number, a single letter, or a word without candidates."""
+        if len(word) > 1 and not word.isdigit() and len(self.candidates(word)) > 1:
+            return False
+        if len(self.fine) > 500_000:
+            self.fine.clear()
+        self.fine.add(word)
+        return True
+
     def decode(self, tokens: list[str]) -> list[str]:
         """Viterbi over the candidates of a line's tokens."""
         lattice = [self.candidates(t) if len(t) > 1 else [(t, 0.0)] for t in tokens]
@@ -183,12 +213,13 @@ def build_model(texts: DataFrame, text: str = "text") -> Model:
         yield out()
 
     counts = source.mapInArrow(run, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    total = counts.where("a = ''").agg(F.coalesce(F.max("n"), F.lit(0)).alias("total"))
-    kept = counts.join(F.broadcast(total)).where(F.col("n") >= F.greatest(F.lit(2), F.col("total") / LEAST_SHARE))
-    rows = kept.select("a", "b", "n").collect()  # bounded: see the module's text
+    ensure_checkpoint_dir(texts.sparkSession)
+    counts = counts.checkpoint()  # counted once, read twice
+    total = counts.where("a = ''").select("n").first()
+    rows = counts.where(F.col("n") >= max(2.0, (total["n"] if total else 0) / LEAST_SHARE)).collect()  # bounded: see the module's text
     words = {r["a"]: r["n"] for r in rows if r["a"] and not r["b"]}
     pairs = {(r["a"], r["b"]): r["n"] for r in rows if r["b"]}
-    return Model(words, pairs, max((r["n"] for r in rows if not r["a"]), default=1))
+    return Model(words, pairs, total["n"] if total and total["n"] else 1)
 
 
 def _list_line(lines: list[str], i: int) -> bool:
@@ -203,18 +234,19 @@ def _list_line(lines: list[str], i: int) -> bool:
 
 def furniture(text: str) -> list[tuple[int, int]]:
     """Spans of running headers, footers and page numbers."""
-    spans = [m.span() for m in _GLUED.finditer(text)]
+    spans: list[tuple[int, int]] = []
     lines, at = [], 0
-    for part in re.split(r"(\n|\f)", text):
-        if part not in ("\n", "\f"):
-            lines.append((at, part))
-        at += len(part)
+    for part in text.split("\n"):
+        for page in part.split("\f") if "\f" in part else (part,):
+            lines.append((at, page))
+            spans += [(at + lo, at + hi) for lo, hi in _glued(page)]
+            at += len(page) + 1
     shown = [x.strip() for _, x in lines]
-    masked = Counter(re.sub(r"\d+|\b[ivxl]+\b", "#", x) for x in shown if x)
+    masked = Counter(re.sub(r"\d+|\b[ivxl]+\b", "#", x) for x in shown if x and len(x) < 70 and (x[-1].isdigit() or x[-1] in "ivxl"))
     titles = {x[4:].strip().upper() for x in shown[:8] if x.startswith("Re: ")}
     odd = [False] * len(lines)
     for i, x in enumerate(shown):
-        if not x:
+        if not x or len(x) > 80:
             continue
         if _FURNITURE.fullmatch(x):
             odd[i] = True
@@ -222,7 +254,7 @@ def furniture(text: str) -> list[tuple[int, int]]:
             odd[i] = True
         elif re.fullmatch(rf"TAA {_TAA}", x) and shown.index(x) < i:
             odd[i] = True
-        elif masked[re.sub(r"\d+|\b[ivxl]+\b", "#", x)] > 1 and re.fullmatch(rf"[A-Z].{{3,60}}\b{_NUM}", x) and x[0].isupper() and not x.endswith(".") and re.search(r"(?: {2,}|\t|\bpage )", x, re.I):
+        elif len(x) < 70 and (x[-1].isdigit() or x[-1] in "ivxl") and masked[re.sub(r"\d+|\b[ivxl]+\b", "#", x)] > 1 and re.fullmatch(rf"[A-Z].{{3,60}}\b{_NUM}", x) and x[0].isupper() and not x.endswith(".") and re.search(r"(?: {2,}|\t|\bpage )", x, re.I):
             odd[i] = True
     for i, x in enumerate(shown):  # a number next to other furniture, or alone between blank lines
         if x and not odd[i] and _BARE.fullmatch(x):
@@ -241,9 +273,8 @@ def furniture(text: str) -> list[tuple[int, int]]:
     return sorted(spans)
 
 
-def _is_broken(m: re.Match, model: Model) -> str | None:
+def _is_broken(left: str, mark: str, right: str, model: Model) -> str | None:
     """The word that a line end broke, or None where the hyphen belongs to the wording."""
-    left, mark, right = m.group(1), m.group(2), m.group(3)
     if not right[0].islower() and not (left.isupper() and right.isupper()):
         return None
     joined = (left + right).lower()
@@ -288,6 +319,46 @@ def _like(token: str, word: str) -> str:
     return word[:1].upper() + word[1:] if token[:1].isupper() or (token[:1] in "l1" and word[:1] == "i") else word
 
 
+def _joined(text: str, model: Model) -> tuple[str, int]:
+    """Words broken at line ends in one piece, and how many."""
+    parts, at, n = [], 0, 0
+    for m in _MARK.finditer(text):
+        k = m.start()
+        while k > at and text[k - 1].isalpha():
+            k -= 1
+        right = _LETTERS.match(text, m.end())
+        word = _is_broken(text[k : m.start()], m.group(1), right.group(), model) if k < m.start() else None
+        if word is not None:
+            parts += [text[at:k], word]
+            at = right.end()
+            n += 1
+    return ("".join(parts) + text[at:], n) if n else (text, 0)
+
+
+def _corrected(lines: list[str], suspects: set[str], model: Model) -> int:
+    """Replaces misread words of the lines that hold suspects; how many."""
+    n = 0
+    for k, line in enumerate(lines):
+        low = line.lower()
+        found = list(_WORD.finditer(line))
+        if len(low) != len(line) or suspects.isdisjoint(m.group().lower() for m in found):
+            continue
+        tokens = [m.group().lower() for m in found]
+        if not line.isascii():  # letters next to damaged characters are no words
+            tokens = [t if _whole(line, m.start(), m.end()) else "" for m, t in zip(found, tokens)]
+        best = model.decode(tokens)
+        if best == tokens:
+            continue
+        parts, at = [], 0
+        for m, old, new in zip(found, tokens, best):
+            if old != new:
+                parts += [line[at : m.start()], _like(m.group(), new)]
+                at = m.end()
+                n += 1
+        lines[k] = "".join(parts) + line[at:]
+    return n
+
+
 def repair(text: str, model: Model) -> Repair:
     """A text without page traces, and how many of each kind there were."""
     out = Repair(text)
@@ -305,13 +376,6 @@ def repair(text: str, model: Model) -> Repair:
         if out.furniture:
             text = re.sub(r"\n[ \t]*(?:\n[ \t]*)+(?=[a-z(§$\d])", "\n", text)
 
-    def join(m: re.Match) -> str:
-        word = _is_broken(m, model)
-        if word is None:
-            return m.group()
-        out.broken += 1
-        return word
-
     def despace(m: re.Match) -> str:
         word = _despaced(m, model)
         if word is None:
@@ -319,7 +383,7 @@ def repair(text: str, model: Model) -> Repair:
         out.spaced += 1
         return word
 
-    text = _BROKEN.sub(join, text)
+    text, out.broken = _joined(text, model)
     if _SPACED.search(text):
         text = _SPACED.sub(despace, text)
 
@@ -327,25 +391,14 @@ def repair(text: str, model: Model) -> Repair:
         out.misread += 1
         return m.group().replace("O", "0").replace("l", "1")
 
-    text = _CODES.sub(digits, _DIGITS.sub(digits, text))
-    known, lines = model._known, text.split("\n")
-    for k, line in enumerate(lines):
-        found = list(_WORD.finditer(line))
-        tokens = [m.group().lower() for m in found]
-        if not line.isascii():  # letters next to damaged characters are no words
-            tokens = [t if _whole(line, m.start(), m.end()) else "" for m, t in zip(found, tokens)]
-        if all(len(t) < 2 or t.isdigit() or len(known.get(t) or model.candidates(t)) == 1 for t in tokens):
-            continue
-        best = model.decode(tokens)
-        if best == tokens:
-            continue
-        parts, at = [], 0
-        for m, old, new in zip(found, tokens, best):
-            if old != new:
-                parts += [line[at : m.start()], _like(m.group(), new)]
-                at = m.end()
-                out.misread += 1
-        lines[k] = "".join(parts) + line[at:]
+    if _MIXED.search(text):
+        text = _CODES.sub(digits, _DIGITS.sub(digits, text))
+    suspects = {w for w in set(words_of(text)) - model.fine if not model.is_fine(w)}
+    lines = text.split("\n")
+    if suspects:
+        out.misread += _corrected(lines, suspects, model)
+    if not out.scanned:
+        return out
     out.text = reflow(lines)
     return out
 
