@@ -186,7 +186,7 @@ def contains_share(answer: Column, phrases: Column) -> Column:
 
 def cited_sources(c: Column) -> Column:
     """What stands in ``[Source: …]``, in order."""
-    return F.transform(_all(c, r"\[Source:\s*([^\]]+)\]", 1), F.trim)
+    return F.transform(_all(c, r"\[Source:\s*([^\]]+)\]", 1), lambda x: F.trim(x))
 
 
 def bracket_safe_word_count(c: Column) -> Column:
