@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-# Schemas of raw records, one per kind.
+# Schemas of raw records, one per kind; numbers are read as text, since sources write them either way.
 _META = {
-    "statutes": "title string, title_number int, chapter int, chapter_name string, section string, section_name string, subsection string, effective_date string, history array<string>",
+    "statutes": "title string, title_number string, chapter string, chapter_name string, section string, section_name string, subsection string, effective_date string, history array<string>",
     "admin_code": "chapter string, rule_number string, title string, effective_date string, references_statutes array<string>, rulemaking_authority array<string>, law_implemented array<string>",
     "taa": "taa_number string, title string, issue_date string, tax_type string, tax_type_code string, topics array<string>, question string, answer string, statutes_cited array<string>, rules_cited array<string>",
-    "case_law": "case_name string, case_name_full string, citations array<string>, court string, court_id string, date_filed string, docket_number string, judges string, statutes_cited array<string>, cases_cited array<int>, cluster_id int",
+    "case_law": "case_name string, case_name_full string, citations array<string>, court string, court_id string, date_filed string, docket_number string, judges string, statutes_cited array<string>, cases_cited array<string>, cluster_id string",
 }
 _REST = {
     "statutes": "text string, html string", "admin_code": "text string, html string", "taa": "text string, pdf_path string", "case_law": "opinion_text string, opinion_html string, pdf_url string",
@@ -44,6 +44,10 @@ def typed(raw: DataFrame, run_ts: str, day_fields: tuple[str, ...] = ("effective
     for f in day_fields:
         if f in have:
             m = m.withField(f, F.try_to_date(F.substring_index(F.col(f"metadata.{f}"), "T", 1), "yyyy-MM-dd"))
+    numbers = {"title_number": "int", "cluster_id": "int", "cases_cited": "array<int>"} | ({"chapter": "int"} if "section" in have else {})
+    for f, kind in numbers.items():
+        if f in have:
+            m = m.withField(f, F.col(f"metadata.{f}").try_cast(kind))
     bare = F.regexp_replace(F.regexp_replace("scraped_at", r"(?:Z|[+-]\d{2}:?\d{2})$", ""), "T", " ")
     return raw.withColumn("metadata", m).withColumn("scraped_at", F.coalesce(F.try_to_timestamp(bare), F.lit(run_ts).cast("timestamp")))
 
