@@ -36,9 +36,9 @@ LEAST_SHARE = 2000
 #: What a scanner reads (left) for what was printed (right), with its cost in nats.
 CONFUSIONS: list[tuple[str, str, float]] = [
     ("1", "l", 2.5), ("1", "i", 3.0), ("0", "o", 2.5), ("5", "s", 2.5), ("8", "b", 3.0), ("6", "b", 4.0), ("9", "g", 3.5), ("l", "i", 3.0), ("i", "l", 3.5), ("l", "t", 4.5),
-    ("rn", "m", 3.0), ("nn", "m", 4.0), ("iii", "m", 3.5), ("c", "e", 3.0), ("o", "e", 4.5), ("e", "c", 4.0), ("cl", "d", 3.0), ("vv", "w", 2.5), ("f", "t", 3.0), ("t", "f", 4.0),
-    ("ii", "u", 2.5), ("li", "u", 3.5), ("h", "li", 3.5), ("b", "h", 3.0), ("h", "b", 3.5), ("q", "g", 3.0), ("ri", "n", 3.0), ("m", "rn", 3.5), ("y", "v", 4.0), ("v", "y", 4.0),
-    ("a", "o", 4.5), ("o", "a", 4.5), ("n", "u", 4.0), ("u", "n", 4.0), ("z", "2", 4.0), ("s", "5", 4.0), ("ó", "o", 3.5), ("|", "l", 2.5), ("!", "l", 3.5), ("tn", "m", 3.5), ("fi", "h", 4.5), ("lc", "k", 4.0), ("lo", "b", 4.5), ("ﬁ", "fi", 1.5), ("ﬂ", "fl", 1.5),
+    ("rn", "m", 3.0), ("nn", "m", 4.0), ("iii", "m", 3.5), ("c", "e", 3.0), ("e", "c", 4.0), ("cl", "d", 3.0), ("vv", "w", 2.5), ("f", "t", 3.0), ("t", "f", 4.0),
+    ("ii", "u", 2.5), ("li", "u", 3.5), ("h", "li", 3.5), ("b", "h", 3.0), ("h", "b", 3.5), ("q", "g", 3.0), ("ri", "n", 3.0), ("m", "rn", 3.5), 
+    ("z", "2", 4.0), ("s", "5", 4.0), ("ó", "o", 3.5), ("|", "l", 2.5), ("!", "l", 3.5), ("tn", "m", 3.5), ("fi", "h", 4.5), ("lc", "k", 4.0), ("lo", "b", 4.5), ("ﬁ", "fi", 1.5), ("ﬂ", "fl", 1.5),
 ]
 #: Most confusions in one word, a word's price for not being in the lexicon, and the least gain of a change.
 MOST_CONFUSIONS, UNKNOWN, LEAST_GAIN = 4, 16.0, 1.0
@@ -132,7 +132,7 @@ class Model:
         found = self._known.get(token)
         if found is None:
             best: dict[str, float] = {}
-            most = min(MOST_CONFUSIONS, 1 + len(token) // 2)
+            most = max(1, len(token) // 2 - 1)  # kinds of confusion in a word
             stack = [(0, "", 0.0, 0, frozenset())]
             steps = 0
             while stack and steps < 20_000:
@@ -144,10 +144,10 @@ class Model:
                     continue
                 if (more := made + token[at]) in self.prefixes:
                     stack.append((at + 1, more, cost, n, kinds))
-                if n < most:
+                if n < MOST_CONFUSIONS:
                     for seen, true, c in self.by_first.get(token[at], ()):
-                        if token.startswith(seen, at) and (more := made + true) in self.prefixes:
-                            again = (seen, true) in kinds  # a page misreads the same way again
+                        again = (seen, true) in kinds  # a page misreads the same way again
+                        if (again or len(kinds) < most) and token.startswith(seen, at) and (more := made + true) in self.prefixes:
                             stack.append((at + len(seen), more, cost + (0.5 if again else c), n + 1, kinds | {(seen, true)}))
             own = self.cost(token)
             found = [(token, 0.0)] + sorted(((w, c) for w, c in best.items() if self.cost(w) + c + LEAST_GAIN < own), key=lambda x: x[1])[:6]
@@ -308,9 +308,14 @@ class Repair:
 
 def _despaced(m: re.Match, model: Model) -> str | None:
     letters = re.sub(r"\s", "", m.group())
-    if letters.lower() in model or model.decode([letters.lower()])[0] in model or len(letters) >= 5:
+    known = lambda w: w.lower() in model or model.decode([w.lower()])[0] in model
+    if known(letters):
         return letters
-    return None
+    if letters[-1] in "aA" and known(letters[:-1]):  # the article that follows
+        return f"{letters[:-1]} {letters[-1]}"
+    if letters[0] in "aAI" and known(letters[1:]):
+        return f"{letters[0]} {letters[1:]}"
+    return letters if len(letters) >= 5 else None
 
 
 def _like(token: str, word: str) -> str:
