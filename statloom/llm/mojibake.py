@@ -31,6 +31,9 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 #: that justifies a chain, and how deep a chain may be.
 STEP_COST, SINGLE_COST, LEAST_GAIN, MOST_LAYERS, MOST_ROUNDS = 1, 1, 1, 4, 5
 
+#: Bytes charged for a sign that a language's dictionary does not hold.
+ESCAPE_COST = 1
+
 #: Wrong reading of UTF-8 bytes, then wrong reading of Windows-1252 (Latin-1) bytes.
 STEPS: list[tuple[str, str]] = [
     ("cp1252", "utf-8"), ("latin-1", "utf-8"), ("mac_roman", "utf-8"), ("cp437", "utf-8"), ("cp850", "utf-8"), ("cp1251", "utf-8"), ("gbk", "utf-8"), ("cp932", "utf-8"),
@@ -84,18 +87,22 @@ def _wide(text: str) -> bytes:
 
 
 @lru_cache(maxsize=1)
-def _compressors() -> list[tuple[str, zstandard.ZstdCompressor]]:
+def _compressors() -> list[tuple[str, zstandard.ZstdCompressor, frozenset[str]]]:
+    """Per language: its name, a compressor with its dictionary, and the dictionary's alphabet."""
     params = zstandard.ZstdCompressionParameters.from_level(_LEVEL, min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False)
-    return [
-        (lang, zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(_wide(SEEDS["other"] * (lang != "other") + seed), dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params))
-        for lang, seed in SEEDS.items()
-    ]
+    out = []
+    for lang, seed in SEEDS.items():
+        seed = SEEDS["other"] * (lang != "other") + seed
+        dictionary = zstandard.ZstdCompressionDict(_wide(seed), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        out.append((lang, zstandard.ZstdCompressor(dict_data=dictionary, compression_params=params), frozenset(seed)))
+    return out
 
 
 def description_length(text: str) -> int:
-    """Bytes of the text under the language dictionary that fits it best."""
-    data = _wide(text)
-    return min(len(c.compress(data)) for _, c in _compressors())
+    """Bytes of the text under the language dictionary that fits it best; a sign outside the
+    dictionary's alphabet has to be spelled out, which costs ``ESCAPE_COST`` more."""
+    data, signs = _wide(text), [c for c in text if c > "\x7f"]
+    return min(len(c.compress(data)) + ESCAPE_COST * sum(s not in alphabet for s in signs) for _, c, alphabet in _compressors())
 
 
 def _bytes(text: str, encoding: str) -> bytes | None:

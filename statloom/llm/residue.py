@@ -48,24 +48,24 @@ MARKERS = {
     "chevron": rf"<<\s*{_NAME}\s*>>",
     "guillemet": r"«[A-Z][a-z]+(?:[A-Z][a-z]+){1,4}»|«(?:[A-Z]+_[A-Z_]+|[A-Z]?[a-z]+_[a-z_]+)»",
     "guillemet_word": r"«[A-Z][a-z]+»",
-    "percent": r"(?<![\w%])%%?[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*%%?(?![\w%])",
-    "hash": r"(?<![\w#])##[A-Za-z][A-Za-z0-9]*(?:[_ ][A-Za-z0-9]+)*##(?![\w#])",
-    "underline": r"(?<!\w)__[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*__(?!\w)",
-    "tilde": r"(?<![\w~])~[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*~(?![\w~])",
-    "merge": r"\*\|[A-Z][A-Z0-9_:]*\|\*",
-    "dollars": r"\$\$[A-Z][A-Z0-9_]*\$\$",
-    "ats": r"@@[A-Za-z]\w*@@",
+    "percent": r"(?<![\w%])%%?[A-Z][A-Z0-9]*(?:[_.\-][A-Z0-9]+)*%%?(?![\w%])",
+    "hash": r"(?<![\w#])##[A-Za-z][A-Za-z0-9]*(?:[_ .\-][A-Za-z0-9]+)*##(?![\w#])",
+    "underline": r"(?<!\w)__[A-Z][A-Z0-9]*(?:[_.\-][A-Z0-9]+)*__(?!\w)",
+    "tilde": r"(?<![\w~])~[A-Z][A-Z0-9]*(?:[_.\-][A-Z0-9]+)*~(?![\w~])",
+    "merge": r"\*\|[A-Z][A-Z0-9_:.\-]*\|\*",
+    "dollars": r"\$\$[A-Z][A-Z0-9_.\-]*\$\$",
+    "ats": r"@@[A-Za-z][\w.\-]*@@",
     "format": r"%\([A-Za-z][\w.\-]*\)[sdrf]",
     "square": rf"\[\s*(?i:{_FILL})\s*\]",
     "round": r"\(\s*(?i:(?:insert|enter|inserte|insira|ins[ée]rer)\s+[A-Za-zÀ-ÿ][^()\n]{0,60}?)\s*\)",
-    "angle": r"<\s*(?i:(?:insert|enter|your)\s+[A-Za-z][^<>\n]{0,60}?)\s*>",
+    "angle": rf"<\s*(?i:{_FILL})\s*>",
     "angle_name": r"(?:<|&lt;)(?:[A-Z][A-Z0-9]{2,}(?:[_ ][A-Z0-9]+)*|[A-Z]{2,}_[A-Z_]+)(?:>|&gt;)",
     "square_name": r"\[(?!(?:SIC|RESERVED|SEAL|REPEALED|REDACTED|EMPHASIS|FOOTNOTE|CITATIONS?|INTERNAL|OMITTED|SEE|DELETED|VACANT|EXPIRED|TRANSFERRED|SIGNED|ILLEGIBLE|STAMP)\b)[A-Z]{3,}(?:[ _-][A-Z]{2,}){0,4}\]",
     "object": r"\[object Object\]",
-    "value": r"(?:" + "|".join(f"(?<={w} )" for w in _BEFORE_VALUE) + r")(?:undefined|NaN|null)(?=[\s,.;:)]|$)",
+    "value": r"(?:" + "|".join(f"(?<={re.escape(w)} )" for w in _BEFORE_VALUE) + r")(?:undefined|NaN|null)(?=[\s,.;:)]|$)|(?:\A|(?<=\n))(?:undefined|NaN|null)(?=\.?\s*(?:\n|\Z)|[ ,.])",
 }
 _OPENERS = re.compile(
-    r"\{|\[(?=[\[ A-Za-zÀ-ÿ][^\]\[]{2})|<(?=[<%?A-Z ]|insert|enter|your|Insert|Enter|Your)|%(?=[%(A-Z])|#[#{]|__(?=[A-Z])|~(?=[A-Z])|\*\||\$[${]|@[@{]|«(?=[A-Za-z])|!\{|&lt;(?=[A-Z])"
+    r"\{|\[(?=[\[ A-Za-zÀ-ÿ][^\]\[]{2})|<(?=[<%?A-Za-zÀ-ÿ ])|%(?=[%(A-Z])|#[#{]|__(?=[A-Z])|~(?=[A-Z])|\*\||\$[${]|@[@{]|«(?=[A-Za-z])|!\{|&lt;(?=[A-Z])"
     r"|\((?=[ ]*[IiEe]n(?:s|t)[eé])"
 )
 _VALUES = ("undefined", "NaN", "null")
@@ -96,7 +96,7 @@ _FILLER = re.compile(
     r"sustituya este (?:p[aá]rrafo|texto)|substitu[aí]r? (?:depois|este texto)|(?:dummy|filler|sample|placeholder) (?:text|copy|content|paragraph)\b(?= (?:goes here|here\b|to be|for (?:layout|position)))|"
     r"(?:your|body|main|some) (?:text|content|copy) (?:goes )?here|(?:text|content|section|body|page) (?:goes here|to be (?:added|written|supplied|provided) (?:later|here|by))|"
     r"(?:^|[\n.] ?)\s*(?:TBD|TBA|TODO|FIXME)[.:]|to be written by\b|page (?:is )?under construction|under construction\. check back|(?:content|details|more|text) coming soon|coming soon\b[.!]|"
-    r"(?:^|\n)\s*check back (?:later|soon)|p[aá]gina en construcci[oó]n|p[aá]gina em constru[cç][aã]o|page en construction|en cours de r[eé]daction|replace this (?:text|paragraph|sentence)|"
+    r"(?:^|\n)\s*check back (?:later|soon)|p[aá]gina en construcci[oó]n|p[aá]gina em constru[cç][aã]o|page en construction|en cours de r[eé]daction|replace (?:this (?:text|paragraph|sentence)|before publishing)|(?:sample|dummy|placeholder|filler) (?:content|text|copy|paragraph)[.!](?=\s|$)|"
     r"this is (?:a |some )?(?:dummy|filler|sample|placeholder|test) (?:text|paragraph|page|content|document)\b|hello,? world|(?:paragraph|section) \d+ text (?:paragraph|section) \d+ text|"
     r"aqu[ií] va (?:el|su|o) (?:contenido|texto)|aqui vai o (?:conte[uú]do|texto)|ici (?:le|votre) (?:contenu|texte)|(?:add|write|put|type) your (?:\w+ )?(?:introduction|text|content|summary|paragraph|title|heading|description)\b",
     re.I,
@@ -220,10 +220,12 @@ def markers(text: str) -> list[tuple[str, int, int]]:
     if not used and len(sure) > MOST_TALKED_ABOUT:
         used = sure
     if not used:  # a lone word in guillemets is a marker in English text, else a quotation
-        used = [x for x in found if x[0] == "guillemet_word" and _english(text, x[1], x[2]) and not _ABOUT.search(_sentence(text, x[1], x[2]))]
+        used = [x for x in found if x[0] == "guillemet_word" and (text[x[1] + 1 : x[2] - 1] in _SLOTS or _english(text, x[1], x[2])) and not _ABOUT.search(_sentence(text, x[1], x[2]))]
     return used
 
 
+#: Names that a slot has in a template, whatever the language around it.
+_SLOTS = frozenset("Address Amount City County Date Dealer Id Lease Name Notice Number Officer Owner Parcel Period Rate Refund Return Status Taxpayer Text Title Total".split())
 _ENGLISH = re.compile(r"\b(?:the|of|and|to|is|by|for|that|a|an|in|on|at)\b", re.I)
 
 
@@ -249,7 +251,7 @@ def filler(text: str, low: str, hits: dict[str, list[int]]) -> list[tuple[str, i
 
 #: Each stock sentence holds one of these.
 _FILLER_HINTS = (
-    "quick brown", "texto de ", "texto prov", "texte prov", "textes prov", "texte de", "texte d’", "texte d'", "texte factice", "sustituya", "substituir", "dummy ", "filler ", "placeholder ", "sample text", "sample copy", "sample page", "goes here", "text here", "content here", "copy here", "tbd.", "tbd:", "tba.", "tba:", "todo:", "todo.", "fixme",
+    "quick brown", "texto de ", "texto prov", "texte prov", "textes prov", "texte de", "texte d’", "texte d'", "texte factice", "sustituya", "substituir", "dummy ", "filler ", "placeholder ", "sample text", "sample copy", "sample page", "sample content", "sample paragraph", "before publishing", "goes here", "text here", "content here", "copy here", "tbd.", "tbd:", "tba.", "tba:", "todo:", "todo.", "fixme",
     "to be written", "to be added", "to be supplied", "to be provided", "under construction", "coming soon", "check back", "en construcci", "em constru", "en cours de r", "replace this",
     "hello", "aragraph 1 text", "aragraph 2 text", "section 1 text", "this is a ", "this is some ", "aquí va", "aqui vai", "ici le ", "add your", "write your", "your text",
 )
