@@ -42,7 +42,7 @@ def decompose(queries: DataFrame, complete: Completer) -> DataFrame:
 def scored_relevance(results: DataFrame, score: Completer) -> DataFrame:
     """Relevance of each result from a model's 0 to 10, as 0 to 1; 0.5 where the reply is no number."""
     n = F.try_to_number(F.regexp_extract(score(F.concat_ws("\n", "query", "text")), r"(\d+(?:\.\d+)?)", 1), F.lit("99.99"))
-    return results.withColumn("relevance", F.coalesce(F.least(F.lit(1.0), n.cast("double") / 10), F.lit(0.5)))
+    return results.withColumn("relevance", F.when(n.isNull(), 0.5).otherwise(F.least(F.lit(1.0), n.cast("double") / 10)))
 
 
 def embedded(texts: DataFrame, cache: DataFrame, embed: Callable[[list[str]], list[list[float]]], key: str, dimension: int, batch: int = 72) -> DataFrame:
