@@ -65,8 +65,12 @@ def related(edges: DataFrame, limit: int | None = 5) -> DataFrame:
 
 
 def interpretation_chain(verts: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per statute: its implementing rules, and the cases and advisements that interpret it or one of
-    those rules, each as a sorted list of ids."""
+    """(statute, part, other): of each statute its implementing rules (part 0), and the cases (1) and
+    advisements (2) that interpret it or one of those rules.
+
+    One row per link, so a statute that most of the corpus cites is spread over tasks; lists of a
+    bounded length are made by :func:`chain_lists`.
+    """
     kind = verts.select("id", "doc_type")
     typed = edges.join(kind.withColumnRenamed("id", "src").withColumnRenamed("doc_type", "src_type"), "src").join(
         kind.withColumnRenamed("id", "dst").withColumnRenamed("doc_type", "dst_type"), "dst"
@@ -74,22 +78,17 @@ def interpretation_chain(verts: DataFrame, edges: DataFrame) -> DataFrame:
     rules = typed.where((F.col("src_type") == "rule") & (F.col("dst_type") == "statute") & F.col("relation").isin(*IMPLEMENTING)).select(
         F.col("dst").alias("statute"), F.col("src").alias("rule")
     ).distinct()
-    reading = typed.where(F.col("src_type").isin("case", "taa") & F.col("relation").isin(*INTERPRETING))
-    direct = reading.where("dst_type = 'statute'").select(F.col("dst").alias("statute"), F.col("src").alias("reader"), F.col("src_type").alias("kind"))
-    by_rule = reading.where("dst_type = 'rule'").select(F.col("dst").alias("rule"), F.col("src").alias("reader"), F.col("src_type").alias("kind")).distinct().join(rules, "rule").select("statute", "reader", "kind")
-    readers = direct.union(by_rule).distinct()
-    rules_of = rules.groupBy("statute").agg(F.array_sort(F.collect_set("rule")).alias("rules"))
-    readers_of = readers.groupBy("statute").agg(
-        F.array_sort(F.collect_set(F.when(F.col("kind") == "case", F.col("reader")))).alias("cases"),
-        F.array_sort(F.collect_set(F.when(F.col("kind") == "taa", F.col("reader")))).alias("taas"),
-    )
-    none = F.array().cast("array<string>")
-    return (
-        kind.where("doc_type = 'statute'").select(F.col("id").alias("statute"))
-        .join(rules_of, "statute", "left")
-        .join(readers_of, "statute", "left")
-        .select("statute", *[F.coalesce(c, none).alias(c) for c in ("rules", "cases", "taas")])
-    )
+    reading = typed.where(F.col("src_type").isin("case", "taa") & F.col("relation").isin(*INTERPRETING)).withColumn("part", F.when(F.col("src_type") == "case", 1).otherwise(2))
+    direct = reading.where("dst_type = 'statute'").select(F.col("dst").alias("statute"), "part", F.col("src").alias("other"))
+    by_rule = reading.where("dst_type = 'rule'").select(F.col("dst").alias("rule"), "part", F.col("src").alias("other")).distinct().join(rules, "rule").select("statute", "part", "other")
+    return rules.select("statute", F.lit(0).alias("part"), F.col("rule").alias("other")).union(direct).union(by_rule).distinct()
+
+
+def chain_lists(chain: DataFrame, most: int = 20) -> DataFrame:
+    """Per statute and part: how many links there are and the first ``most`` in id order."""
+    w = Window.partitionBy("statute", "part").orderBy("other")
+    first = chain.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).groupBy("statute", "part").agg(F.array_sort(F.collect_list("other")).alias("first"))
+    return chain.groupBy("statute", "part").agg(F.count("*").alias("n")).join(first, ["statute", "part"])
 
 
 def authority_rules(verts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -186,7 +185,8 @@ def expansion(verts: DataFrame, edges: DataFrame, most: int = 5) -> DataFrame:
     """Related documents of every document by its kind: a statute's rules, cases and advisements in
     this order; a rule's statutes, then what cites it; a case's cited documents; else both sides."""
     chain = interpretation_chain(verts, edges)
-    statute = chain.select(F.col("statute").alias("id"), F.posexplode(F.concat("rules", "cases", "taas")).alias("pos", "other"))
+    by_part = Window.partitionBy("statute").orderBy("part", "other")
+    statute = chain.withColumn("pos", F.row_number().over(by_part) - 1).where(F.col("pos") < most).select(F.col("statute").alias("id"), "pos", "other")
     kind = verts.select("id", "doc_type")
 
     def ranked(pairs: DataFrame) -> DataFrame:

@@ -43,8 +43,12 @@ def related_top5(spark, d):
 
 
 def impl_chain(spark, d):
-    c = graph.interpretation_chain(*_graph(spark, d))
-    return c.select("statute", *[F.array_join(x, ",").alias(x) for x in ("rules", "cases", "taas")])
+    return graph.interpretation_chain(*_graph(spark, d))
+
+
+def impl_chain_lists(spark, d):
+    c = graph.chain_lists(graph.interpretation_chain(*_graph(spark, d)))
+    return c.select("statute", "part", "n", F.array_join("first", ",").alias("first"))
 
 
 def authority_rules(spark, d):
@@ -90,7 +94,7 @@ def expansion_top5(spark, d):
 
 
 _F = (
-    graph_vertices, graph_load_report, graph_not_unique, graph_citing, graph_cited, related_top5, impl_chain, authority_rules, chapter_statutes, chunk_parents, chunk_siblings,
+    graph_vertices, graph_load_report, graph_not_unique, graph_citing, graph_cited, related_top5, impl_chain, impl_chain_lists, authority_rules, chapter_statutes, chunk_parents, chunk_siblings,
     doc_with_chunks, chunk_detail, citation_contexts, graph_degrees, shortest_paths, expansion_top5,
 )
 QUERIES = {f.__name__: f for f in _F}
@@ -114,7 +118,8 @@ SQL = {
     "graph_citing": f"WITH {_E} SELECT id, count(*) AS n, min(other) AS first FROM citing GROUP BY id",
     "graph_cited": f"WITH {_E} SELECT id, count(*) AS n, min(other) AS first FROM cited GROUP BY id",
     "related_top5": f"WITH {_E}, b AS (SELECT * FROM cited UNION SELECT * FROM citing) SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY other)::INT AS rank FROM b QUALIFY rank <= 5",
-    "impl_chain": f"WITH {_CHAIN}, r1 AS (SELECT statute, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules FROM ru GROUP BY 1), r2 AS (SELECT statute, string_agg(DISTINCT reader, ',' ORDER BY reader) FILTER (st = 'case') AS cases, string_agg(DISTINCT reader, ',' ORDER BY reader) FILTER (st = 'taa') AS taas FROM rd GROUP BY 1) SELECT id AS statute, coalesce(rules, '') AS rules, coalesce(cases, '') AS cases, coalesce(taas, '') AS taas FROM v LEFT JOIN r1 ON r1.statute = id LEFT JOIN r2 ON r2.statute = id WHERE doc_type = 'statute'",
+    "impl_chain": f"WITH {_CHAIN} SELECT DISTINCT statute, 0 AS part, rule AS other FROM ru UNION ALL SELECT DISTINCT statute, CASE st WHEN 'case' THEN 1 ELSE 2 END, reader FROM rd",
+    "impl_chain_lists": f"WITH {_CHAIN}, x AS (SELECT DISTINCT statute, 0 AS part, rule AS other FROM ru UNION ALL SELECT DISTINCT statute, CASE st WHEN 'case' THEN 1 ELSE 2 END, reader FROM rd), y AS (SELECT *, row_number() OVER (PARTITION BY statute, part ORDER BY other) AS n FROM x) SELECT statute, part, count(*) AS n, string_agg(other, ',' ORDER BY n) FILTER (n <= 20) AS first FROM y GROUP BY 1, 2",
     "authority_rules": f"WITH {_E} SELECT src AS rule, string_agg(DISTINCT dst, ',' ORDER BY dst) AS statutes FROM e JOIN v a ON a.id = src AND a.doc_type = 'rule' JOIN v b ON b.id = dst AND b.doc_type = 'statute' WHERE relation = 'authority' GROUP BY src",
     "chapter_statutes": f"WITH {_V} SELECT chapter, section, id, row_number() OVER (PARTITION BY chapter ORDER BY section NULLS LAST, id)::INT AS position FROM v WHERE doc_type = 'statute' AND chapter IS NOT NULL",
     "chunk_parents": f"WITH {_CH} SELECT c.id, c.parent_chunk_id, p.id IS NOT NULL AS parent_found FROM ch c LEFT JOIN ch p ON c.parent_chunk_id = p.id WHERE c.level = 'child'",

@@ -84,8 +84,9 @@ def test_shortest_paths_on_a_small_graph(spark):
 def test_chain_takes_the_two_hop_readers(spark):
     v = spark.createDataFrame([("s", "statute"), ("r", "rule"), ("c", "case"), ("t", "taa")], "id string, doc_type string")
     e = spark.createDataFrame([("r", "s", "implements"), ("c", "r", "interprets"), ("t", "s", "cites")], "src string, dst string, relation string")
-    row = graph.interpretation_chain(v, e).first()
-    assert (row.rules, row.cases, row.taas) == (["r"], ["c"], ["t"])
+    chain = graph.interpretation_chain(v, e)
+    assert {(r.part, r.other) for r in chain.collect()} == {(0, "r"), (1, "c"), (2, "t")}
+    assert {(r.part, r.n, tuple(r.first)) for r in graph.chain_lists(chain, 1).collect()} == {(0, 1, ("r",)), (1, 1, ("c",)), (2, 1, ("t",))}
 
 
 def test_limiter_and_cache_against_a_loop(spark, sf):
