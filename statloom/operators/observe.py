@@ -9,13 +9,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Value ranges that an exact selection cuts each group into.
+RANGES = 256
+
+
 def percentile_at(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """The value at index ``int(n x p)`` of the sorted values (n - 1 at most), by ranks instead of
-    collected lists, so a group may have any size."""
-    w = Window.partitionBy(*by)
-    ranked = df.select(*by, value, (F.row_number().over(w.orderBy(value)) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    at = {name: F.least(F.floor(F.col("n") * p), F.col("n") - 1) for name, p in shares.items()}
-    return ranked.groupBy(*by).agg(*[F.max(F.when(F.col("i") == i, F.col(value))).alias(name) for name, i in at.items()])
+    """The value at index ``int(n x p)`` of the sorted values (n - 1 at most), per group; exact.
+
+    Selection instead of sorting a group: equal values are counted map-side, approximate quantiles
+    cut each group into ranges, the ranges' counts tell which one holds an index, and only those
+    ranges are ordered.  So a group may be most of the data without being one task's work.  Null
+    values do not count; rows with a null group key form a group of their own.
+    """
+    same = lambda l, r, cols: [F.col(f"{l}.{c}").eqNullSafe(F.col(f"{r}.{c}")) for c in cols]
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
+    cuts = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    groups = counts.groupBy(*by).agg(F.percentile_approx(value, cuts).alias("cuts"), F.sum("c").alias("n"))
+    marked = counts.alias("a").join(groups.alias("g"), same("a", "g", by)).select(
+        *[f"a.{c}" for c in by], f"a.{value}", "c", "n", F.size(F.filter("cuts", lambda x: x < F.col(f"a.{value}"))).alias("range")
+    )
+    before = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows a group
+    ranges = marked.groupBy(*by, "range").agg(F.sum("c").alias("in_range"), F.first("n").alias("n")).withColumn("start", F.coalesce(F.sum("in_range").over(before), F.lit(0)))
+    at = F.array(*[F.struct(F.lit(name).alias("name"), F.least(F.floor(F.col("n") * p), F.col("n") - 1).alias("i")) for name, p in shares.items()])
+    wanted = ranges.select(*by, "range", "start", "in_range", F.inline(at)).where("i >= start and i < start + in_range")
+    cols = [*by, "range"]
+    near = marked.alias("a").join(wanted.alias("w"), same("a", "w", cols)).select(*[f"a.{c}" for c in cols], f"a.{value}", "c", "name", "i", "start")
+    upto = F.col("start") + F.sum("c").over(Window.partitionBy(*cols, "name").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    found = near.withColumn("upto", upto).where("i < upto and i >= upto - c")
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("name") == name, F.col(value))).alias(name) for name in shares])
 
 
 def latency_summary(df: DataFrame, by: list[str], value: str, failed: Column) -> DataFrame:

@@ -104,6 +104,13 @@ def test_percentile_index(spark):
     df = spark.createDataFrame([("a", float(i)) for i in range(10)], "k string, v double")
     r = observe.percentile_at(df, ["k"], "v", {"p50": 0.5, "p95": 0.95}).first()
     assert (r.p50, r.p95) == (5.0, 9.0)
+    many = spark.range(20000).select(F.when(F.col("id") % 7 > 0, "x").alias("k"), F.when(F.col("id") % 3 > 0, F.col("id") % 977).cast("double").alias("v"))
+    shares = {"p0": 0.0, "p33": 0.33, "p50": 0.5, "p99": 0.99, "p100": 1.0}
+    got = {r.k: r for r in observe.percentile_at(many, ["k"], "v", shares).collect()}
+    for k, g in many.toPandas().groupby("k", dropna=False):
+        v = sorted(g["v"].dropna())
+        row = got[None if k != k or k is None else k]
+        assert [row[n] for n in shares] == [v[min(int(len(v) * p), len(v) - 1)] for p in shares.values()]
 
 
 def test_corrections_replace_only_the_first(spark):
