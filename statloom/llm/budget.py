@@ -12,7 +12,7 @@ function words lead clearly, else ``und``; rows without a source or domain are r
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statloom.llm.tokens import VOCABULARY, with_tokens
@@ -34,29 +34,33 @@ def folded_language(declared: Column, found: Column) -> Column:
     return F.coalesce(found, d, F.lit("und"))
 
 
-def _first_of_text(df: DataFrame, key: str) -> DataFrame:
-    """Adds ``first``: is this the row with the least key among those of equal text."""
-    w = Window.partitionBy("text_hash").orderBy(key)
-    return df.withColumn("first", F.coalesce(F.row_number().over(w) == 1, F.lit(True)))
+#: Salts of joins on a document's id, which may be that of a third of all chunks.
+SALTS = 8
+
+
+def _mark_first(df: DataFrame, hashed: DataFrame, key: str) -> DataFrame:
+    """Adds ``first``: is this the row with the least key among those of equal text.
+
+    The least keys are aggregated map-side and joined back on hash and key together, which are
+    spread over all tasks however many rows share one text.
+    """
+    least = hashed.groupBy("text_hash").agg(F.min(key).alias(key)).withColumn("first", F.lit(True))
+    return df.join(least, ["text_hash", key], "left").withColumn("first", F.coalesce("first", F.lit(False)))
 
 
 def document_tokens(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """Per document: folded source and language, domain, tokens, and whether it counts."""
-    hashed = documents.select(
-        "doc_id", "source", "lang", "tax_type", "text", F.coalesce(F.md5("text"), F.concat(F.lit("null:"), F.col("doc_id").cast("string"))).alias("text_hash")
-    )
-    sized = with_tokens(hashed, path=path, language=True)
-    return _first_of_text(
-        sized.select(
-            "doc_id",
-            folded_source(F.col("source")).alias("source"),
-            folded_language(F.col("lang"), F.col("found_lang")).alias("lang"),
-            F.nullif(F.trim("tax_type"), F.lit("")).alias("domain"),
-            "tokens",
-            "text_hash",
-        ),
+    digest = F.coalesce(F.md5("text"), F.concat(F.lit("null:"), F.col("doc_id").cast("string"))).alias("text_hash")
+    sized = with_tokens(documents.select("doc_id", "source", "lang", "tax_type", "text", digest), path=path, language=True)
+    rows = sized.select(
         "doc_id",
+        folded_source(F.col("source")).alias("source"),
+        folded_language(F.col("lang"), F.col("found_lang")).alias("lang"),
+        F.nullif(F.trim("tax_type"), F.lit("")).alias("domain"),
+        "tokens",
+        "text_hash",
     )
+    return _mark_first(rows, documents.select("doc_id", digest), "doc_id")
 
 
 def document_budget(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -87,13 +91,19 @@ def chunk_tokens(graph_chunks: DataFrame, graph_documents: DataFrame, legal_chun
     )
     hashed = legal_chunks.select("id", "text", F.md5("text").alias("text_hash"))
     true = with_tokens(hashed, path=path).groupBy("id").agg(F.max("tokens").alias("true_tokens"), F.max("text_hash").alias("text_hash"))
-    joined = (
-        chunks.join(true, "id", "left")
-        .join(docs.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    # what is known of each document, replicated over the salts
+    parents = chunks.where("level = 'parent'").select(F.col("doc_id").alias("id"), F.lit(True).alias("has_parent")).distinct()
+    known = docs.join(parents, "id", "full").select(
+        F.col("id").alias("doc_id"), "doc_type", "has_parent", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    )
+    placed = (
+        chunks.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+        .join(known, ["doc_id", "salt"], "left")
+        .drop("salt")
         .withColumn("doc_type", folded_doc_type(F.col("doc_type"), F.col("doc_id")))
-        .withColumn("text_hash", F.coalesce("text_hash", F.concat(F.lit("null:"), F.col("id"))))
     )
-    has_parent = F.max(F.col("level") == "parent").over(Window.partitionBy("doc_id"))
+    own = F.coalesce("text_hash", F.concat(F.lit("null:"), F.col("id")))
+    joined = placed.join(true, "id", "left").withColumn("text_hash", own)
     usable = F.col("stored").between(1, MOST_TOKENS)
     verdict = (
         F.when(F.col("stored").isNull(), "missing")
@@ -102,10 +112,12 @@ def chunk_tokens(graph_chunks: DataFrame, graph_documents: DataFrame, legal_chun
         .when(F.col("stored") != F.col("true_tokens"), "differs")
         .otherwise("right")
     )
-    marked = joined.withColumn("counted", (F.col("level") == "parent") | ~F.coalesce(has_parent, F.lit(False))).withColumn("verdict", verdict)
+    marked = joined.withColumn("counted", (F.col("level") == "parent") | F.col("has_parent").isNull()).withColumn("verdict", verdict)
     marked = marked.withColumn("tokens", F.coalesce("true_tokens", F.when(usable, F.col("stored")), F.lit(0)))
-    w = Window.partitionBy("text_hash").orderBy(F.col("counted").desc(), "id")
-    return marked.withColumn("counted", F.col("counted") & (F.row_number().over(w) == 1))
+    # the texts that stand for themselves, decided without tokenizing anything again
+    hashes = legal_chunks.groupBy("id").agg(F.max(F.md5("text")).alias("text_hash"))
+    stand = placed.where((F.col("level") == "parent") | F.col("has_parent").isNull()).join(hashes, "id", "left").select("id", own.alias("text_hash"))
+    return _mark_first(marked, stand, "id").withColumn("counted", F.col("counted") & F.col("first")).drop("first", "has_parent")
 
 
 def chunk_budget(graph_chunks: DataFrame, graph_documents: DataFrame, legal_chunks: DataFrame, path: str = VOCABULARY) -> DataFrame:
