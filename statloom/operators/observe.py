@@ -56,10 +56,20 @@ def stage_profile(df: DataFrame, request: str, stage: str, ms: str, order: str)
     return df.groupBy(request, stage).agg(F.round(F.sum(ms), 6).alias("total"), F.min(order).alias("first_seen"), F.count("*").alias("n"))
 
 
-def window_counts(df: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
-    """Requests of a key in the seconds up to each one (all requests count)."""
-    w = Window.partitionBy(key).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return df.withColumn("in_window", F.count("*").over(w))
+def window_counts(df: DataFrame, key: str, ts: str, seconds: int, spans: int = 24) -> DataFrame:
+    """Requests of a key in the seconds up to each one (all requests count).
+
+    A key's history is cut into stretches of ``spans`` windows; the rows that the next stretch still
+    looks back on are given to it as well, so a busy key is spread over as many tasks as stretches.
+    """
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    width, back = spans * seconds * 1_000_000, seconds * 1_000_000
+    own = F.floor(us / width).cast("long")
+    placed = df.withColumn("__us", us).withColumn("__own", own)
+    seen_by = F.array_compact(F.array(F.col("__own"), F.when(F.col("__us") >= (F.col("__own") + 1) * width - back, F.col("__own") + 1)))
+    rows = placed.withColumn("__at", F.explode(seen_by))
+    w = Window.partitionBy(key, "__at").orderBy("__us").rangeBetween(-back, 0)
+    return rows.withColumn("in_window", F.count("*").over(w)).where("__at = __own").drop("__us", "__own", "__at")
 
 
 def hit_rate(hits: Column, total: Column) -> Column:
