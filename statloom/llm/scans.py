@@ -56,7 +56,7 @@ _FURNITURE = re.compile(
     rf"(?:[A-Z] ){{4,}}[A-Z](?:[ ]+(?:[A-Z] )+[A-Z])*|{_TAA} \(rev\.\)|[A-Z][\w ]{{2,40}},? cont[’'i]?n?[u’']?e?d\.?|(?:TAA|Taa) (?:NO|No)\. ?{_TAA}|DEPARTMENT OF [A-Z]+|"
     rf"[A-Z][A-Za-z ]{{8,50}} {_TAA}[ \t]{{2,}}{_NUM}"
 )
-_TAIL = rf"(?:Page {_NUM}(?: of {_NUM})?|PAGE {_NUM}|p\. {_NUM}|\[{_NUM}\]|- {_NUM} -|\d{{1,3}}/\d{{1,3}})"
+_TAIL = r"(?:Page \d{1,4}(?: of \d{1,4})?|PAGE \d{1,4}|p\. \d{1,4}|\[\d{1,4}\]|- \d{1,4} -|\d{1,3}/\d{1,3})"
 _GLUED_END = re.compile(
     rf"(?<=\S)(?:{_TAIL}|{_TAA} \(rev\.\)|[A-Z][a-z]+, cont’d|DEPARTMENT OF REVENUE|(?:[A-Z] ){{4,}}[A-Z](?:  (?:[A-Z] )+[A-Z])*|Technical Assistance Advisement {_TAA} +{_NUM})\Z"
 )
@@ -193,11 +193,16 @@ def build_model(texts: DataFrame, text: str = "text") -> Model:
     source = texts.select(F.col(text).cast("string").alias("t")).where("t is not null and t <> ''")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter = Counter()
+        single: Counter = Counter()
+        pairs: Counter = Counter()
+        texts_seen = [0]
 
         def out() -> pa.RecordBatch:
-            a, b, c = zip(*((x[0], x[1], k) for x, k in n.items())) if n else ((), (), ())
-            n.clear()
+            a = ["", *single, *(x for x, _ in pairs)]
+            b = [""] * (1 + len(single)) + [y for _, y in pairs]
+            c = [texts_seen[0], *single.values(), *pairs.values()]
+            single.clear(), pairs.clear()
+            texts_seen[0] = 0
             return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(c, pa.int64())], names=["a", "b", "n"])
 
         for batch in batches:
@@ -205,10 +210,10 @@ def build_model(texts: DataFrame, text: str = "text") -> Model:
                 if obvious_traces(t):
                     continue
                 w = words_of(t)
-                n["", ""] += 1
-                n.update({(x, "") for x in w})  # texts that hold the word
-                n.update(set(zip(w, w[1:])))
-                if len(n) > 400_000:
+                texts_seen[0] += 1
+                single.update(set(w))  # texts that hold the word
+                pairs.update(set(zip(w, w[1:])))
+                if len(single) + len(pairs) > 400_000:
                     yield out()
         yield out()
 
