@@ -150,13 +150,13 @@ def health(spark, d):
 
 
 def event_windows(spark, d):
-    """Hourly counts and means by type (beyond the reference)."""
+    """Hourly counts and means by type."""
     w = F.window("ts", "1 hour")
     return _events(spark, d).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("avg")).select(F.col("w.start").alias("start"), "event_type", "n", "avg")
 
 
 def event_sessions(spark, d):
-    """Sessions of a user with gaps under six hours (beyond the reference)."""
+    """Sessions of a user with gaps under six hours."""
     s = F.session_window("ts", "6 hours")
     return _events(spark, d).groupBy(s.alias("s"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
@@ -226,3 +226,10 @@ SQL["cache_hits"] = (
     "f AS (SELECT event_id, user_id, i, ts AS inserted, false AS hit FROM o WHERE i = 1 UNION ALL SELECT o.event_id, o.user_id, o.i, CASE WHEN o.ts - f.inserted < INTERVAL 21600 SECONDS THEN f.inserted ELSE o.ts END, o.ts - f.inserted < INTERVAL 21600 SECONDS FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1) "
     "SELECT event_id, hit FROM f"
 )
+SQL["limiter"] = (
+    "WITH RECURSIVE o AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), "
+    "f AS (SELECT event_id, user_id, i, [ts] AS kept, true AS passed FROM o WHERE i = 1 UNION ALL "
+    "SELECT event_id, user_id, i, CASE WHEN len(k) < 3 THEN list_append(k, ts) ELSE k END, len(k) < 3 FROM "
+    "(SELECT o.event_id, o.user_id, o.i, o.ts, list_filter(f.kept, lambda x: x > o.ts - INTERVAL 21600 SECONDS) AS k FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1)) "
+    "SELECT event_id, passed FROM f"
+)

@@ -130,3 +130,9 @@ SQL = {
     "graph_degrees": f"WITH {_E} SELECT id, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM (SELECT src AS id, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) GROUP BY id",
     "expansion_top5": f"WITH {_CHAIN}, s AS (SELECT DISTINCT statute AS id, 0 AS side, rule AS other FROM ru UNION SELECT statute, CASE st WHEN 'case' THEN 1 ELSE 2 END, reader FROM rd UNION ALL SELECT id, min(side), other FROM (SELECT src AS id, 0 AS side, dst AS other FROM e WHERE relation IN ('implements','authority') UNION SELECT id, 1, other FROM citing) WHERE id IN (SELECT id FROM v WHERE doc_type = 'rule') GROUP BY id, other UNION ALL SELECT id, 0, other FROM cited WHERE id IN (SELECT id FROM v WHERE doc_type = 'case') UNION ALL SELECT id, 0, other FROM (SELECT * FROM cited UNION SELECT * FROM citing) WHERE id IN (SELECT id FROM v WHERE doc_type = 'taa')) SELECT id, (row_number() OVER (PARTITION BY id ORDER BY side, other) - 1)::INT AS pos, other FROM s QUALIFY pos < 5",
 }
+_RING = ", h{n} AS (SELECT u.dst AS id, min(list_append(p.path, u.dst)) AS path FROM h{m} p JOIN u ON u.src = p.id WHERE u.dst NOT IN (SELECT id FROM r{m}) GROUP BY u.dst), r{n} AS (SELECT * FROM r{m} UNION ALL SELECT id, {n}, path FROM h{n})"
+SQL["shortest_paths"] = (
+    f"WITH {_E}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), h0 AS (SELECT 'statute:212.05' AS id, ['statute:212.05'] AS path), r0 AS (SELECT id, 0 AS hops, path FROM h0)"
+    + "".join(_RING.format(n=n, m=n - 1) for n in (1, 2, 3))
+    + " SELECT id, hops::INT AS hops, array_to_string(path, '>') AS path FROM r3"
+)

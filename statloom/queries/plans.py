@@ -50,6 +50,7 @@ from statloom.queries.evaluation import SQL as _EVAL  # noqa: E402
 SQL = {
     "retrieve_pipeline": f"WITH {_bm25(20)}, r AS (SELECT kw.*, doc_type, effective_date, coalesce(section, 'none') AS sec FROM kw JOIN documents USING (doc_id) WHERE effective_date IS NULL OR effective_date BETWEEN DATE '1995-01-01' AND DATE '2020-12-31'), s AS (SELECT query_id, doc_id, rank, round(greatest(0, score * {_WEIGHT} * CASE WHEN effective_date IS NULL THEN 1.0 WHEN {_AGE} <= 0 THEN 1.1 WHEN {_AGE} >= 10 THEN 0.9 ELSE 1.1 - 0.2 * {_AGE} / 10 END - 0.1 * (row_number() OVER (PARTITION BY query_id, sec ORDER BY rank) - 1)), 9) AS score FROM r) SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank)::INT AS rank FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, s.rank) <= 10",
     "stream_cache": _EVAL["cache_hits"],
+    "stream_limiter": _EVAL["limiter"],
     "stream_once": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
 }
 SQL["retrieve_pipeline"] = SQL["retrieve_pipeline"].replace("s AS (SELECT query_id, doc_id, rank,", "s AS (SELECT query_id, doc_id, rank AS r0,").replace("ORDER BY score DESC, rank)::INT", "ORDER BY score DESC, r0)::INT").replace("s.rank", "r0")

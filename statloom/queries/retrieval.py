@@ -179,3 +179,8 @@ SQL["expand_boost"] = (
     f"WITH {_GRAPH}, b AS (SELECT * FROM cited UNION SELECT * FROM citing), rel AS (SELECT id AS doc_id, least(count(*), 5) AS n FROM b GROUP BY 1), c AS (SELECT source_chunk_id AS id, least(count(DISTINCT target_doc_id), 5) AS n FROM resolved_edges WHERE target_doc_id IS NOT NULL GROUP BY 1) "
     "SELECT ch.id, round(0.05 * coalesce(c.n, 0) + 0.02 * coalesce(rel.n, 0), 6)::DOUBLE AS graph_boost FROM (SELECT DISTINCT id, doc_id FROM legal_chunks) ch LEFT JOIN c ON c.id = ch.id LEFT JOIN rel ON rel.doc_id = ch.doc_id"
 )
+_ANY = lambda words: " OR ".join(f"contains(lower(query), '{w}')" for w in words)
+SQL["query_gate"] = (
+    rf"WITH {_Q} SELECT query_id, len(list_filter(regexp_split_to_array(query, '\s+'), lambda w: w <> '')) >= 8 AND ({_ANY(T.COMPLEX_WORDS)} OR {_ANY(T.COUNTIES)} "
+    r"OR length(query) - length(replace(query, '?', '')) > 1) AS split, coalesce(nullif(regexp_extract(query, '\b(20\d{2})\b', 1), '')::INT, 2025) AS year FROM q"
+)
