@@ -76,13 +76,27 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, name: str =
 def vector_top_k(vectors: DataFrame, queries: DataFrame, top: int = 10) -> DataFrame:
     """Exact cosine neighbours of each query row (``vec_id``, ``embedding``) among all rows.
 
-    The stated query set (bounded, checked) meets each batch of vectors as one matrix product; a
-    partition keeps its best ``top`` per query, and only those are merged.
+    The stated query set is taken in blocks; a block meets each batch of vectors as one matrix
+    product, a partition keeps its best ``top`` per query, and only those are merged.
     """
+    blocks = -(-queries.count() // MOST_QUERIES) or 1
+    if blocks > 1:  # twice as many blocks as needed, so that none is too full
+        of = F.pmod(F.xxhash64("vec_id"), F.lit(2 * blocks))
+        parts = [_near_block(vectors, queries.where(of == k), top) for k in range(2 * blocks)]
+        near = parts[0]
+        for p in parts[1:]:
+            near = near.unionAll(p)
+    else:
+        near = _near_block(vectors, queries, top)
+    return top_k(near, ["query_id"], [F.col("score").desc(), F.col("vec_id").asc()], top)
+
+
+def _near_block(vectors: DataFrame, queries: DataFrame, top: int) -> DataFrame:
+    """Candidates of one block of queries: the best of each partition."""
     spec = "query_id long, vec_id long, score double"
-    rows = queries.select("vec_id", "embedding").limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries in one batch: search them in blocks")
+    rows = queries.select("vec_id", "embedding").limit(2 * MOST_QUERIES + 1).collect()
+    if len(rows) > 2 * MOST_QUERIES:
+        raise ValueError("a block of queries is too large: query ids must be unique")
     ids = np.array([r["vec_id"] for r in rows], dtype=np.int64)
     q = _unit(np.array([r["embedding"] for r in rows], dtype=np.float64)) if rows else np.empty((0, 0))
     shared = vectors.sparkSession.sparkContext.broadcast((ids, q))
@@ -105,8 +119,7 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, top: int = 10) -> DataF
         if best is not None:
             yield pa.RecordBatch.from_pandas(best[["query_id", "vec_id", "score"]].astype({"query_id": "int64", "vec_id": "int64", "score": "float64"}), preserve_index=False)
 
-    near = vectors.select("vec_id", "embedding").mapInArrow(run, spec).where("query_id <> vec_id")
-    return top_k(near, ["query_id"], [F.col("score").desc(), F.col("vec_id").asc()], top)
+    return vectors.select("vec_id", "embedding").mapInArrow(run, spec).where("query_id <> vec_id")
 
 
 def _unit(m: np.ndarray) -> np.ndarray:

@@ -50,13 +50,16 @@ def test_recency(spark):
     assert got == [1.1, 1.1, 0.9, 1.0]
 
 
-def test_cosine_paths_agree(spark, sf):
+def test_cosine_paths_agree(spark, sf, monkeypatch):
     v = spark.read.parquet(f"{sf}/embeddings.parquet")
     q = v.where("vec_id % 50 = 0")
     near = R.vector_top_k(v, q, 5)
     pairs = near.join(v.alias("a").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("ea")), "query_id").join(v.select("vec_id", F.col("embedding").alias("eb")), "vec_id")
     assert pairs.where(F.abs(R.cosine(F.col("ea"), F.col("eb")) - F.col("score")) > 1e-6).count() == 0
     assert near.count() == 5 * q.count()
+    whole = sorted(map(tuple, near.collect()))
+    monkeypatch.setattr(R, "MOST_QUERIES", 4)
+    assert sorted(map(tuple, R.vector_top_k(v, q, 5).collect())) == whole
 
 
 def test_floor_and_merge(spark):
