@@ -46,7 +46,8 @@ _SHIPPED: set[str] = set()
 
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors once per application, so that workers can import it
-    wherever they run."""
+    wherever they run.  The archive is made on the driver, which serves it; executors do not share
+    its folder."""
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
