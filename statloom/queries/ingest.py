@@ -123,7 +123,7 @@ def chunk_corpus(spark: SparkSession, d: str) -> DataFrame:
 
 
 def citation_graph(spark: SparkSession, d: str) -> DataFrame:
-    chunks = table(spark, d, "legal_chunks").where("level = 'parent'").dropDuplicates(["id"])
+    chunks = table(spark, d, "legal_chunks").dropDuplicates(["id"])
     g = citations.citation_graph(chunks)
     return g.select(F.col("id").alias("source_chunk_id"), F.col("doc_id").alias("source_doc_id"), "kind", "normalized", "relation_type", "target_doc_id", "target_chunk_id", "confidence")
 
