@@ -73,8 +73,9 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, name: str =
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= k)
 
 
-def vector_top_k(vectors: DataFrame, queries: DataFrame, top: int = 10) -> DataFrame:
-    """Exact cosine neighbours of each query row (``vec_id``, ``embedding``) among all rows.
+def vector_top_k(vectors: DataFrame, queries: DataFrame, top: int = 10, others: bool = True) -> DataFrame:
+    """Exact cosine neighbours of each query row (``vec_id``, ``embedding``) among all rows; the row
+    of the query's own id is left out, unless query ids are no row ids (``others=False``).
 
     The stated query set is taken in blocks; a block meets each batch of vectors as one matrix
     product, a partition keeps its best ``top`` per query, and only those are merged.
@@ -82,16 +83,16 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, top: int = 10) -> DataF
     blocks = -(-queries.count() // MOST_QUERIES) or 1
     if blocks > 1:  # twice as many blocks as needed, so that none is too full
         of = F.pmod(F.xxhash64("vec_id"), F.lit(2 * blocks))
-        parts = [_near_block(vectors, queries.where(of == k), top) for k in range(2 * blocks)]
+        parts = [_near_block(vectors, queries.where(of == k), top, others) for k in range(2 * blocks)]
         near = parts[0]
         for p in parts[1:]:
             near = near.unionAll(p)
     else:
-        near = _near_block(vectors, queries, top)
+        near = _near_block(vectors, queries, top, others)
     return top_k(near, ["query_id"], [F.col("score").desc(), F.col("vec_id").asc()], top)
 
 
-def _near_block(vectors: DataFrame, queries: DataFrame, top: int) -> DataFrame:
+def _near_block(vectors: DataFrame, queries: DataFrame, top: int, others: bool) -> DataFrame:
     """Candidates of one block of queries: the best of each partition."""
     spec = "query_id long, vec_id long, score double"
     rows = queries.select("vec_id", "embedding").limit(2 * MOST_QUERIES + 1).collect()
@@ -119,7 +120,8 @@ def _near_block(vectors: DataFrame, queries: DataFrame, top: int) -> DataFrame:
         if best is not None:
             yield pa.RecordBatch.from_pandas(best[["query_id", "vec_id", "score"]].astype({"query_id": "int64", "vec_id": "int64", "score": "float64"}), preserve_index=False)
 
-    return vectors.select("vec_id", "embedding").mapInArrow(run, spec).where("query_id <> vec_id")
+    near = vectors.select("vec_id", "embedding").mapInArrow(run, spec)
+    return near.where("query_id <> vec_id") if others else near
 
 
 def _unit(m: np.ndarray) -> np.ndarray:

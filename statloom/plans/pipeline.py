@@ -5,20 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.operators import chunking, citations, corpus
+from statloom.operators import chunking, citations, corpus, graph
 from statloom.operators import retrieval as R
 
 
-def retrieve(documents: DataFrame, queries: DataFrame, as_of: str, top: int = 20, lo: str | None = None, hi: str | None = None, kinds: list[str] | None = None, prefilter: bool = False) -> DataFrame:
-    """Questions to ranked documents: kinds filtered before the search, twice the results fetched,
-    dates filtered after it (before it with ``prefilter``), re-ranked, cut."""
+def retrieve(
+    documents: DataFrame, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame, edges: DataFrame, graph_documents: DataFrame, as_of: str,
+    top: int = 20, lo: str | None = None, hi: str | None = None, kinds: list[str] | None = None, prefilter: bool = False, alpha: float = 0.5,
+) -> DataFrame:
+    """Questions to ranked documents: kinds filtered before the search, twice the results fetched
+    from keywords and from vectors, fused and cut, dates filtered after it (before it with
+    ``prefilter``), boosted by the citation graph, re-ranked, cut.
+
+    ``vectors`` (vec_id is the document's id) and ``query_vectors`` (vec_id is the query's id) hold
+    embeddings; ``graph_id`` of a document names its vertex.
+    """
     docs = documents.where(F.col("doc_type").isin(*kinds)) if kinds else documents
     if prefilter:
         docs = docs.where(R.date_between(F.col("effective_date"), lo, hi))
-    hits = R.bm25(docs, queries, "doc_id", 2 * top)
-    meta = docs.select("doc_id", "doc_type", "effective_date", F.coalesce("section", F.lit("none")).alias("group"))
+    keyword = R.bm25(docs, queries, "doc_id", 2 * top).select("query_id", "doc_id", "score")
+    searched = vectors.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    vector = R.vector_top_k(searched, query_vectors, 2 * top, others=False).select("query_id", F.col("vec_id").alias("doc_id"), "score")
+    hits = R.top_k(R.fuse(keyword, vector, "doc_id", alpha), ["query_id"], [F.col("score").desc(), F.col("doc_id").asc()], 2 * top)
+    meta = docs.select("doc_id", "doc_type", "effective_date", F.coalesce("section", F.lit("none")).alias("group"), "graph_id")
     rows = hits.join(meta, "doc_id").where(R.date_between(F.col("effective_date"), lo, hi))
-    shaped = rows.select("query_id", "rank", F.col("group").alias("doc_id"), F.col("doc_id").alias("item"), "doc_type", "effective_date", "score", F.lit(0.0).alias("graph_boost"))
+    boost = graph.document_boost(edges, graph.vertices(graph_documents)).withColumnRenamed("id", "graph_id")
+    shaped = rows.join(boost, "graph_id", "left").select("query_id", "rank", F.col("group").alias("doc_id"), F.col("doc_id").alias("item"), "doc_type", "effective_date", "score", F.coalesce("graph_boost", F.lit(0.0)).alias("graph_boost"))
     return R.rerank(shaped, as_of).where(F.col("new_rank") <= top).select("query_id", F.col("item").alias("doc_id"), F.col("new_score").alias("score"), F.col("new_rank").alias("rank"))
 
 

@@ -15,7 +15,13 @@ from statloom.streaming import streams
 
 
 def retrieve_pipeline(spark, d) -> DataFrame:
-    return pipeline.retrieve(table(spark, d, "documents"), R.questions(spark), AS_OF, 10, "1995-01-01", "2020-12-31")
+    """As in hybrid_fusion a document's vector is the one of equal number, a question's the one of
+    twenty times its number."""
+    docs = table(spark, d, "documents").withColumn("graph_id", F.concat("doc_type", F.lit(":"), "section"))
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    questions = R.questions(spark)
+    asked = vectors.join(F.broadcast(questions.select("query_id", (F.col("query_id") * 20).alias("vec_id"))), "vec_id").select(F.col("query_id").alias("vec_id"), "embedding")
+    return pipeline.retrieve(docs, questions, vectors, asked, table(spark, d, "resolved_edges"), table(spark, d, "graph_documents"), AS_OF, 10, "1995-01-01", "2020-12-31")
 
 
 def ingest_edges(spark, d) -> DataFrame:

@@ -1,5 +1,10 @@
 """Registered queries read all of their input."""
 
+from pyspark.sql import functions as F
+
+from statloom.operators import answers as A
+from statloom.operators import retrieval as R
+from statloom.plans import pipeline
 from statloom.queries import all_queries
 
 
@@ -15,3 +20,15 @@ def test_citation_graph_reads_children(spark, tmp_path):
         ("chunk:statute:1.01:1", "statute:2.02", "chunk:statute:2.02:1"),
         ("chunk:statute:2.02:1", "statute:1.01", "chunk:statute:1.01:0"),
     ]
+
+
+def test_pipeline_fuses_vectors_and_graph(spark):
+    day = "2020-01-01"
+    docs = spark.createDataFrame([(1, "sales tax", "statute", "1.01", "statute:1.01"), (2, "other words", "statute", "2.02", "statute:2.02"), (3, "unlike", "statute", "3.03", "statute:3.03")], "doc_id long, text string, doc_type string, section string, graph_id string").withColumn("effective_date", F.lit(None).cast("date"))
+    vectors = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0]), (9, [1.0, 0.0])], "vec_id long, embedding array<float>")
+    asked = spark.createDataFrame([(2, [1.0, 0.0])], "vec_id long, embedding array<float>")
+    edges = spark.createDataFrame([("statute:2.02", "statute:3.03", "cites")], "source_doc_id string, target_doc_id string, relation_type string")
+    verts = spark.createDataFrame([(f"statute:{s}", "statute", "", "", s, "1") for s in ("1.01", "2.02", "3.03")], "id string, doc_type string, title string, full_citation string, section string, chapter string")
+    got = pipeline.retrieve(docs, spark.createDataFrame([(2, "sales tax")], "query_id int, query string"), vectors, asked, edges, verts, day, 3).orderBy("rank").collect()
+    # fused scores 0.5 (keyword alone), 0.5 (vector alone), 0; boosts 0, 0.05 + 0.02, 0.02
+    assert [(r["doc_id"], round(r["score"], 6)) for r in got] == [(2, 0.57), (1, 0.5), (3, 0.02)]
