@@ -32,3 +32,8 @@ def test_pipeline_fuses_vectors_and_graph(spark):
     got = pipeline.retrieve(docs, spark.createDataFrame([(2, "sales tax")], "query_id int, query string"), vectors, asked, edges, verts, day, 3).orderBy("rank").collect()
     # fused scores 0.5 (keyword alone), 0.5 (vector alone), 0; boosts 0, 0.05 + 0.02, 0.02
     assert [(r["doc_id"], round(r["score"], 6)) for r in got] == [(2, 0.57), (1, 0.5), (3, 0.02)]
+
+
+def test_faithfulness_counts_every_event(spark, sf):
+    found = all_queries()["faithfulness"](spark, sf)
+    assert found.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{sf}/events.parquet").count()
