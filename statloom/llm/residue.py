@@ -17,6 +17,7 @@ repeated rows give repeated results; other columns are kept as they are.
 from __future__ import annotations
 
 import re
+import re._parser as sre
 from collections.abc import Iterator
 from operator import eq
 
@@ -121,34 +122,28 @@ _SCRIPTS = rf"(?:(?:active |client-side |browser )?{_SCRIPT})(?: (?:and|or) (?:a
 _VIEWER = r"(?:the|this|our|your|please note:? this|that)\s+(?:[\w-]+\s){0,3}?(?:page|site|application|app|viewer|browser|reader|finder|website|portal|library|service|search|program|tool|form|document|content)s?"
 
 _I = re.I
-_HEADS = re.compile(r"[\[(][345]\d\d[\])]|(?<=[\n ])[345]\d\d (?=(?i:not|forb|unau|bad|gate|serv|int|too|gone|meth|req|acc|mov|pay|conf|prox))|\A[345]\d\d ")
-_FAILURE_HINTS = (
-    "could not be", "couldn", "cannot be", "can not be", "can’t be", "failed to", "returned no", "returned an", "not available", "no longer", "not found", "unavailable", "temporarily", "has moved",
-    "was moved", "been moved", "removed", "deleted", "blocked", "not exist", "t exist", "timed out", "respond", "been taken",
-)
-
-#: Messages that stand for missing content: kind, words of which each holds one, pattern.
-MESSAGES: list[tuple[str, tuple[str, ...], re.Pattern]] = [
-    ("error_page", ("error", "http", "code ", "status", "erro ", "erreur", "\0head"), re.compile(rf"{_HEAD}\s*[-–—:.]?\s*(?:{_APOLOGY}[,:.!]?\s+)?(?:{_SUBJECT}\s+{_FAILURE}|{_STATUS}\b|the service is unavailable)", _I)),
-    ("error_page", ("\0head",), re.compile(rf"\b{_CODE_NO}\s+{_STATUS}\b", _I)),
-    ("error_page", ("sorry", "oops", "uh-oh", "uh oh", "unfortunately", "apologies", "whoops", "hmm", "lo sentimos", "desculpe", "désolé", "desolé", "désole", "desole"), re.compile(rf"\b{_APOLOGY}[,:.!]?\s+(?:but )?{_SUBJECT}\s+{_FAILURE}", _I)),
-    ("error_page", ("requested url", "permission to", "access ", "upstream", "object moved", "database connection"), re.compile(
+#: Messages that stand for missing content: kind and pattern.
+MESSAGES: list[tuple[str, re.Pattern]] = [
+    ("error_page", re.compile(rf"{_HEAD}\s*[-–—:.]?\s*(?:{_APOLOGY}[,:.!]?\s+)?(?:{_SUBJECT}\s+{_FAILURE}|{_STATUS}\b|the service is unavailable)", _I)),
+    ("error_page", re.compile(rf"\b{_CODE_NO}\s+{_STATUS}\b", _I)),
+    ("error_page", re.compile(rf"\b{_APOLOGY}[,:.!]?\s+(?:but )?{_SUBJECT}\s+{_FAILURE}", _I)),
+    ("error_page", re.compile(
         r"the requested url \S+ was not found|you (?:don[’']t|do not) have permission to access|access (?:is |was )?denied\b(?=[.!\s]|$)|the upstream server did not respond|object moved(?: to here)?|error establishing a database connection", _I)),
-    ("error_page", ("traceback", "java", "ora-", "expects parameter", "fatal error", "mysql_", "error: ", "exception", "stack trace", "segmentation", "syntax error"), re.compile(
+    ("error_page", re.compile(
         r"traceback \(most recent call last\)|\bjava\.\w+\.\w+(?:exception|error)\b|\bat [\w.$]+\(\w+\.java:\d+\)|\bORA-\d{5}: |warning: \w+\(\) expects parameter|fatal error: (?:uncaught|call to)|mysql_\w+\(\)|\b\w+error: (?:'|cannot |name |list )|unhandled exception|stack trace:|segmentation fault|syntax error near", _I)),
-    ("error_page", ("session", "log in", "login", "rate limited", "blocked", "logged out", "too many", "checking your", "human", "captcha", "unusual traffic"), re.compile(
+    ("error_page", re.compile(
         r"your session (?:has )?(?:expired|timed out)|please log ?in again|you have been (?:rate limited|blocked|logged out)|your request (?:was|has been) blocked|too many requests|checking your (?:connection|browser) before|verify (?:that )?you are (?:a )?human|complete the captcha|unusual traffic from", _I)),
-    ("error_page", ("service is unav", "service temp", "something went", "error occurred", "error has occ", "unable to", "for maintenance", "scheduled maintenance", "can’t find", "can't find", "cannot find", "could not find", "couldn't find", "couldn’t find"), re.compile(
+    ("error_page", re.compile(
         r"the service is unavailable\.|service temporarily unavailable|something went wrong(?: on our end)?[.!]|an? (?:unexpected|internal|unknown|application)(?: server)? error (?:has )?occurred|(?:we are |we’re |we're )?unable to (?:display|load|open|render|process) (?:this|the) (?:pdf|page|document|file|request|section|content|opinion|rule|statute)|"
         r"(?:down|offline|closed) for (?:scheduled |routine )?maintenance\. (?:please|we)|we (?:can(?:no|’|'|n’|n')?t|could(?:n’t|n't| not)) find (?:the|that|this|your) (?:page|document|file|section|record|opinion|address)", _I)),
-    ("error_page", ('"status"', '"error"'), re.compile(r"\{\s*\"status\"\s*:\s*\"?\d{3}|\"error\"\s*:\s*\"", _I)),
-    ("error_page", ("encontr", "no se pudo", "error interno", "denegado", "no disponible", "inténtelo", "intentelo", "ha caducado", "ha expirado"), re.compile(
+    ("error_page", re.compile(r"\{\s*\"status\"\s*:\s*\"?\d{3}|\"error\"\s*:\s*\"", _I)),
+    ("error_page", re.compile(
         r"no se (?:encontr[oó]|ha encontrado|pudo (?:encontrar|cargar|abrir)) (?:la|el) (?:p[aá]gina|documento|archivo|recurso|secci[oó]n)|p[aá]gina no encontrada|error interno del servidor|acceso denegado|servicio no disponible|la sesi[oó]n ha (?:caducado|expirado)|int[eé]ntelo (?:de nuevo|otra vez|m[aá]s tarde)", _I)),
-    ("error_page", ("encontrada", "foi possível", "erro interno", "negado", "indispon", "sessão exp", "sessao exp", "verifique o endere", "documento solicitado"), re.compile(
+    ("error_page", re.compile(
         r"p[aá]gina (?:n[aã]o|nao) encontrada|n[aã]o foi poss[ií]vel (?:encontrar|carregar|abrir|exibir)|erro interno (?:do|no) servidor|acesso negado|servi[cç]o indispon[ií]vel|(?:a )?sess[aã]o expir(?:ou|ada)|verifique o endere[cç]o e tente|o documento solicitado n[aã]o", _I)),
-    ("error_page", ("introuvable", "non trouv", "demandé", "demande ", "erreur interne", "refusé", "interdit", "indisponible", "expiré", "réessayer", "reessayer"), re.compile(
+    ("error_page", re.compile(
         r"page (?:introuvable|non trouv[eé]e)|le document demand[eé] (?:n[’']existe|est introuvable)|erreur interne du serveur|acc[eè]s (?:refus[eé]|interdit)|service (?:temporairement )?indisponible|(?:votre )?session a expir[eé]|veuillez r[eé]essayer", _I)),
-    ("scripts_required", ("script", " js", "cookies"), re.compile(
+    ("scripts_required", re.compile(
         "|".join([
             rf"{_VIEWER}\s+(?:requires?|needs?|depends? (?:up)?on|relies? on|works? only with|only works? with|will not (?:load|work|run|open|function)(?: properly)? (?:without|unless)|cannot (?:run|load|work|be shown|be displayed|open) (?:without|unless)|can[’']t (?:run|load|work) without|does(?: not|n[’']t) (?:work|load|run)(?: properly)? (?:without|unless)|won[’']t (?:load|work|run) without)\s+(?:you (?:enable|allow) |that )?(?:{_SCRIPTS})\b",
             rf"(?:please |you (?:need|have) to |you must |kindly )(?:enable|allow|activate|turn on|switch on|permit) (?:{_SCRIPTS})\b",
@@ -161,11 +156,10 @@ MESSAGES: list[tuple[str, tuple[str, ...], re.Pattern]] = [
             r"(?:ative|habilite|ativar|habilitar|permita) (?:o |os )?(?:javascript|scripts?)\b|precisa (?:de )?(?:do )?javascript|requer javascript|[ée] necess[aá]rio (?:ativar|habilitar)",
             r"(?:veuillez )?(?:activer|activez|autoriser|autorisez) (?:le |les |l[’'])?(?:javascript|scripts?)\b|n[eé]cessite (?:javascript|l[’']activation)|javascript (?:est|doit [eê]tre) (?:d[eé]sactiv[eé]|activ[eé]|requis|n[eé]cessaire)",
         ]), _I)),
-    ("scripts_required", ("browser is out", "upgrade it", "nothing appears"), re.compile(r"browser is out of date|upgrade (?:it|your browser) or switch|loading(?:…|\.\.\.)\s*if nothing appears", _I)),
+    ("scripts_required", re.compile(r"browser is out of date|upgrade (?:it|your browser) or switch|loading(?:…|\.\.\.)\s*if nothing appears", _I)),
 ]
 #: Messages only as a line (or text) of their own.
 _LINE_MESSAGE = re.compile(rf"[ \t]*(?:{_SUBJECT}\s+{_FAILURE}(?=\s*(?:[.!\r\n]|$))|{_STATUS}(?=\s*(?:[.!\r\n]|$)))", _I)
-_LINE_HINTS = (*_FAILURE_HINTS, "forbidden", "unauthorized", "bad request", "bad gateway", "gateway time", "server error", "too many requests", "not allowed", "denied")
 _LINE_START = re.compile(r"(?:\A|[\r\n]+|(?:Español|Contact|Search)\s)")
 #: What makes a sentence a report of a message rather than the message.
 _REPORT = re.compile(
@@ -240,21 +234,16 @@ def filler(text: str, low: str, hits: dict[str, list[int]]) -> list[tuple[str, i
         for m in _FILLER.finditer(text, lo, hi):
             if not _quoted(text, m.start()) and not _reported(text, m.start(), m.end()):
                 out.append(("stock", m.start(), m.end()))
-    if "lorem" in hits:
+    words = _WORD.findall(low)
+    if sum(map(_LOREM.__contains__, words)) >= 8:
         out += _runs(text, _LOREM, 8, 5, "lorem")
-    words = low.split()
-    if "noise" in hits or any(map(eq, words, words[1:])):
+    if sum(map(_NOISE.__contains__, words)) >= 6:
         out += _runs(text, _NOISE, 6, 1, "noise")
+    if any(map(eq, words, words[1:])):
         out += [("repeated", m.start(), m.end()) for m in _REPEAT.finditer(text)]
     return out
 
 
-#: Each stock sentence holds one of these.
-_FILLER_HINTS = (
-    "quick brown", "texto de ", "texto prov", "texte prov", "textes prov", "texte de", "texte d’", "texte d'", "texte factice", "sustituya", "substituir", "dummy ", "filler ", "placeholder ", "sample text", "sample copy", "sample page", "sample content", "sample paragraph", "before publishing", "goes here", "text here", "content here", "copy here", "tbd.", "tbd:", "tba.", "tba:", "todo:", "todo.", "fixme",
-    "to be written", "to be added", "to be supplied", "to be provided", "under construction", "coming soon", "check back", "en construcci", "em constru", "en cours de r", "replace this",
-    "hello", "aragraph 1 text", "aragraph 2 text", "section 1 text", "this is a ", "this is some ", "aquí va", "aqui vai", "ici le ", "add your", "write your", "your text",
-)
 _REPEAT = re.compile(r"\b([^\W\d_]{2,20})(?:[ ,.]{1,2}\1\b){5,}", re.I)
 
 
@@ -288,19 +277,15 @@ def _reported(text: str, start: int, end: int) -> bool:
 def messages(text: str, hits: dict[str, list[int]]) -> list[tuple[str, int, int]]:
     """Error messages and scripts-required notices standing in place of content."""
     out = []
-    heads = [m.start() for m in _HEADS.finditer(text)]
-    for n, (kind, hints, pattern) in enumerate(MESSAGES):
-        at = hits.get(f"m{n}", [])
-        if heads and "\0head" in hints:
-            at = at + heads
-        for lo, hi in _windows(at, 120, 240):
+    for n, (kind, pattern) in enumerate(MESSAGES):
+        for lo, hi in _windows(hits.get(f"m{n}", []), 400 if n < 3 else 120, 240):  # the first three have their hints at the end
             for m in pattern.finditer(text, lo, hi):
                 s, e = m.start(), m.end()
                 while s < e and text[s].isspace():
                     s += 1
                 if not _quoted(text, s) and not _reported(text, s, e):
                     out.append((kind, s, e))
-    for lo, hi in _windows(hits.get("line", ()), 160, 1):
+    for lo, hi in _windows(hits.get("line", ()), 400, 1):
         for line in _LINE_START.finditer(text, lo, hi):
             if (m := _LINE_MESSAGE.match(text, line.end())) and not _quoted(text, m.start()) and not _reported(text, m.start(), m.end()):
                 out.append(("error_page", m.start(), m.end()))
@@ -319,15 +304,70 @@ def _windows(at: list[int], before: int, after: int) -> list[tuple[int, int]]:
     return out
 
 
+#: Most texts that a stretch of a pattern is spelled out to.
+_MOST_SPELLED = 600
+
+
+def _spelled(items, most: int = _MOST_SPELLED) -> set[str] | None:
+    """All texts (in lower case) that a parsed pattern matches, None if they are too many."""
+    out = {""}
+    for op, arg in items:
+        if (one := _spelled_item(op, arg)) is None or len(out) * len(one) > most:
+            return None
+        out = {a + b for a in out for b in one}
+    return out
+
+
+def _spelled_item(op, arg) -> set[str] | None:
+    if op is sre.LITERAL:
+        return {chr(arg).lower()}
+    if op in (sre.AT, sre.ASSERT, sre.ASSERT_NOT):
+        return {""}
+    if op is sre.IN and all(o in (sre.LITERAL, sre.RANGE) for o, _ in arg):
+        found = {chr(c).lower() for o, v in arg for c in ((v,) if o is sre.LITERAL else range(v[0], v[1] + 1))}
+        return found if len(found) <= 4 else None
+    if op is sre.BRANCH:
+        each = [_spelled(x) for x in arg[1]]
+        return None if any(x is None for x in each) else set().union(*each)
+    if op is sre.SUBPATTERN:
+        return _spelled(arg[3])
+    if op is sre.MAX_REPEAT and arg[1] == 1:
+        one = _spelled(arg[2])
+        return one if one is None or arg[0] else one | {""}
+    return None
+
+
+def _needed(items) -> set[str] | None:
+    """Texts of which every match of a parsed pattern holds one, as long as can be; None if there
+    are no such texts."""
+    found: list[set[str]] = []
+    run = {""}
+    for op, arg in items:
+        one = _spelled_item(op, arg)
+        if one is not None and len(run) * len(one) <= _MOST_SPELLED:
+            run = {a + b for a in run for b in one}
+            continue
+        found.append(run)
+        run = one or {""}
+        if op is sre.BRANCH:
+            each = [_needed(x) for x in arg[1]]
+            if all(each):
+                found.append(set().union(*each))
+        elif op is sre.SUBPATTERN and (inner := _needed(arg[3])):
+            found.append(inner)
+        elif op is sre.MAX_REPEAT and arg[0] and (inner := _needed(arg[2])):
+            found.append(inner)
+    found = [x for x in [*found, run] if all(x)]
+    return max(found, key=lambda x: (min(map(len, x)), -len(x)), default=None)
+
+
 def _hints() -> dict[str, set[str]]:
-    """Which detectors each hint calls."""
+    """Which detectors each hint calls: the hints are taken from the patterns themselves, so every
+    alternative holds one."""
     of: dict[str, set[str]] = {}
-    groups = {f"m{n}": hints for n, (_, hints, _) in enumerate(MESSAGES)}
-    groups |= {"filler": _FILLER_HINTS, "line": _LINE_HINTS, "lorem": ("ipsum", "nostrud", "laboris", "eiusmod", "adipiscing", "consectetur"), "noise": ("asdf", "qwert", " blah", "foo bar", "bar foo")}
-    for name, hints in groups.items():
-        for h in hints:
-            if not h.startswith("\0"):
-                of.setdefault(h, set()).add(name)
+    for name, pattern in ({f"m{n}": p for n, (_, p) in enumerate(MESSAGES)} | {"filler": _FILLER, "line": _LINE_MESSAGE}).items():
+        for h in _needed(sre.parse(pattern.pattern, pattern.flags)):
+            of.setdefault(h, set()).add(name)
     return of
 
 
