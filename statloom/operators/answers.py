@@ -41,13 +41,19 @@ def claims(answers: DataFrame, key: str, answer: str = "answer") -> DataFrame:
 
 def source_texts(found: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
     """Adds the chunk a claim's source names: the name itself, then as a statute, then as a rule,
-    over chunk ids, document ids and citations; of several the last chunk of the key."""
+    over chunk ids, document ids and citations; of several the last chunk of the key.  Where none
+    fits, the document of the first chunk (by rank) that holds the source in its citation or
+    document id, within the key as in :func:`verified_citations`."""
     order = F.struct("rank", "chunk_id")
     names = chunks.select(key, F.explode(F.array_distinct(F.array("chunk_id", "doc_id", "citation"))).alias("name"), "chunk_id", "rank").where("name is not null and name <> ''")
     names = names.groupBy(key, "name").agg(F.max_by("chunk_id", order).alias("source_chunk_id"))
     tries = found.select("*", F.posexplode(F.array(F.col("source"), F.concat(F.lit("statute:"), "source"), F.concat(F.lit("rule:"), "source"))).alias("tier", "name"))
     hit = tries.join(names, [key, "name"])
+    part = F.coalesce(F.contains("citation", "source"), F.lit(False)) | F.coalesce(F.contains("doc_id", "source"), F.lit(False))
+    listed = chunks.select(key, "chunk_id", "doc_id", "citation", "rank").where("doc_id <> ''")
+    held = found.join(listed, key).where(part).groupBy(key, "position").agg(F.min_by("doc_id", order).alias("name")).join(names, [key, "name"])
     first = Window.partitionBy(key, "position").orderBy("tier")
+    hit = hit.select(key, "position", "tier", "source_chunk_id").unionByName(held.select(key, "position", F.lit(3).alias("tier"), "source_chunk_id"))
     best = hit.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(key, "position", "source_chunk_id")
     return found.join(best, [key, "position"], "left")
 

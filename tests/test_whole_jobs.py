@@ -37,3 +37,13 @@ def test_pipeline_fuses_vectors_and_graph(spark):
 def test_faithfulness_counts_every_event(spark, sf):
     found = all_queries()["faithfulness"](spark, sf)
     assert found.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_source_texts_fall_back_to_part_of_citation(spark):
+    found = spark.createDataFrame([(1, 0, "1.01"), (1, 1, "2.02"), (1, 2, "9.99"), (1, 3, "Fla. Stat. § 2.02(3)")], "raw_id int, position int, source string")
+    chunks = spark.createDataFrame(
+        [(1, "c0", "statute:1.01", "Fla. Stat. § 1.01", 1), (1, "c1", "case:1", "A v. B, see 2.02", 2), (1, "c2", "statute:12.02", "Fla. Stat. § 2.02(3)", 3), (1, "c3", "case:1", "A v. B", 4)],
+        "raw_id int, chunk_id string, doc_id string, citation string, rank int",
+    )
+    got = {r["position"]: r["source_chunk_id"] for r in A.source_texts(found, chunks, "raw_id").collect()}
+    assert got == {0: "c0", 1: "c3", 2: None, 3: "c2"}
