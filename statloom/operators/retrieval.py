@@ -1,7 +1,7 @@
 """Retrieval in batches of queries: BM25, vectors, fusion, re-ranking, merging, cut-offs.
 
-Query sets are small tables (questions, or a grid of parameters) of a stated bound and are
-broadcast; documents, postings and vectors are never.
+Query sets (questions, or a grid of parameters) are broadcast up to a stated bound; above it they
+are joined or taken in blocks.  Documents, postings and vectors are never broadcast.
 """
 
 from __future__ import annotations
@@ -52,18 +52,20 @@ def bm25(documents: DataFrame, queries: DataFrame, key: str, top: int = 10, text
     """Best ``top`` documents of each query by BM25, ties by key.
 
     Only the queries' terms are kept of each document before anything is shuffled (broadcast of the
-    bounded query terms); their counts are taken with one higher-order expression per document.
+    query terms up to ``MOST_QUERIES`` queries, a plain join above); their counts are taken with one
+    higher-order expression per document.
     """
-    asked = queries.limit(MOST_QUERIES).select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
+    small = F.broadcast if queries.count() <= MOST_QUERIES else lambda x: x
+    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
     wanted = asked.select("term").distinct()
     docs = documents.select(F.col(key), terms(F.col(text)).alias("t")).withColumn("dl", F.size("t"))
-    hits = docs.select(key, "dl", F.explode("t").alias("term")).join(F.broadcast(wanted), "term").groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
+    hits = docs.select(key, "dl", F.explode("t").alias("term")).join(small(wanted), "term").groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
     totals = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.join(F.broadcast(totals)).select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    weighed = hits.join(F.broadcast(idf), "term")  # at most as many rows as query terms
+    weighed = hits.join(small(idf), "term")  # at most as many rows as query terms
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = weighed.withColumn("part", part).join(F.broadcast(asked), "term").groupBy("query_id", key).agg(F.sum("part").alias("raw"))
+    scored = weighed.withColumn("part", part).join(small(asked), "term").groupBy("query_id", key).agg(F.sum("part").alias("raw"))
     scored = scored.select("query_id", key, F.round("raw", 9).alias("score"))
     return top_k(scored, ["query_id"], [F.col("score").desc(), F.col(key).asc()], top)
 

@@ -47,3 +47,12 @@ def test_source_texts_fall_back_to_part_of_citation(spark):
     )
     got = {r["position"]: r["source_chunk_id"] for r in A.source_texts(found, chunks, "raw_id").collect()}
     assert got == {0: "c0", 1: "c3", 2: None, 3: "c2"}
+
+
+def test_bm25_takes_any_number_of_queries(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word{i} common text") for i in range(6)], "doc_id long, text string")
+    asked = spark.createDataFrame([(i, f"word{i} common") for i in range(6)], "query_id int, query string")
+    whole = sorted(map(tuple, R.bm25(docs, asked, "doc_id", 3).collect()))
+    monkeypatch.setattr(R, "MOST_QUERIES", 2)
+    assert sorted(map(tuple, R.bm25(docs, asked, "doc_id", 3).collect())) == whole
+    assert {r[0] for r in whole} == set(range(6))
