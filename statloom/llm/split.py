@@ -128,6 +128,19 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]
     return out
 
 
+def _heads(c, piece: str, n: int, most: int) -> list[tuple[str, int]]:
+    """A piece cut at character positions into heads of at most ``most`` tokens each (each counted
+    anew, and cut again where its letters have more tokens than those around them)."""
+    k = min(max(1, len(piece) * most // (2 * n)), len(piece) // 2)
+    heads = [piece[i : i + k] for i in range(0, len(piece), k)]
+    ns = c.trie.counts({h.encode("utf-8", "surrogatepass") for h in heads})
+    out: list[tuple[str, int]] = []
+    for h in heads:
+        m = ns[h.encode("utf-8", "surrogatepass")]
+        out += [(h, m)] if m <= most or len(h) < 2 else _heads(c, h, m, most)
+    return out
+
+
 def split_text_tokens(text: str, limit: int, overlap: int, path: str = VOCABULARY) -> list[tuple[int, int, str, int]]:
     """As :func:`split_text` with sizes in tokens: cuts fall between the tokenizer's pieces, and an
     overlap is the shortest run of whole pieces with at least ``overlap`` tokens.  A single piece
@@ -143,10 +156,7 @@ def split_text_tokens(text: str, limit: int, overlap: int, path: str = VOCABULAR
         if n <= most or len(p) < 2:
             parts.append((p, n))
             continue
-        k = max(1, len(p) * most // (2 * n))
-        heads = [p[i : i + k] for i in range(0, len(p), k)]
-        ns = c.trie.counts({h.encode("utf-8", "surrogatepass") for h in heads})
-        parts += [(h, ns[h.encode("utf-8", "surrogatepass")]) for h in heads]
+        parts += _heads(c, p, n, most)
     offset, size = [0], [0]
     for p, n in parts:
         offset.append(offset[-1] + len(p))
@@ -177,8 +187,10 @@ def split_text_tokens(text: str, limit: int, overlap: int, path: str = VOCABULAR
         at = [0, *inner, len(text)]
         sizes = [size[index[p]] for p in at]
         cuts = _best(at, [0.0, *(PENALTIES[kind[p]] for p in inner), 0.0], sizes, limit, overlap + slack)
+    if cuts is None:
+        raise ValueError(f"no split of a text of {sum(n for _, n in parts)} tokens into pieces of {limit} with an overlap of {overlap}")
     out, start = [], 0
-    for j in cuts or [len(at) - 1]:
+    for j in cuts:
         end = at[j]
         out.append((start, end, kind.get(end, "word") if end < len(text) else "end", size[index[end]] - size[index[start]]))
         k = index[end]
