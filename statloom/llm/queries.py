@@ -26,17 +26,12 @@ def p1_restored(spark: SparkSession, d: str) -> DataFrame:
     return _restored(spark, d)
 
 
-def _scans(spark: SparkSession, d: str, **how) -> DataFrame:
-    taas = table(spark, d, "raw_taas").select("raw_id", "pdf_path", "text")
-    return scans.repair_scans(taas, scans.build_model(taas), ["raw_id", "pdf_path"], **how)
-
-
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _scans(spark, d, with_text=False).select("raw_id").distinct()
+    return scans.find_scans(table(spark, d, "raw_taas").select("raw_id", "text"), ["raw_id"]).distinct()
 
 
 def p3_repaired(spark: SparkSession, d: str) -> DataFrame:
-    return _scans(spark, d)
+    return scans.repair_scans(table(spark, d, "raw_taas").select("raw_id", "pdf_path", "text"), ["raw_id", "pdf_path"])
 
 
 def p4_token_budget(spark: SparkSession, d: str) -> DataFrame:
