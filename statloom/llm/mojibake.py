@@ -1,23 +1,29 @@
 """Garbled text from a wrong character encoding, restored by minimum description length.
 
 Every run of suspicious characters has candidate decodings: chains of (encode with the wrong code
-page, decode with the right one), up to several layers, also through HTML entities.  A chain's
+page, decode with the right one), layer by layer, also through HTML entities.  A chain's
 description length is the size of the runs in their contexts after the chain, compressed by
 Zstandard with the dictionary of each language (the best one counts), plus a cost for each step of
 the chain.  The chain of least description length is applied to all runs of the text that it can
 decode; this is repeated on what is left; where nothing is shorter than the text as it stands, the
-text is left unchanged.  What cannot be recovered (replacement characters, lone lead bytes) is
-reported, and filled in only where the context leaves one reading.
+text is left unchanged.
+
+The dictionaries are trained on the corpus (:func:`fit`): runs with the characters around them are
+counted over all texts in which no run can be undone, and the ``MOST_WINDOWS`` commonest of each
+language train its dictionary, which is all the driver sees.  Lost signs (replacement characters,
+also behind the lead bytes that were left of them) are filled by the same dictionaries with the run
+that describes the place best, where one is better than all others; else they are reported as lost.
 
 Defined edge cases: null and empty texts are sound; correct foreign words and symbols, entities of
 the right character and misread letters of scans stay as they are; texts of any length are handled
-whole; repeated rows give repeated results.
+whole; repeated rows give repeated results; a language without texts has an empty dictionary.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,9 +33,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from statloom.session import ensure_checkpoint_dir
+
 #: Bytes charged for each step of a chain and for a step between one-byte code pages, the least gain
-#: that justifies a chain, and how deep a chain may be.
-STEP_COST, SINGLE_COST, LEAST_GAIN, MOST_LAYERS, MOST_ROUNDS = 1, 1, 1, 4, 5
+#: that justifies a chain, and the least by which a filling must beat all others.
+STEP_COST, SINGLE_COST, LEAST_GAIN, SURE = 1, 1, 1, 1
+
+#: Languages with a dictionary of their own, windows that train one, its size in bytes, and how much
+#: rarer than its one-byte decoding a window must be to count as damaged.
+LANGUAGES = ("en", "es", "pt", "fr", "other")
+MOST_WINDOWS, DICTIONARY_BYTES, RARER = 3000, 32_768, 4
+#: A sign is common, and not searched by itself, if this share of the texts hold it.
+COMMON = 0.05
+#: Distinct counts a worker holds before it hands them on.
+_HELD = 200_000
 
 #: Bytes charged for a sign that a language's dictionary does not hold.
 ESCAPE_COST = 1
@@ -41,44 +58,13 @@ STEPS: list[tuple[str, str]] = [
     ("latin-1", "cp1252"), ("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1251", "cp1252"), ("cp1252", "mac_roman"), ("cp1250", "cp1252"), ("koi8-r", "cp1252"), ("cp1253", "cp1252"),
 ]
 
-#: Seeds of the dictionaries: signs in their usual surroundings, then common accented words.
-SEEDS = {
-    "en": (
-        "the taxpayer’s dealer’s Department’s Taxpayer’s appraiser’s company’s seller’s state’s Counsel’s agency’s vendor’s county’s purchaser’s owner’s it’s don’t dealers’ taxpayers’ "
-        "The term “sale” means “use” or “storage.” under reservation of rights.” “never received” the notice “The “A “coin-operated games” the so-called “membership” "
-        "under § 212.05(1)(a), of § 203.14 § 199.11. §§ 212.05 and 212.06 in § 212.05 of § 213.22. See § 201.02(1) "
-        "History.—s. 32, ch. 98-62; Exemptions.— Penalties.— the partial exemption—½ of the rate—shall this subsection—including forms, facts described—it is issued "
-        "an additional 4¢ per gallon measured at 60°F by the seller 5 ½ percent 2 ¾ × ± “hull coatings” “trailers” by that date – and 2001–2005 … • © ® ™ £ € "
-        "The appraiser’s résumé and a letter a naïve façade café fiancé cliché "
-    ),
-    "es": (
-        "la declaración según la sección § 212.05 el año contribuyente deberá presentar exención información recaudación compañía Compañía señor también está qué más más, días número artículo "
-        "público económica código régimen título capítulo “impuesto” «Ley» ¿Debe cobrarse? ¡ Peña Niña Marítima Ñandú Señora García Muñoz Núñez Ibáñez López Martínez Rodríguez Cañón "
-    ),
-    "pt": (
-        "a isenção não se aplica à declaração até a seção § 212.05 conforme o município São João contribuição Administração alíquota três são será também você informações país relação "
-        "SÃO TOMÉ LOGÍSTICA IMPORTAÇÃO AÇÚCAR FORÂNEA Conceição Gonçalves Araújo Magalhães José Antônio Júnior Comércio Indústria Câmara “imposto” código período público "
-    ),
-    "fr": (
-        "la société l’impôt d’une n’est pas aujourd’hui été à la où être même même, déclaration l’article § 212.05 montant dû délai présent préparé matériel décrit règle avis échéance "
-        "français reçu façade hôtel Hôtel Façade Crème Brûlée Pâtisserie Bâtiment Brévière Grâce Noël Hélène François Benoît Étienne Général Référence œuvre cœur « loi » "
-    ),
-    "other": (
-        "Müller Søn Großmann Straßenbau Ångström Łódź Köln Zürich Jürgen Bäcker Größe für über Öl Österreich Københavns Ærø Göteborg Malmö Čapek Dvořák Šimon Žižka Šťastný "
-        "São Tomé Logística SÃO TOMÉ LOGÍSTICA Compañía Ñandú Peña Niña Marítima Crème Brûlée Façade Pâtisserie Hôtel Bâtiment Brévière Cafetería Grâce Château "
-        "ООО «Вектор» Москва Россия общество Київ 東海商事 株式会社 有限公司 北京 上海 ﾄｳｷｮｳ Αθήνα "
-    ),
-}
 _LEVEL = 19
 
 #: A run: non-ASCII characters and entities next to each other (letters may stand between accents).
 _RUN = re.compile(r"(?:[^\x00-\x7f�]|&(?:#\d{2,5}|#x[0-9a-fA-F]{2,4}|[A-Za-z]{2,8}\d{0,2});)+")
 _ENTITY = re.compile(r"&(?:#\d{2,5}|#x[0-9a-fA-F]{2,4}|[A-Za-z]{2,8}\d{0,2});")
-#: Characters that a sound text of the domain has by themselves; a text with no others is not searched.
-SOUND = "§’‘“”—–½¼¾¢°… "
 _CONTEXT = 5
-
-_SINGLE_OK = set("’‘“”—–§½¼¾°¢… éèêëáàâäãåíìîïóòôöõúùûüñçÉÈÁÀÂÃÍÓÔÕÚÑÇøØßæÆœŒ€£©®™•«»¿¡")
+_AROUND = 8
 
 
 def _wide(text: str) -> bytes:
@@ -86,23 +72,53 @@ def _wide(text: str) -> bytes:
     return text.encode("utf-16-le", "surrogatepass")
 
 
-@lru_cache(maxsize=1)
-def _compressors() -> list[tuple[str, zstandard.ZstdCompressor, frozenset[str]]]:
-    """Per language: its name, a compressor with its dictionary, and the dictionary's alphabet."""
-    params = zstandard.ZstdCompressionParameters.from_level(_LEVEL, min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False)
-    out = []
-    for lang, seed in SEEDS.items():
-        seed = SEEDS["other"] * (lang != "other") + seed
-        dictionary = zstandard.ZstdCompressionDict(_wide(seed), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        out.append((lang, zstandard.ZstdCompressor(dict_data=dictionary, compression_params=params), frozenset(seed)))
-    return out
-
-
-def description_length(text: str) -> int:
-    """Bytes of the text under the language dictionary that fits it best; a sign outside the
-    dictionary's alphabet has to be spelled out, which costs ``ESCAPE_COST`` more."""
-    data, signs = _wide(text), [c for c in text if c > "\x7f"]
-    return min(len(c.compress(data)) + ESCAPE_COST * sum(s not in alphabet for s in signs) for _, c, alphabet in _compressors())
+class Model:
+    """Per language a compressor with its trained dictionary and the dictionary's alphabet; the
+    commonest runs; and the signs that are common in the texts to restore."""
+
+    def __init__(self, dictionaries: dict[str, tuple[bytes, bool, str]], runs: tuple[str, ...] = (), common: str = ""):
+        self.parts = (dictionaries, runs, common)
+        params = zstandard.ZstdCompressionParameters.from_level(_LEVEL, min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False)
+        self.languages: list[tuple[zstandard.ZstdCompressor, frozenset[str]]] = []
+        for data, trained, alphabet in dictionaries.values():
+            how = zstandard.DICT_TYPE_FULLDICT if trained else zstandard.DICT_TYPE_RAWCONTENT
+            given = {"dict_data": zstandard.ZstdCompressionDict(data, dict_type=how)} if len(data) >= 8 else {}
+            self.languages.append((zstandard.ZstdCompressor(compression_params=params, **given), frozenset(alphabet)))
+        self.alphabet = frozenset().union(*(a for _, a in self.languages))
+        self.runs, self.common = runs, frozenset(common)
+
+    def description_length(self, text: str) -> int:
+        """Bytes of the text under the language dictionary that fits it best; a sign outside the
+        dictionary's alphabet has to be spelled out, which costs ``ESCAPE_COST`` more."""
+        data, signs = _wide(text), [c for c in text if c > "\x7f"]
+        return min((len(c.compress(data)) + ESCAPE_COST * sum(s not in alphabet for s in signs) for c, alphabet in self.languages), default=len(data))
+
+    def suspicious(self, run: str) -> bool:
+        return any(c not in self.common for c in run)
+
+
+def train(windows: dict[str, list[tuple[str, str, str, int]]], common: str = "") -> Model:
+    """The model of (left, run, right, count) windows by language, the commonest first."""
+    dictionaries, runs = {}, Counter()
+    for lang, rows in windows.items():
+        count = {(left, run, right): n for left, run, right, n in rows}
+        texts: list[bytes] = []
+        signs: Counter = Counter()
+        for (left, run, right), n in count.items():
+            ways = (decoded(run, s, left[-1:] or " ", right[:1] or " ") for s in STEPS if s[1] != "utf-8")
+            if any(count.get((left, w, right), 0) >= RARER * n for w in ways if w):
+                continue  # a one-byte garbling of a commoner window
+            texts += [_wide(left + run + right)] * min(n.bit_length(), 12)
+            signs.update(dict.fromkeys(run, n))
+            runs[run] += n
+        trained = False
+        data = b"".join(reversed(list(dict.fromkeys(texts))))  # nearest last is cheapest to refer to
+        try:
+            data, trained = zstandard.train_dictionary(DICTIONARY_BYTES, texts, level=_LEVEL).as_bytes(), True
+        except zstandard.ZstdError:  # too few texts to train on: they are the dictionary themselves
+            pass
+        dictionaries[lang] = (data, trained, "".join(sorted(signs)))
+    return Model(dictionaries, tuple(r for r, _ in runs.most_common()), common)
 
 
 def _bytes(text: str, encoding: str) -> bytes | None:
@@ -138,15 +154,14 @@ def decoded(run: str, step: tuple[str, str], left: str = " ", right: str = " ")
         except UnicodeDecodeError:
             return _partly(data, wrong)
         return out if out != run and _printable(out) else None
-    if len(run) > 3 or any(c in "­¬‐‑" for c in run):  # the hyphens of scans
+    if any(c in "­¬‐‑" for c in run):  # the hyphens of scans
         return None
     try:
         out = data.decode(good)
     except UnicodeDecodeError:
         return None
-    if out == run or not all(c in _SINGLE_OK for c in out) or not all(_fits(c, left, right) for c in out):
-        return None
-    return out
+    ends = [left, *out, right]
+    return None if out == run or not _printable(out) or not all(_fits(*x) for x in zip(ends[1:-1], ends, ends[2:])) else out
 
 
 def _partly(data: bytes, wrong: str) -> str | None:
@@ -205,25 +220,6 @@ def _fits(c: str, left: str, right: str) -> bool:
     return True
 
 
-_GONE = r"(?:[鈥窶]�|鈥斅�|â€�|�{1,4})"
-#: What a replacement character must have been, by its neighbours.
-_LOST = [(re.compile(p.replace("@", _GONE)), sign) for p, sign in (
-    (r"(?<=[A-Za-z])@(?=s\b)", "’"),
-    (r"(?<=§)�(?=\d)", "\u00a0"),
-    (r"(?<=[ (\n])@(?=[ \u00a0]?\d{3}\.\d)", "§"),
-    (r"(?<=[ (\n])�{4}(?=\d{3}\.\d)", "§\u00a0"),
-    (r"(?<=[\n ])@(?=[A-Za-z][A-Za-z -]{2,60}[.,]?@)", "“"),
-    (r"(“[A-Za-z][A-Za-z \n-]{1,60}[.,]?)@", r"\1”"),
-    (r"(?<=[.a-z])@(?=s\. \d|\n)", "—"),
-    (r"(?<=rights\.)@", "”"),
-    (r"(?<=\d)�{1,2}(?= per gallon)", "¢"),
-    (r"(?<=60)�{1,2}(?=F\b)", "°"),
-    (r"\br�{1,2}sum�{1,2}(?=\W|$)", "résumé"),
-    (r"(?<=[a-z])@(?=(?:including|shall|it is|and|or)\b)", "—"),
-    (r"(?<=exemption)@�{0,2}½?(?= of the rate)", "—½"),
-)]
-
-
 class Restored:
     """A text, the chains that were undone, and what stays lost."""
 
@@ -238,39 +234,85 @@ def _windows(text: str, runs: list[re.Match], done: list[str]) -> str:
     return "".join(dict.fromkeys(text[max(0, m.start() - _CONTEXT) : m.start()] + d + text[m.end() : m.end() + _CONTEXT] for m, d in zip(runs, done)))
 
 
-def _suspicious(run: str) -> bool:
-    return any(c not in SOUND for c in run)
+def _candidates(runs: list[re.Match], text: str, model: Model) -> list[tuple[int, str, list[str]]]:
+    """(layers, name, decoded runs) of every chain that changes some run."""
+    plain = [m.group() for m in runs]
+    around = [(text[m.start() - 1] if m.start() else " ", text[m.end()] if m.end() < len(text) else " ") for m in runs]
+    # entities of one character are sound; several in a row, or beside other signs, may be bytes
+    opened = [html.unescape(r) if "&" in r and (len(_ENTITY.findall(r)) > 1 or len(_ENTITY.sub("", r))) else r for r in plain]
+    chains: list[tuple[int, str, list[str]]] = []
+    for step in STEPS:
+        now = [r if "&" not in r else p for r, p in zip(opened, plain)]
+        layer = 0
+        while True:
+            new = [d if (d := decoded(r, step, *a)) is not None else r for r, a in zip(now, around)]
+            if step[1] != "utf-8":
+                new = [n if all(c in model.alphabet for c in n) else o for n, o in zip(new, now)]
+            if new == now:
+                break
+            layer += 1
+            now = new
+            done = [n if n != o else p for n, o, p in zip(now, opened, plain)]
+            name = ("html>" if any("&" in p and n != p for p, n in zip(plain, done)) else "") + f"{step[0]}>{step[1]}" + (f"x{layer}" if layer > 1 else "")
+            chains.append((layer, name, done))
+            if step[1] != "utf-8":
+                break  # a second one-byte step would only permute signs
+    return chains
+
+
+_LOST = re.compile(r"[^\x00-\x7f\ufffd]{0,3}\ufffd+[^\x00-\x7f\ufffd]{0,2}")
+
+
+def _fillings(lost: str, model: Model) -> list[str]:
+    """Runs of the model that the loss may have left like this: by the lead bytes that still stand, or
+    by the number of bytes (or of one-byte signs) that are gone."""
+    n = lost.count("\ufffd")
+    head, tail = lost.split("\ufffd", 1)[0], lost.rsplit("\ufffd", 1)[1]
+    out = []
+    for run in model.runs:
+        if not head and not tail:
+            fits = len(run) == n or len(run.encode("utf-8", "ignore")) == n or (len(run) == 1 and n <= 4)
+        else:
+            fits = run.startswith(head) and run.endswith(tail) and len(run) > len(head) + len(tail)
+        if not fits and head and not tail:
+            for wrong, good in STEPS:
+                if good == "utf-8" and (data := _bytes(head, wrong)) and data[0] >= 0xC2 and run.encode("utf-8", "ignore").startswith(data) and len(run.encode("utf-8", "ignore")) > len(data):
+                    fits = True
+                    break
+        if fits:
+            out.append(run)
+    return out
 
 
-def restore(text: str) -> Restored:
+def fill_lost(text: str, model: Model) -> tuple[str, list[str]]:
+    """Fills lost signs where one run describes the place better than all others and than the loss."""
+    parts, at, filled = [], 0, []
+    for m in _LOST.finditer(text):
+        ways = _fillings(m.group(), model)
+        if not ways:
+            continue
+        left, right = text[max(0, m.start() - _AROUND) : m.start()], text[m.end() : m.end() + _AROUND].split("\ufffd")[0]
+        if "\ufffd" in left:
+            left = ("".join(parts) + text[at : m.start()])[-_AROUND:]
+        ranked = sorted((model.description_length(left + w + right), i) for i, w in enumerate(ways))
+        if ranked[0][0] + LEAST_GAIN <= model.description_length(left + m.group() + right) and (len(ranked) == 1 or ranked[0][0] + SURE <= ranked[1][0]):
+            parts += [text[at : m.start()], ways[ranked[0][1]]]
+            at = m.end()
+            filled.append(f"lost>{ways[ranked[0][1]]}")
+    return "".join(parts) + text[at:], filled
+
+
+def restore(text: str, model: Model) -> Restored:
     """Undoes wrong decodings in a text as far as that makes it shorter to describe."""
     out = Restored(text)
     if text.isascii() and "&" not in text:
         return out
-    for _ in range(MOST_ROUNDS):
-        runs = [m for m in _RUN.finditer(text) if _suspicious(m.group())]
-        if not runs:
-            break
-        plain = [m.group() for m in runs]
-        around = [(text[m.start() - 1] if m.start() else " ", text[m.end()] if m.end() < len(text) else " ") for m in runs]
-        # entities of one character are sound; several in a row, or beside other signs, may be bytes
-        opened = [html.unescape(r) if "&" in r and (len(_ENTITY.findall(r)) > 1 or len(_ENTITY.sub("", r))) else r for r in plain]
-        chains: list[tuple[int, str, list[str]]] = []
-        for step in STEPS:
-            now = [r if "&" not in r else p for r, p in zip(opened, plain)]
-            for layer in range(1, MOST_LAYERS + 1 if step[1] == "utf-8" else 2):
-                new = [d if (d := decoded(r, step, *a)) is not None else r for r, a in zip(now, around)]
-                if new == now:
-                    break
-                now = new
-                done = [n if n != o else p for n, o, p in zip(now, opened, plain)]
-                name = ("html>" if any("&" in p and n != p for p, n in zip(plain, done)) else "") + f"{step[0]}>{step[1]}" + (f"x{layer}" if layer > 1 else "")
-                chains.append((layer, name, done))
+    while runs := [m for m in _RUN.finditer(text) if model.suspicious(m.group())]:  # every round shortens the description
         best = None
-        if chains:
-            stays = description_length(_windows(text, runs, plain))
+        if chains := _candidates(runs, text, model):
+            stays = model.description_length(_windows(text, runs, [m.group() for m in runs]))
             for layer, name, done in chains:
-                length = description_length(_windows(text, runs, done)) + STEP_COST * layer + (0 if ">utf-8" in name else SINGLE_COST)
+                length = model.description_length(_windows(text, runs, done)) + STEP_COST * layer + (0 if ">utf-8" in name else SINGLE_COST)
                 if length + LEAST_GAIN <= stays and (best is None or length < best[0]):
                     best = (length, name, done)
         if best is None:
@@ -282,40 +324,93 @@ def restore(text: str) -> Restored:
             parts += [text[at : m.start()], d]
             at = m.end()
         text = "".join(parts) + text[at:]
-    if "�" in text:
+    if "\ufffd" in text:
         out.found = True
-        for pattern, sign in _LOST:
-            text, n = pattern.subn(sign, text)
-            if n:
-                out.chains.append(f"lost>{sign}")
-    out.lost = sum(1 for c in text if c == "�" or "\x80" <= c <= "\x9f")
+        text, filled = fill_lost(text, model)
+        out.chains += filled
+    out.lost = sum(1 for c in text if c == "\ufffd" or "\x80" <= c <= "\x9f")
     out.found = out.found or out.lost > 0
     out.text = text
     return out
 
 
-#: Texts without such a sign cannot be garbled and are not looked at further.
-_MAY = re.compile(rf"[^\x00-\x7f{SOUND}é]|&[A-Za-z#][A-Za-z0-9]{{1,7}};(?:[^\x00-\x7f]|&)")
+def undamaged(text: str) -> bool:
+    """Has the text no sign of loss, and no run that was UTF-8 once?"""
+    if "\ufffd" in text or any("\x80" <= c <= "\x9f" for c in text):
+        return False
+    return not any(decoded(r, s) is not None for r in set(_SIGNS.findall(text)) for s in STEPS if s[1] == "utf-8")
+
+
+_SIGNS = re.compile(r"[^\x00-\x7f]+")
 
 
-def restore_texts(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The garbled rows: ``keep`` columns, chains undone, characters still lost, the restored text."""
-    extra = [StructField("chains", ArrayType(StringType())), StructField("n_lost", IntegerType()), StructField("restored_text", StringType())]
+def fit(texts: DataFrame, others: DataFrame | None = None, lang: str = "lang", text: str = "text") -> Model:
+    """Dictionaries from all undamaged texts of ``texts`` (those to restore) and ``others``, by the
+    language in ``lang``; common signs from ``texts``."""
+    pick = lambda df, own: df.select(F.lit(own).alias("own"), F.substring(F.lower(F.trim(F.col(lang).cast("string"))), 1, 2).alias("lang"), F.col(text).cast("string").alias("t"))
+    source = pick(texts, True) if others is None else pick(texts, True).unionByName(pick(others, False))
+    source = source.where("t is not null and t <> ''")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            cols = list(zip(*held)) or [()] * 4
+            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols] + [pa.array(list(held.values()), pa.int64())], names=["lang", "lft", "run", "rgt", "n"])
+            held.clear()
+            return batch
+
+        for b in batches:
+            for own, lang_, t in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if own:
+                    held["", "", "", ""] += 1
+                if t.isascii() or not undamaged(t):
+                    continue
+                lang_ = lang_ if lang_ in LANGUAGES else LANGUAGES[-1]
+                for m in _SIGNS.finditer(t):
+                    held[lang_, t[max(0, m.start() - _AROUND) : m.start()], m.group(), t[m.end() : m.end() + _AROUND]] += 1
+                if own:
+                    for c in {c for c in t if c > "\x7f"}:
+                        held["", "", c, ""] += 1
+                if len(held) > _HELD:
+                    yield out()
+        yield out()
+
+    ensure_checkpoint_dir(texts.sparkSession)
+    counts = source.mapInArrow(run, "lang string, lft string, run string, rgt string, n long").groupBy("lang", "lft", "run", "rgt").agg(F.sum("n").alias("n")).checkpoint()
+    signs = {r["run"]: r["n"] for r in counts.where("lang = ''").select("run", "n").collect()}  # as many rows as there are signs
+    common = "".join(sorted(c for c, n in signs.items() if c and n >= COMMON * signs.get("", 0)))
+    windows = {}
+    for name in LANGUAGES:
+        rows = counts.where(F.col("lang") == name).orderBy(F.desc("n"), "lft", "run", "rgt").limit(MOST_WINDOWS).collect()
+        windows[name] = [(r["lft"], r["run"], r["rgt"], r["n"]) for r in rows]
+    return train(windows, common)
+
+
+def restore_texts(df: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
+    """The garbled rows: ``keep`` columns, chains undone, characters still lost, what came of it
+    (``restored``, ``partly`` or ``lost``: damage was seen, nothing could be undone), the restored text."""
+    extra = [StructField("chains", ArrayType(StringType())), StructField("n_lost", IntegerType()), StructField("outcome", StringType()), StructField("restored_text", StringType())]
     names = [c for c in keep if c not in {f.name for f in extra}]
     schema = StructType([df.schema[c] for c in names] + extra)
     source = df.select(*[F.col(f"`{c}`") for c in names], F.col(text).cast("string").alias("__text"))
 
+    parts = model.parts  # a few hundred KB: see MOST_WINDOWS and DICTIONARY_BYTES
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Model(*parts)
         for b in batches:
-            rows, chains, lost, texts = [], [], [], []
+            rows, chains, lost, outcome, texts = [], [], [], [], []
             for r, t in enumerate(b.column(len(names)).to_pylist()):
-                if t and _MAY.search(t) and (x := restore(t)).found:
+                if t and (x := restore(t, m)).found:
                     rows.append(r)
                     chains.append(x.chains)
                     lost.append(x.lost)
+                    outcome.append("restored" if not x.lost else "partly" if x.chains else "lost")
                     texts.append(x.text)
             kept = b.take(pa.array(rows, pa.int64()))
-            cols = [kept.column(i) for i in range(len(names))] + [pa.array(chains, pa.list_(pa.string())), pa.array(lost, pa.int32()), pa.array(texts, pa.string())]
+            cols = [kept.column(i) for i in range(len(names))]
+            cols += [pa.array(chains, pa.list_(pa.string())), pa.array(lost, pa.int32()), pa.array(outcome, pa.string()), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return source.mapInArrow(run, schema)

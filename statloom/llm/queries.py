@@ -14,8 +14,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _restored(spark: SparkSession, d: str) -> DataFrame:
-    both = [table(spark, d, t).select(F.lit(t).alias("src_table"), "raw_id", "text") for t in ("raw_statutes", "raw_taas")]
-    return mojibake.restore_texts(both[0].unionByName(both[1]), ["src_table", "raw_id"])
+    both = [table(spark, d, t).select(F.lit(t).alias("src_table"), "raw_id", F.lit("en").alias("lang"), "text") for t in ("raw_statutes", "raw_taas")]
+    texts = both[0].unionByName(both[1])
+    return mojibake.restore_texts(texts, mojibake.fit(texts, table(spark, d, "documents").select("lang", "text")), ["src_table", "raw_id"])
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

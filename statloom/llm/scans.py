@@ -70,8 +70,11 @@ _HELD = 400_000
 SOFT = "­¬‐‑"
 _SOUND = "’‘“”—–…§½¼¾°¢£€ «»¿¡•" + SOFT
 _WORD = re.compile(r"[^\W_]+(?:[|!][^\W_]+)*")
-_HYPHEN = re.compile(r"(?<=[^\W\d_])-(?=([^\W\d_]+))")
+_PLAIN = re.compile(r"\w+")
+_HYPHEN = re.compile(r"-(?<=[^\W\d_]-)(?=([^\W\d_]+))")
 _LINE_MARK = re.compile(r"(?<=[^\W\d_])([-­¬‐‑]|[^\w\s.,;:!?)\]”’\"'(]{1,6}|[^\x00-\x7f]{1,6}\??|\?)[ \t]*\r?\n((?:[^\n]{0,80}\n)*?)[ \t]*([^\W\d_]+)")
+_NO_MARK = frozenset(".,;:!)]”’\"'(")
+_MAY_BE_SPACED = re.compile(r"[ \n]\w[ \n]\w[ \n]\w(?!\w)")
 _SPACED = re.compile(r"(?<![^\s(“\"])(?:[^\W\d_](?: |\n)){3,}[^\W\d_](?![^\s.,;:)”])")
 _NUMBERED = re.compile(r"\d(?:[\dA-Z.,]*\d)?")
 _ROMAN = re.compile(r"[ivxl]{1,6}|[IVXL]{1,6}")
@@ -248,13 +251,30 @@ def _letters_before(text: str, at: int) -> int:
 def broken_words(text: str) -> list[tuple[int, int, str, str, str, str]]:
     """(start, end, left part, mark, lines between, right part) of words that a line end may have broken."""
     out = []
-    for m in _LINE_MARK.finditer(text):
-        k = _letters_before(text, m.start())
-        if k < m.start():
-            out.append((k, m.end(), text[k : m.start()], m.group(1), m.group(2), m.group(3)))
+    at = text.find("\n")
+    while at > 0:
+        k = at - 1
+        while k > 0 and text[k] in " \t\r":
+            k -= 1
+        last = text[k]
+        if not last.isalnum() and last not in _NO_MARK:  # a mark of up to six signs ends here
+            for back in range(max(0, k - 6), k + 1):
+                if (m := _LINE_MARK.match(text, back)) and m.end(1) == k + 1:
+                    left = _letters_before(text, m.start())
+                    out.append((left, m.end(), text[left : m.start()], m.group(1), m.group(2), m.group(3)))
+                    break
+        at = text.find("\n", at + 1)
     return out
 
 
+def spaced_words(text: str) -> list[re.Match]:
+    return list(_SPACED.finditer(text)) if _MAY_BE_SPACED.search(text) else []
+
+
+def words_of(low: str) -> list[str]:
+    return (_WORD if "|" in low or "!" in low or "_" in low else _PLAIN).findall(low)
+
+
 # --- counting ----------------------------------------------------------------------------------
 
 
@@ -283,7 +303,7 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
                     rest["s", shape, ""] += 1
                     if stops:  # told apart by text, so that copies of one text are no witnesses
                         rest["k", shape, format(xxhash.xxh32_intdigest(t) % 64)] += 1
-                for m in _SPACED.finditer(low):
+                for m in spaced_words(low):
                     for word in _unspaced(m.group()):
                         rest["j", word, ""] += 1
                 if broken := broken_words(low):  # their pieces are no words
@@ -296,7 +316,7 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
                 if "-" in low:
                     for m in _HYPHEN.finditer(low):
                         rest["c", low[_letters_before(low, m.start()) : m.start()], m.group(1)] += 1
-                found = [_normal[w] for w in _WORD.findall(low)]
+                found = [_normal[w] for w in words_of(low)]
                 words.update(set(found))  # texts that hold it: one long text is one witness
                 pairs.update(set(zip(found, found[1:])))
                 if len(words) + len(pairs) + len(rest) > _HELD:
@@ -426,7 +446,7 @@ def text_events(text: str, is_suspect) -> list[tuple]:
         out.append(("page", at, at + 1, "", "", "", None, None))
         at = text.find("\f", at + 1)
     covered: list[tuple[int, int]] = []
-    for m in _SPACED.finditer(text):
+    for m in spaced_words(text):
         covered.append(m.span())
         for rank, word in enumerate(_unspaced(m.group())):
             out.append(("spaced", m.start(), m.end(), word.lower(), str(rank), "", None, None))
@@ -436,7 +456,7 @@ def text_events(text: str, is_suspect) -> list[tuple]:
                 covered.append((start, end))
                 x = (left + right).lower()
                 out.append(("broken", start, end, x, f"{left.lower()} {right.lower()}", ("lines " if between.strip() else "") + mark, None, None))
-    words = _WORD.findall(low)
+    words = words_of(low)
     if any(map(is_suspect, set(words))):
         spans = [m.span() for m in _WORD.finditer(low)]
         normal = [_normal[w] for w in words]
