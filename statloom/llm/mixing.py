@@ -1,15 +1,16 @@
 """Mixing sources to target weights.
 
-Each source's tokens are packed into fixed-length blocks (documents in the order of a seeded hash,
-each in the block its first token falls in, so no document is cut).  A source's quota is its share
-of the total; whole passes over the source are used first, the rest is taken from its blocks in the
-order of a pseudorandom index permutation until the quota is met to within half a record.  The slots
-of all sources are dealt to output shards by multinomial draws, conditioned on the quotas so that
-the shares come out exactly, and blocks are joined to their slots by index.
-
-Running sums over a source are made in two levels (sums per hash range, then within the range), so
-a source that holds most of the rows is never one task's work.  Only per-source totals (as many
-rows as there are targets) reach the driver.
+Each source's tokens, its documents laid end to end in the order of a seeded hash, are packed into
+blocks of ``BLOCK_TOKENS`` tokens (the last one of a source may be shorter); a document is the spans
+it has in blocks.  A source's quota is its share of the total, in blocks, at most ``max_repeats``
+times what it has.  Every output shard draws the number of its slots for each source from a
+multinomial distribution over the quotas; the cumulated counts of each source are then stretched so
+that they end at its quota exactly.  A source's slots run through its blocks in the order of a
+pseudorandom index permutation, a new one each pass, and spans are joined to slots by block index.
+
+Running sums over a source are made in two levels (sums per range, then within the range), so a
+source that holds most of the rows is never one task's work.  Only per-source totals (as many rows
+as there are targets) reach the driver.
 
 Defined edge cases: sources are matched after folding their spelling; documents of other or no
 sources are left out but count into the total; null and empty texts have 0 tokens and are never
@@ -31,8 +32,8 @@ from statloom.llm.budget import folded_source
 from statloom.llm.tokens import VOCABULARY, with_tokens
 from statloom.session import ensure_checkpoint_dir
 
-#: Tokens of a block, slots of an output shard, and hash ranges of a source.
-BLOCK_TOKENS, SHARD_SLOTS, RANGES = 1024, 256, 1024
+#: Tokens of a block, slots of an output shard, and hash ranges of a source (shards of a range too).
+BLOCK_TOKENS, SHARD_SLOTS, RANGES = 256, 1024, 1024
 SEED = 42
 #: Most targets: the table of targets is a fixed, small one.
 MOST_TARGETS = 10_000
@@ -85,142 +86,106 @@ def _running(df: DataFrame, by: list[str], level: str, order: list[str], value:
 
 
 def quotas(sized: DataFrame, targets: DataFrame) -> pd.DataFrame:
-    """Per target source: tokens it has, tokens wanted, whole passes, and the rest in tokens."""
+    """Per target source: tokens and blocks it has, tokens wanted, and its quota of slots."""
     t = targets.select(folded_source(F.col("source")).alias("source"), "target_share", "max_repeats").where("source is not null").limit(MOST_TARGETS + 1).toPandas()
     if len(t) > MOST_TARGETS:
         raise ValueError("mix targets are expected to be a small table")
     t = t.drop_duplicates("source").sort_values("source", ignore_index=True)
-    sums = sized.groupBy("source").agg(F.sum(F.col("tokens").cast("long")).alias("n"), F.count_if(F.col("tokens") > 0).alias("docs"))
-    have = {r["source"]: (int(r["n"] or 0), int(r["docs"])) for r in sums.collect()}
-    total = sum(n for n, _ in have.values())
-    t["available"] = [have.get(s, (0, 0))[0] for s in t["source"]]
+    have = {r["source"]: int(r["n"] or 0) for r in sized.groupBy("source").agg(F.sum(F.col("tokens").cast("long")).alias("n")).collect()}
+    total = sum(have.values())
+    t["source_no"] = range(len(t))
+    t["max_repeats"] = t["max_repeats"].fillna(1).clip(lower=0).astype("int64")
+    t["available"] = [have.get(s, 0) for s in t["source"]]
     t["blocks"] = [-(-n // BLOCK_TOKENS) for n in t["available"]]
     t["total"] = total
-    t["wanted"] = (t["target_share"].astype(float).fillna(0.0) * total).round().astype("int64")
-    most = t["available"] * t["max_repeats"].fillna(1).clip(lower=0).astype("int64")
-    given = np.minimum(t["wanted"], most)
-    safe = t["available"].clip(lower=1)
-    t["passes"] = np.where(t["available"] > 0, given // safe, 0)
-    t["rest"] = np.where(t["available"] > 0, given - t["passes"] * t["available"], 0)
+    t["wanted"] = [round(float(x if x == x else 0.0) * total) for x in t["target_share"].astype(float)]
+    t["slots"] = [min(round(w * b / n), b * m) if n else 0 for w, b, n, m in zip(t["wanted"], t["blocks"], t["available"], t["max_repeats"])]
     return t
 
 
-def _blocks(sized: DataFrame, plan: DataFrame) -> DataFrame:
-    """Documents of the targets with block, place in the block, and the block's slot."""
+def spans(sized: DataFrame) -> DataFrame:
+    """(doc_id, source, block, first_token, span_tokens, tokens): documents as the spans they have in blocks."""
     docs = sized.where("source is not null and tokens > 0").select("doc_id", "source", F.col("tokens").cast("long").alias("tokens"), "h", "range")
     placed = _running(docs, ["source"], "range", ["h", "doc_id"], "tokens", "begin")
-    placed = placed.withColumn("block", (F.col("begin") / BLOCK_TOKENS).cast("long"))
-    return placed.withColumn("in_block", F.col("begin") - F.col("block") * BLOCK_TOKENS).join(F.broadcast(plan), "source")
+    size = F.lit(BLOCK_TOKENS).cast("long")
+    first, last = F.floor(F.col("begin") / size), F.floor((F.col("begin") + F.col("tokens") - 1) / size)
+    cut = placed.select("doc_id", "source", "tokens", "begin", F.explode(F.sequence(first, last)).alias("block"))
+    lo, hi = F.greatest(F.col("begin"), F.col("block") * size), F.least(F.col("begin") + F.col("tokens"), (F.col("block") + 1) * size)
+    return cut.select("doc_id", "source", "block", (lo - F.col("begin")).alias("first_token"), (hi - lo).alias("span_tokens"), "tokens")
 
 
-def mix(spark: SparkSession, documents: DataFrame, targets: DataFrame, path: str = VOCABULARY, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(chosen records with their uses and output shards, quotas per source)."""
+def draw(quota: list[int], shard: int, shards: int, shard_slots: int, seed: int) -> np.ndarray:
+    """One shard's slots for each source: a multinomial draw over the quotas."""
+    total = sum(quota)
+    n = shard_slots if shard < shards - 1 else total - shard_slots * (shards - 1)
+    return np.random.default_rng([seed, shard]).multinomial(n, np.array(quota, dtype=float) / total)
+
+
+def shard_slots(spark: SparkSession, plan: pd.DataFrame, seed: int = SEED, size: int = SHARD_SLOTS) -> DataFrame:
+    """(source_no, block, shard) of every slot: counts drawn in every shard, stretched to the quotas."""
+    quota, blocks = [int(n) for n in plan["slots"]], [int(n) for n in plan["blocks"]]
+    total = sum(quota)
+    shards = -(-total // size)
+
+    def drawn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            counts = [draw(quota, int(i), shards, size, seed) for i in f["id"]]
+            yield pd.DataFrame({
+                "shard": np.repeat(f["id"].to_numpy(), len(quota)),
+                "source_no": np.tile(np.arange(len(quota), dtype=np.int32), len(f)),
+                "n": np.concatenate(counts).astype(np.int64) if counts else np.empty(0, np.int64),
+            })
+
+    counts = spark.range(shards).mapInPandas(drawn, "shard long, source_no int, n long").withColumn("range", F.floor(F.col("shard") / RANGES))
+    before = _running(counts, ["source_no"], "range", ["shard"], "n", "before")
+    sums = counts.groupBy("source_no").agg(F.sum("n").alias("all_n"))  # a row a target
+    named = spark.createDataFrame([(i, q) for i, q in enumerate(quota)], "source_no int, quota long")
+    both = before.join(F.broadcast(sums), "source_no").join(F.broadcast(named), "source_no")
+    at = lambda n: F.floor(n * F.col("quota") / F.greatest(F.col("all_n"), F.lit(1)))
+    last = F.col("shard") == shards - 1
+    runs = both.select("source_no", "shard", at(F.col("before")).alias("lo"), F.when(last, F.col("quota")).otherwise(at(F.col("before") + F.col("n"))).alias("hi")).where("hi > lo")
+
+    def placed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for no, shard, lo, hi in f.itertuples(index=False):
+                place = np.arange(lo, hi, dtype=np.int64)
+                out = np.empty_like(place)
+                for turn in np.unique(place // blocks[no]):  # every pass has a permutation of its own
+                    mine = place // blocks[no] == turn
+                    out[mine] = permuted(place[mine] % blocks[no], blocks[no], seed + no * 1_000_003 + int(turn))
+                yield pd.DataFrame({"source_no": np.full(len(place), no, np.int32), "block": out, "shard": np.full(len(place), shard, np.int64)})
+
+    return runs.mapInPandas(placed, "source_no int, block long, shard long")
+
+
+def mix_spans(spark: SparkSession, documents: DataFrame, targets: DataFrame, path: str = VOCABULARY, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """(chosen spans: doc_id, source, block, first_token, span_tokens, tokens, uses, shards, max_repeats; plan)."""
     ensure_checkpoint_dir(spark)
     # numbers only; read several times below, and tokenized once
     sized = sized_documents(documents, targets, path, seed).checkpoint()
     q = quotas(sized, targets)
-    numbers = {s: i for i, s in enumerate(q["source"])}
-    plan_rows = [(s, numbers[s], int(b), int(p), int(r), int(m or 1)) for s, b, p, r, m in zip(q["source"], q["blocks"], q["passes"], q["rest"], q["max_repeats"].fillna(1))]
-    plan = spark.createDataFrame(plan_rows, "source string, source_no int, blocks long, passes long, rest long, max_repeats int")
-    docs = _blocks(sized, plan)
+    plan = spark.createDataFrame(q, "source string, target_share double, max_repeats long, source_no int, available long, blocks long, total long, wanted long, slots long") if len(q) else spark.createDataFrame([], "source string, target_share double, max_repeats long, source_no int, available long, blocks long, total long, wanted long, slots long")
+    if not q["slots"].sum():
+        empty = spans(sized).where("false").withColumns({"uses": F.lit(0), "shards": F.array(F.lit(0).cast("long")), "max_repeats": F.lit(0).cast("long")})
+        return empty, plan
+    # as long as max_repeats at most
+    used = shard_slots(spark, q, seed).groupBy("source_no", "block").agg(F.count("*").cast("int").alias("uses"), F.array_sort(F.collect_list("shard")).alias("shards"))
+    used = used.join(F.broadcast(plan.select("source_no", "source", "max_repeats")), "source_no").drop("source_no")
+    return spans(sized).join(used, ["source", "block"]), plan
 
-    # the slot of each block in the permuted order of its source, and the tokens before it
-    sizes = {numbers[s]: int(b) for s, b in zip(q["source"], q["blocks"])}
 
-    def slots_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            f["slot"] = 0
-            for no, g in f.groupby("source_no"):
-                f.loc[g.index, "slot"] = permuted(g["block"].to_numpy(), sizes[no], seed + no)
-            yield f
-
-    per_block = docs.groupBy("source", "source_no", "block", "passes", "rest").agg(F.sum("tokens").alias("block_tokens"))
-    slotted = per_block.mapInPandas(slots_of, "source string, source_no int, block long, passes long, rest long, block_tokens long, slot long")
-    slotted = _running(slotted.withColumn("span", (F.col("slot") / 4096).cast("long")), ["source"], "span", ["slot"], "block_tokens", "before")
-    chosen = slotted.withColumn("in_rest", F.col("before") < F.col("rest")).where("in_rest or passes > 0")
-
-    # output shards: slots of all passes, dealt by conditional multinomial draws
-    slots_per = [int(b * p + -(-r // BLOCK_TOKENS)) for b, p, r in zip(q["blocks"], q["passes"], q["rest"])]
-    uses = chosen.select(
-        "source", "block", "before", "rest", "in_rest", "passes", "slot",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes") - F.when(F.col("in_rest"), 0).otherwise(1))).alias("use"),
-        F.col("source_no"),
-    ).join(F.broadcast(plan.select("source", "blocks")), "source")
-    uses = uses.withColumn("place", F.col("use") * F.col("blocks") + F.col("slot"))
-    dealt = uses.join(
-        deal_slots(spark, slots_per, seed).withColumnRenamed("source_number", "source_no").hint("merge"), ["source_no", "place"], "left"
-    )
-    # a short last slot may lie beyond the quota in blocks: it goes to the last shard
-    last = max(0, -(-sum(slots_per) // SHARD_SLOTS) - 1)
-    dealt = dealt.withColumn("shard", F.coalesce("shard", F.lit(last).cast("long")))
-    by_block = dealt.groupBy("source", "block").agg(
-        F.array_sort(F.collect_list(F.struct("use", "shard"))).alias("uses_of"),
-        F.first("before").alias("before"), F.first("rest").alias("rest"), F.first("in_rest").alias("in_rest"), F.first("passes").alias("passes"),
-    )
-    first_in_block = Window.partitionBy("source", "block").orderBy("in_block", "h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    docs = docs.select("doc_id", "source", "tokens", "h", "block", "in_block", "max_repeats").withColumn(
-        "ahead", F.coalesce(F.sum("tokens").over(first_in_block), F.lit(0))
-    )
-    out = docs.join(by_block, ["source", "block"])
-    n = F.col("passes") + F.when(F.col("in_rest") & (F.col("before") + F.col("ahead") + F.col("tokens") / 2 < F.col("rest")), 1).otherwise(0)
-    out = out.withColumn("uses", n.cast("int")).where("uses > 0")
-    shards = F.transform(F.slice("uses_of", 1, F.col("uses")), lambda u: u["shard"])
-    return out.select("doc_id", "source", "tokens", "uses", "max_repeats", F.col("block"), shards.alias("shards")), spark.createDataFrame(
-        q.astype({"max_repeats": "float64"}) if len(q) else q,
-        "source string, target_share double, max_repeats double, available long, blocks long, total long, wanted long, passes long, rest long",
+def mix(spark: SparkSession, documents: DataFrame, targets: DataFrame, path: str = VOCABULARY, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """(chosen records: doc_id, source, tokens, used_tokens, uses (of its most used part), spans, max_repeats; plan)."""
+    chosen, plan = mix_spans(spark, documents, targets, path, seed)
+    records = chosen.groupBy("doc_id", "source", "tokens", "max_repeats").agg(
+        F.sum(F.col("span_tokens") * F.col("uses")).alias("used_tokens"), F.max("uses").alias("uses"), F.count("*").alias("spans")
     )
+    return records.select("doc_id", "source", "tokens", "used_tokens", "uses", "spans", "max_repeats"), plan
 
 
-def shard_counts(quota: list[int], shard_slots: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first slot, number of slots) of each source in one shard.
-
-    Multinomial draws given the quotas, by halving: a node's draw splits its counts between its
-    halves (multivariate hypergeometric), seeded by the node, so every shard can be computed by
-    itself in as many steps as the tree is deep.
-    """
-    counts = np.array(quota, dtype=np.int64)
-    begin = np.zeros_like(counts)
-    lo, hi = 0, max(1, -(-int(counts.sum()) // shard_slots))
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        left_slots = min(int(counts.sum()), (mid - lo) * shard_slots)
-        total = int(counts.sum())
-        if total < 900_000_000:
-            left = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(counts, left_slots, method="marginals")
-        else:  # beyond the generator's range a share's spread is below one in ten thousand
-            exact = counts * (left_slots / total)
-            left = np.floor(exact).astype(np.int64)
-            short = left_slots - int(left.sum())
-            left[np.argsort(left - exact)[:short]] += 1
-        if shard < mid:
-            counts, hi = left, mid
-        else:
-            begin, counts, lo = begin + left, counts - left, mid
-    return begin, counts
-
-
-def deal_slots(spark: SparkSession, quota: list[int], seed: int = SEED, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """(source_number, place, shard) for every slot, made in parallel from the shard numbers."""
-    n = -(-sum(quota) // shard_slots)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for shard in f["id"]:
-                begin, counts = shard_counts(quota, shard_slots, int(shard), seed)
-                yield pd.DataFrame({
-                    "source_number": np.repeat(np.arange(len(quota), dtype=np.int32), counts),
-                    "place": np.concatenate([np.arange(b, b + c, dtype=np.int64) for b, c in zip(begin, counts)] or [np.empty(0, np.int64)]),
-                    "shard": np.full(int(counts.sum()), shard, dtype=np.int64),
-                })
-
-    return spark.range(n).mapInPandas(run, "source_number int, place long, shard long")
-
-
-def share_report(chosen: DataFrame, plan: DataFrame) -> DataFrame:
+def share_report(records: DataFrame, plan: DataFrame) -> DataFrame:
     """Per source: target and reached share, tokens, records, most uses, and whether it was capped."""
-    got = chosen.groupBy("source").agg(
-        F.sum(F.col("tokens") * F.col("uses")).alias("used_tokens"), F.count("*").alias("n_records"), F.max("uses").alias("most_uses")
-    )
+    got = records.groupBy("source").agg(F.sum("used_tokens").alias("used_tokens"), F.count("*").alias("n_records"), F.max("uses").alias("most_uses"))
     joined = plan.join(got, "source", "left").fillna(0, ["used_tokens", "n_records", "most_uses"])
     whole = joined.agg(F.sum("used_tokens").alias("all_used"))
     return joined.join(F.broadcast(whole)).select(

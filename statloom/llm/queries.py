@@ -86,6 +86,10 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(spark, table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
 
 
+def p7_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_spans(spark, table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.share_report(*mixing.mix(spark, table(spark, d, "documents"), table(spark, d, "mix_targets")))
 
@@ -105,7 +109,7 @@ def p8_clean_corpus(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_restored, p3_found, p3_repaired, p4_token_budget, p4_chunk_verdicts, p5_found, p5_pieces, p5_pieces_tokens, p6_pack_small, p6_pack_large, p6_fill, p7_mix, p7_shares, p8_found, p8_report, p8_clean_corpus)
+    for f in (p1_found, p1_restored, p3_found, p3_repaired, p4_token_budget, p4_chunk_verdicts, p5_found, p5_pieces, p5_pieces_tokens, p6_pack_small, p6_pack_large, p6_fill, p7_mix, p7_blocks, p7_shares, p8_found, p8_report, p8_clean_corpus)
 }
 
 SQL: dict[str, str] = {
