@@ -9,8 +9,9 @@ classes serve as fill.  Rows are handled in blocks of (key, length), never with
 
 Defined edge cases: an item above the capacity becomes full containers plus a rest that is packed
 like an item; null and empty texts have 0 tokens and take no room (they join any container);
-repeated keys are items of their own.  A container id is ``<partition>-<n>`` and holds for the
-input files as they are read.
+repeated keys are items of their own.  A container id is ``<partition>-<n>``: which items share a
+container follows from how the input is split over workers (as the method has it, they work
+independently); that every item is placed once and no container is too full does not.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 
 from statloom.llm.tokens import VOCABULARY, with_tokens
 
-#: Items packed together by one worker; bounds its memory, not the result.
+#: Items packed together by one worker.  A parameter of the result as well: a worker's items go into
+#: containers of their own every so many, so each such group leaves at most one container half empty.
 BLOCK_ITEMS = 250_000
 
 
@@ -80,9 +82,14 @@ def pack(lengths: list[int], capacity: int) -> list[list[int]]:
 def pack_documents(documents: DataFrame, capacity: int, key: str = "doc_id", text: str = "text", path: str = VOCABULARY) -> DataFrame:
     """One row per placed part: key, part (0 unless divided), first token, tokens, harmonic class,
     container, and the tokens the container holds in all."""
+    return pack_sized(with_tokens(documents, text=text, path=path, keep=[key]), capacity, key)
+
+
+def pack_sized(sized: DataFrame, capacity: int, key: str = "doc_id") -> DataFrame:
+    """As :func:`pack_documents`, for (key, tokens) rows."""
     if capacity < 1:
         raise ValueError("capacity must be positive")
-    sized = with_tokens(documents, text=text, path=path, keep=[key])
+    sized = sized.select(key, "tokens")
     schema = StructType([
         sized.schema[key], StructField("part", IntegerType()), StructField("first_token", IntegerType()), StructField("tokens", IntegerType()),
         StructField("class", IntegerType()), StructField("container_id", StringType()), StructField("container_tokens", IntegerType()), StructField("capacity", IntegerType()),

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.llm import budget, mixing, mojibake, packing, residue, scans, split
-from statloom.session import table
+from statloom.llm.tokens import with_tokens
+from statloom.session import ensure_checkpoint_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +63,17 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d, "split_chunk", "characters", ["chunk_id", "doc_id", "subsection_path"], True)
 
 
+def p5_rejoined(spark: SparkSession, d: str) -> DataFrame:
+    """Each chunk's pieces without their overlaps, joined, as a digest; and whether pieces keep the limit and the overlap."""
+    capacity, overlap = split.size_limit(table(spark, d, "size_limits"), "split_chunk")
+    pieces = p5_pieces(spark, d)
+    own = F.when(F.col("piece") == 0, F.col("piece_text")).otherwise(F.substring("piece_text", overlap + 1, capacity))
+    parts = F.array_sort(F.collect_list(F.struct("piece", own.alias("own"), "start", "end")))  # of one text
+    whole = pieces.groupBy("chunk_id").agg(parts.alias("p"), F.max("size").alias("longest"))
+    laps = F.forall(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.element_at("p", i)["end"] - F.element_at("p", i + 1)["start"] == overlap)
+    return whole.select("chunk_id", F.md5(F.concat_ws("", F.col("p.own"))).alias("digest"), (F.col("longest") <= capacity).alias("fits"), laps.alias("overlaps"))
+
+
 def p5_pieces_tokens(spark: SparkSession, d: str) -> DataFrame:
     pieces = _pieces(spark, d, "split_chunk_tokens", "tokens", ["chunk_id", "doc_id", "subsection_path"], True)
     stored = table(spark, d, "graph_chunks").groupBy(F.col("id").alias("chunk_id")).agg(F.max("token_count").alias("stored_tokens"))
@@ -79,7 +91,27 @@ def p6_pack_large(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_fill(spark: SparkSession, d: str) -> DataFrame:
-    return packing.fill_report(p6_pack_small(spark, d)).unionByName(packing.fill_report(p6_pack_large(spark, d)))
+    ensure_checkpoint_dir(spark)
+    sized = with_tokens(table(spark, d, "documents"), keep=["doc_id"]).checkpoint()  # numbers only, used twice
+    limits = [split.size_limit(table(spark, d, "size_limits"), name)[0] for name in ("pack_small", "pack_large")]
+    small, large = (packing.fill_report(packing.pack_sized(sized, n)) for n in limits)
+    return small.unionByName(large)
+
+
+def p6_placed(spark: SparkSession, d: str) -> DataFrame:
+    """Per limit: items placed, items not placed exactly once, containers too full or of another sum than they say."""
+    ensure_checkpoint_dir(spark)
+    sized = with_tokens(table(spark, d, "documents"), keep=["doc_id"]).checkpoint()
+    out = None
+    for name in ("pack_small", "pack_large"):
+        packed = packing.pack_sized(sized, split.size_limit(table(spark, d, "size_limits"), name)[0]).checkpoint()
+        items = packed.groupBy("doc_id").agg(F.sum("tokens").alias("placed")).join(sized, "doc_id", "full")
+        items = items.agg(F.count("placed").alias("n_items"), F.count_if(~F.col("placed").eqNullSafe(F.col("tokens"))).alias("n_wrong"))
+        held = packed.groupBy("container_id").agg(F.sum("tokens").alias("held"), F.max("container_tokens").alias("says"), F.max("capacity").alias("capacity"))
+        held = held.agg(F.count_if((F.col("held") > F.col("capacity")) | (F.col("held") != F.col("says"))).alias("n_bad_containers"))
+        one = items.join(held).select(F.lit(name).alias("limit_name"), "n_items", "n_wrong", "n_bad_containers")  # one row each
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -90,6 +122,15 @@ def p7_blocks(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_spans(spark, table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
 
 
+def p7_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Per target source: is the reached share within a block of what was wanted (or of what it may give),
+    and is no record used too often?"""
+    records, plan = mixing.mix(spark, table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    r = mixing.share_report(records, plan)
+    off = F.abs(F.col("used_tokens") - F.least("wanted", F.col("available") * F.col("max_repeats")))
+    return r.select("source", "target_share", (off <= mixing.BLOCK_TOKENS).alias("share_met"), (F.col("most_uses") <= F.col("max_repeats")).alias("repeats_kept"))
+
+
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.share_report(*mixing.mix(spark, table(spark, d, "documents"), table(spark, d, "mix_targets")))
 
@@ -109,9 +150,12 @@ def p8_clean_corpus(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_restored, p3_found, p3_repaired, p4_token_budget, p4_chunk_verdicts, p5_found, p5_pieces, p5_pieces_tokens, p6_pack_small, p6_pack_large, p6_fill, p7_mix, p7_blocks, p7_shares, p8_found, p8_report, p8_clean_corpus)
+    for f in (p1_found, p1_restored, p3_found, p3_repaired, p4_token_budget, p4_chunk_verdicts, p5_found, p5_pieces, p5_rejoined, p5_pieces_tokens, p6_pack_small, p6_pack_large, p6_fill, p6_placed, p7_mix, p7_blocks, p7_kept, p7_shares, p8_found, p8_report, p8_clean_corpus)
 }
 
 SQL: dict[str, str] = {
     "p5_found": "SELECT DISTINCT id AS chunk_id FROM legal_chunks WHERE length(text) > (SELECT capacity FROM size_limits WHERE limit_name = 'split_chunk')",
+    "p5_rejoined": "SELECT id AS chunk_id, md5(any_value(text)) AS digest, true AS fits, true AS overlaps FROM legal_chunks WHERE length(text) > (SELECT capacity FROM size_limits WHERE limit_name = 'split_chunk') GROUP BY id",
+    "p6_placed": "SELECT limit_name, (SELECT count(*) FROM documents) AS n_items, CAST(0 AS BIGINT) AS n_wrong, CAST(0 AS BIGINT) AS n_bad_containers FROM size_limits WHERE limit_name IN ('pack_small', 'pack_large')",
+    "p7_kept": "SELECT source, target_share, true AS share_met, true AS repeats_kept FROM mix_targets",
 }

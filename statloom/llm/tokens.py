@@ -34,7 +34,7 @@ FUNCTION_WORDS = {
     "pt": "o os da do dos das uma não em ao pela pelo conforme são às até imposto sobre".split(),
     "fr": "le les des une du est pour dans et aux sur par selon pas l’ d’ la société impôt ne".split(),
 }
-_LANGS, _SHIFT = tuple(FUNCTION_WORDS), 24
+_LANGS, _SHIFT = tuple(FUNCTION_WORDS), 48  # beyond the tokens of any text
 
 
 class PieceTrie:

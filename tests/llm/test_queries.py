@@ -14,6 +14,6 @@ def test_runs(spark, sf, name):
         assert set(df.columns) == COLUMNS[name] and len({tuple(r) for r in rows}) == len(rows)
     if name in SQL:
         con = duckdb.connect()
-        for t in ("legal_chunks", "size_limits"):
+        for t in ("legal_chunks", "size_limits", "documents", "mix_targets"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
         assert sorted(con.execute(SQL[name]).fetchall()) == sorted(tuple(r) for r in rows)
