@@ -2,23 +2,31 @@
 
 Three detectors over whole texts, each with the context that tells use from mention:
 
-* unfilled placeholders: one grammar per kind of delimiter; a marker is discounted in a code block,
-  and where its own sentence talks about markers (templates, schemas, tutorials) and the text has
-  no more of them than such talk explains;
+* unfilled placeholders: one grammar per kind of delimiter.  Every marker is judged by its own
+  sentence: one that talks about markers explains ``EXPLAINED`` of them for each word it has for
+  them.  Markers in code blocks count as explained.  Then density decides: where the markers left
+  over are less than ``LEAST_USED`` of all markers of the text, it is a tutorial, not a template;
 * filler: runs of dummy words, keyboard noise, repeated words, and stock sentences in four languages;
 * error pages and scripts-required notices: message grammars (status code, apology, subject,
-  failure) that stand by themselves, not within quotation marks and not as part of a sentence that
-  reports them.
+  failure).  A message stands in place of content where it makes up most of its sentence, or begins
+  it (or follows a label or menu) and is not a small part of it; within quotation marks, or inside a
+  longer sentence, it is reported.
 
-Defined edge cases: null and empty texts hold no residue; texts of any length are read whole;
-repeated rows give repeated results; other columns are kept as they are.
+Patterns are searched over the whole text, in the texts that hold one of the strings without which
+they cannot match (taken from the patterns themselves).
+
+Defined edge cases: null and empty texts hold no residue; texts of any length are read whole, in
+time linear in their length; repeated rows give repeated results; other columns are kept as they are.
 """
 
 from __future__ import annotations
 
 import re
 import re._parser as sre
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 from operator import eq
 
 import pyarrow as pa
@@ -80,8 +88,10 @@ _ABOUT = re.compile(
     re.I,
 )
 _CODE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]+`|<(code|pre)\b[^>]*>.*?</\1>", re.S | re.I)
-#: Markers that may be in a text which only talks about them.
-MOST_TALKED_ABOUT = 4
+#: Markers that a word for them explains in its sentence, the least share of a text's markers that are
+#: left unexplained in a template, and the least share of its sentence that a message makes up where
+#: it is inside it and where it begins it.
+EXPLAINED, LEAST_USED, MOST_OF, PART_OF = 2, 0.25, 0.5, 0.2
 
 _LOREM = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud "
@@ -158,35 +168,72 @@ MESSAGES: list[tuple[str, re.Pattern]] = [
         ]), _I)),
     ("scripts_required", re.compile(r"browser is out of date|upgrade (?:it|your browser) or switch|loading(?:…|\.\.\.)\s*if nothing appears", _I)),
 ]
+#: Which of them are dumps of a program, told by their notation alone.
+_DUMPS = frozenset(n for n, (_, p) in enumerate(MESSAGES) if "traceback" in p.pattern or "status" in p.pattern and "error" in p.pattern and p.pattern.startswith(r"\{"))
+#: A whole word without which no scripts-required notice (the detector named after it) can match;
+#: ``js`` and ``script`` are parts of many other words.
+_SCRIPT_WORD = re.compile(rf"(?<![^\W_])(?:no)?(?:{_SCRIPT})(?![^\W_])|activation", _I)
+_SCRIPTS_REQUIRED = next(f"m{n}" for n, (_, p) in enumerate(MESSAGES) if "noscript" in p.pattern)
 #: Messages only as a line (or text) of their own.
 _LINE_MESSAGE = re.compile(rf"[ \t]*(?:{_SUBJECT}\s+{_FAILURE}(?=\s*(?:[.!\r\n]|$))|{_STATUS}(?=\s*(?:[.!\r\n]|$)))", _I)
 _LINE_START = re.compile(r"(?:\A|[\r\n]+|(?:Español|Contact|Search)\s)")
-#: What makes a sentence a report of a message rather than the message.
-_REPORT = re.compile(
-    r"\b(?:witness|testified|testimony|saw|sees|read the screen|aloud|reads|message|messages|recites?|customers? who|users? who|taxpayer|petitioner|dealer|the vendor|contract|invoice|nontaxable|taxable|reasonable cause|waive|penalty|timely|deadline|e-file|upload|still accepts?|filing site|credited|web hosting|hosts?|programming|returns? filed|explains?|describes?|the term|percent|§|statute of|F\.A\.C|such as|called|known as|for example|e\.g\.)",
-    re.I,
-)
 _END = re.compile(r"[.!?…](?:[\"”’»)]*)(?=\s|$)|[\r\n]")
 
 
-def _sentence(text: str, start: int, end: int) -> str:
-    """The sentence (or line) around a span."""
-    lo = max((m.end() for m in _END.finditer(text, max(0, start - 400), start)), default=max(0, start - 400))
-    m = _END.search(text, end, min(len(text), end + 400))
-    return text[lo : m.end() if m else min(len(text), end + 400)]
+class _Context:
+    """Sentences, paragraphs and quotation marks of one text, found once each."""
+
+    def __init__(self, text: str):
+        self.text = text
+
+    @cached_property
+    def ends(self) -> list[tuple[int, int]]:
+        return [m.span() for m in _END.finditer(self.text)]
+
+    @cached_property
+    def _end_stops(self) -> list[int]:
+        return [e for _, e in self.ends]
 
+    @cached_property
+    def _end_starts(self) -> list[int]:
+        return [s for s, _ in self.ends]
 
-def _quoted(text: str, at: int) -> bool:
-    """Is the position inside quotation marks that open before and close after it in its paragraph?"""
-    lo = max(text.rfind("\n", 0, at) + 1, at - 300)
-    hi = text.find("\n", at, at + 300)
-    before, after = text[lo:at], text[at : hi if hi >= 0 else at + 300]
-    for left, right in ("“”", "«»"):
-        if before.rfind(left) > before.rfind(right) and right in after:
-            opens = after.find(left)
-            if opens < 0 or after.find(right) < opens:
+    def sentence(self, start: int, end: int) -> tuple[int, int]:
+        """The sentence (or line) around a span."""
+        i, k = bisect_right(self._end_stops, start), bisect_left(self._end_starts, end)
+        return self._end_stops[i - 1] if i else 0, self._end_stops[k] if k < len(self.ends) else len(self.text)
+
+    @cached_property
+    def _marks(self) -> dict[str, list[int]]:
+        return {c: [m.start() for m in re.finditer(re.escape(c), self.text)] for c in '\n“”«»"'}
+
+    def _last(self, c: str, at: int) -> int:
+        i = bisect_left(self._marks[c], at)
+        return self._marks[c][i - 1] if i else -1
+
+    def _next(self, c: str, at: int) -> int:
+        i = bisect_left(self._marks[c], at)
+        return self._marks[c][i] if i < len(self._marks[c]) else len(self.text)
+
+    def quoted(self, at: int) -> bool:
+        """Is the position inside quotation marks that open before and close after it in its paragraph?"""
+        lo, hi = self._last("\n", at), self._next("\n", at)
+        for left, right in ("“”", "«»"):
+            opened = self._last(left, at)
+            if opened > max(lo, self._last(right, at)) and self._next(right, at) < min(hi, self._next(left, at)):
                 return True
-    return before.count('"') % 2 == 1 and '"' in after
+        plain = self._marks['"']
+        return (bisect_left(plain, at) - bisect_left(plain, lo + 1)) % 2 == 1 and self._next('"', at) < hi
+
+    def stands(self, start: int, end: int) -> bool:
+        """Does the span stand for content rather than being reported by its sentence?"""
+        lo, hi = self.sentence(start, end)
+        sentence, span = self.text[lo:hi].strip(), end - start
+        if span >= MOST_OF * len(sentence):
+            return True
+        before = self.text[lo:start].strip()
+        begins = not before or not self.text[start].islower() or before[-1] in ":|>" or not any(w[0].islower() for w in before.split())
+        return begins and span >= PART_OF * len(self.text[start:hi].strip())
 
 
 def _marker_spans(text: str) -> list[tuple[str, int, int]]:
@@ -202,38 +249,52 @@ def _marker_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def markers(text: str) -> list[tuple[str, int, int]]:
+def markers(text: str, context: _Context) -> list[tuple[str, int, int]]:
     """Unfilled placeholders that are used as such."""
     found = _marker_spans(text)
     if not found:
         return []
     code = [(m.start(), m.end()) for m in _CODE.finditer(text)] if "`" in text or "<" in text else []
-    found = [x for x in found if not any(lo <= x[1] < hi for lo, hi in code)]
-    sure = [x for x in found if x[0] != "guillemet_word"]
-    used = [x for x in sure if not _ABOUT.search(_sentence(text, x[1], x[2]).replace(text[x[1] : x[2]], " "))]
-    if not used and len(sure) > MOST_TALKED_ABOUT:
-        used = sure
-    if not used:  # a lone word in guillemets is a marker in English text, else a quotation
-        used = [x for x in found if x[0] == "guillemet_word" and (text[x[1] + 1 : x[2] - 1] in _SLOTS or _english(text, x[1], x[2])) and not _ABOUT.search(_sentence(text, x[1], x[2]))]
-    return used
-
-
-#: Names that a slot has in a template, whatever the language around it.
-_SLOTS = frozenset("Address Amount City County Date Dealer Id Lease Name Notice Number Officer Owner Parcel Period Rate Refund Return Status Taxpayer Text Title Total".split())
+    opened = [lo for lo, _ in code]
+
+    def in_code(at: int) -> bool:
+        i = bisect_right(opened, at) - 1
+        return i >= 0 and at < code[i][1]
+
+    prose = [x for x in found if not in_code(x[1])]
+    sentences = [context.sentence(x[1], x[2]) for x in prose]
+    held = Counter(sentences)
+    explains: dict[tuple[int, int], int] = {}
+    for at in held:
+        said = text[at[0] : at[1]]
+        for x, other in zip(prose, sentences):
+            if other == at:
+                said = said.replace(text[x[1] : x[2]], " ")
+        explains[at] = EXPLAINED * len(_ABOUT.findall(said))
+    used = [x for x, at in zip(prose, sentences) if held[at] > explains[at]]
+    if len(used) < LEAST_USED * len(found):
+        return []
+    sure = [x for x in used if x[0] != "guillemet_word"]
+    # a lone word in guillemets is a marker in a sentence of a language that does not quote with them
+    return sure or [x for x in used if _english(text, context, x[1], x[2])]
+
+
 _ENGLISH = re.compile(r"\b(?:the|of|and|to|is|by|for|that|a|an|in|on|at)\b", re.I)
 
 
-def _english(text: str, start: int, end: int) -> bool:
-    return len(_ENGLISH.findall(_sentence(text, start, end))) >= 3
+def _english(text: str, context: _Context, start: int, end: int) -> bool:
+    lo, hi = context.sentence(start, end)
+    return len(_ENGLISH.findall(text, lo, hi)) >= 3
 
 
-def filler(text: str, low: str, hits: dict[str, list[int]]) -> list[tuple[str, int, int]]:
+def filler(text: str, low: str, hits: set[str], context: _Context) -> list[tuple[str, int, int]]:
     """Runs of dummy words, noise and repetition, and stock filler sentences."""
     out = []
-    for lo, hi in _windows(hits.get("filler", ()), 80, 160):
-        for m in _FILLER.finditer(text, lo, hi):
-            if not _quoted(text, m.start()) and not _reported(text, m.start(), m.end()):
-                out.append(("stock", m.start(), m.end()))
+    if "filler" in hits:
+        for m in _FILLER.finditer(text):
+            start = m.start() + len(m.group()) - len(m.group().lstrip(". \r\n\t"))
+            if not context.quoted(start) and (context.stands(start, m.end()) or out):
+                out.append(("stock", start, m.end()))
     words = _WORD.findall(low)
     if sum(map(_LOREM.__contains__, words)) >= 8:
         out += _runs(text, _LOREM, 8, 5, "lorem")
@@ -265,45 +326,27 @@ def _runs(text: str, words: frozenset[str], least: int, distinct: int, kind: str
     return out
 
 
-def _reported(text: str, start: int, end: int) -> bool:
-    """Does the sentence report the span?  Of a span that begins a sentence only what follows counts,
-    since menus and cut-off content may stand before it without a full stop."""
-    if text[start].islower():
-        return bool(_REPORT.search(_sentence(text, start, end).replace(text[start:end], " ")))
-    m = _END.search(text, end, min(len(text), end + 400))
-    return bool(_REPORT.search(text, end, m.end() if m else min(len(text), end + 400)))
-
-
-def messages(text: str, hits: dict[str, list[int]]) -> list[tuple[str, int, int]]:
+def messages(text: str, hits: set[str], context: _Context) -> list[tuple[str, int, int]]:
     """Error messages and scripts-required notices standing in place of content."""
     out = []
     for n, (kind, pattern) in enumerate(MESSAGES):
-        for lo, hi in _windows(hits.get(f"m{n}", []), 400 if n < 3 else 120, 240):  # the first three have their hints at the end
-            for m in pattern.finditer(text, lo, hi):
-                s, e = m.start(), m.end()
-                while s < e and text[s].isspace():
-                    s += 1
-                if not _quoted(text, s) and not _reported(text, s, e):
-                    out.append((kind, s, e))
-    for lo, hi in _windows(hits.get("line", ()), 400, 1):
-        for line in _LINE_START.finditer(text, lo, hi):
-            if (m := _LINE_MESSAGE.match(text, line.end())) and not _quoted(text, m.start()) and not _reported(text, m.start(), m.end()):
+        if f"m{n}" not in hits:
+            continue
+        for m in pattern.finditer(text):
+            s, e = m.start(), m.end()
+            if (cut := text.rfind("\n\n", s, e)) >= 0:  # the end of what stood before
+                s = cut + 2
+            while s < e and text[s].isspace():
+                s += 1
+            if not context.quoted(s) and (n in _DUMPS or context.stands(s, e)):
+                out.append((kind, s, e))
+    if "line" in hits:
+        for line in _LINE_START.finditer(text):
+            if (m := _LINE_MESSAGE.match(text, line.end())) and not context.quoted(m.start()) and context.stands(m.start(), m.end()):
                 out.append(("error_page", m.start(), m.end()))
     return out
 
 
-def _windows(at: list[int], before: int, after: int) -> list[tuple[int, int]]:
-    """Stretches around hints, merged."""
-    out: list[tuple[int, int]] = []
-    for i in sorted(at):
-        lo, hi = max(0, i - before), i + after
-        if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], hi)
-        else:
-            out.append((lo, hi))
-    return out
-
-
 #: Most texts that a stretch of a pattern is spelled out to.
 _MOST_SPELLED = 600
 
@@ -374,21 +417,17 @@ def _hints() -> dict[str, set[str]]:
 _AUTOMATON = None
 
 
-def _hits(low: str) -> dict[str, list[int]]:
-    """Where the hints of each detector lie: one pass over the text for all of them."""
+def _hits(low: str) -> set[str]:
+    """The detectors whose hints are in the text: one pass over it for all of them."""
     global _AUTOMATON
     if _AUTOMATON is None:
         import ahocorasick
 
         _AUTOMATON = ahocorasick.Automaton()
         for h, names in _hints().items():
-            _AUTOMATON.add_word(h, (len(h), tuple(names)))
+            _AUTOMATON.add_word(h, frozenset(names))
         _AUTOMATON.make_automaton()
-    out: dict[str, list[int]] = {}
-    for end, (n, names) in _AUTOMATON.iter(low):
-        for name in names:
-            out.setdefault(name, []).append(end - n + 1)
-    return out
+    return set().union(*(names for _, names in _AUTOMATON.iter(low)))
 
 
 def residue(text: str | None) -> list[tuple[str, int, int]]:
@@ -398,10 +437,12 @@ def residue(text: str | None) -> list[tuple[str, int, int]]:
     low = text.lower()
     if len(low) != len(text):  # positions must agree
         low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
-    hits = _hits(low)
-    found = [("template_" + k, s, e) for k, s, e in markers(text)]
-    found += [("filler_" + k, s, e) for k, s, e in filler(text, low, hits)]
-    found += messages(text, hits)
+    hits, context = _hits(low), _Context(text)
+    if _SCRIPTS_REQUIRED in hits and not _SCRIPT_WORD.search(low):
+        hits.discard(_SCRIPTS_REQUIRED)
+    found = [("template_" + k, s, e) for k, s, e in markers(text, context)]
+    found += [("filler_" + k, s, e) for k, s, e in filler(text, low, hits, context)]
+    found += messages(text, hits, context)
     return sorted(found, key=lambda x: x[1:])
 
 
