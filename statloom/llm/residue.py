@@ -91,7 +91,7 @@ _CODE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]+`|<(code|pre)\b[^>]*>.*?</\1>", re
 #: Markers that a word for them explains in its sentence, the least share of a text's markers that are
 #: left unexplained in a template, and the least share of its sentence that a message makes up where
 #: it is inside it and where it begins it.
-EXPLAINED, LEAST_USED, MOST_OF, PART_OF = 2, 0.25, 0.5, 0.2
+EXPLAINED, LEAST_USED, MOST_OF, PART_OF = 1, 0.25, 0.5, 0.2
 
 _LOREM = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud "
