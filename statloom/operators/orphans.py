@@ -80,10 +80,11 @@ def orphan_references(refs: DataFrame, parents: DataFrame, salts: int = SALTS) -
     """
     refs = refs.where("ref_key is not null")
     keys = refs.groupBy("ref_kind", "ref_key").agg(F.min("ref_time").alias("earliest"))
-    state = keys.join(parents, ["ref_kind", "ref_key"], "left")
-    suspects = state.where("first_seen is null or not stands or first_seen > earliest").select(
-        "ref_kind", "ref_key", "first_seen", "stands", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+    missing = keys.join(parents, ["ref_kind", "ref_key"], "left_anti").select(
+        "ref_kind", "ref_key", F.lit(None).cast("timestamp").alias("first_seen"), F.lit(False).alias("stands")
     )
+    doubtful = keys.join(parents, ["ref_kind", "ref_key"]).where("not stands or first_seen > earliest").select("ref_kind", "ref_key", "first_seen", "stands")
+    suspects = missing.unionAll(doubtful).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = refs.withColumn("salt", F.pmod(F.xxhash64("src_key", "ref_time"), F.lit(salts)).cast("int"))
     reason = (
         F.when(F.col("first_seen").isNull(), "missing")
