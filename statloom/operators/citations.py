@@ -84,7 +84,8 @@ def without_self_references(cited: DataFrame, doc_id: str = "doc_id") -> DataFra
 
 def document_index(chunks: DataFrame) -> DataFrame:
     """Per document with chunks: its parent chunk (the first id that ends in ``:0``, else the first)
-    and, for cases, the normal form of its citation (after the first comma)."""
+    and, for cases, the normal form of its citation (after the first comma).  Of several documents of
+    one citation :func:`resolve` takes the last in id order (rows of a table have no order of writing)."""
     after = F.regexp_extract("citation", r"^[^,]*,(.*)$", 1)
     return chunks.groupBy("doc_id").agg(
         F.min(F.struct((~F.col("id").endswith(":0")).alias("other"), "id")).getField("id").alias("parent_chunk"),
@@ -93,12 +94,20 @@ def document_index(chunks: DataFrame) -> DataFrame:
     )
 
 
+#: Copies of a resolved key, so that a section that a third of all citations name is joined by several tasks.
+SALTS = 8
+
+
 def resolve(cited: DataFrame, index: DataFrame) -> DataFrame:
     """Adds target_doc_id, target_chunk_id and confidence: exact section 1.0, without subsection 0.8,
     case citation 0.9; chapters never resolve.
 
-    The candidate keys of a citation are tried in one equi-join with the index; the best tier wins.
+    The distinct (kind, section, normal form) keys are resolved once, trying their candidate names in
+    one equi-join with the index, of which the best tier wins; then the citations, with their texts,
+    are joined to them, salted.
     """
+    names = ["kind", "section", "normalized"]
+    keys = cited.select(*names).distinct().withColumn("__key", F.to_json(F.struct(*names)))
     base = F.substring_index("section", "(", 1)
     tiers = F.array_compact(
         F.array(
@@ -107,13 +116,15 @@ def resolve(cited: DataFrame, index: DataFrame) -> DataFrame:
             F.when(F.col("kind") == "case", F.struct(F.concat(F.lit("cite:"), T.normal_case_citation(F.col("normalized"))).alias("key"), F.lit(0.9).alias("confidence"))),
         )
     )
-    keyed = cited.withColumn("__row", F.monotonically_increasing_id()).select("*", F.inline_outer(tiers))
-    keys = index.select(F.col("doc_id").alias("key"), F.col("doc_id").alias("target_doc_id"), F.col("parent_chunk").alias("target_chunk_id")).unionAll(
+    targets = index.select(F.col("doc_id").alias("key"), F.col("doc_id").alias("target_doc_id"), F.col("parent_chunk").alias("target_chunk_id")).unionAll(
         index.where("case_key is not null").groupBy(F.concat(F.lit("cite:"), "case_key").alias("key")).agg(F.max("doc_id").alias("target_doc_id"), F.max_by("parent_chunk", "doc_id").alias("target_chunk_id"))
     )
-    joined = keyed.join(keys, "key", "left").withColumn("confidence", F.when(F.col("target_doc_id").isNotNull(), F.col("confidence")).otherwise(0.0))
-    best = Window.partitionBy("__row").orderBy(F.col("confidence").desc(), F.col("key"))
-    return joined.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n", "__row", "key")
+    found = keys.select("__key", F.inline_outer(tiers)).join(targets, "key")
+    best = found.groupBy("__key").agg(F.max_by(F.struct("target_doc_id", "target_chunk_id", "confidence"), F.struct("confidence", "key")).alias("t"))
+    copies = best.select("__key", "t.*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in cited.columns]), F.lit(SALTS)).cast("int")
+    out = cited.withColumn("__key", F.to_json(F.struct(*names))).withColumn("__salt", salt).join(copies, ["__key", "__salt"], "left").drop("__key", "__salt")
+    return out.withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
 
 
 def citation_graph(chunks: DataFrame) -> DataFrame:

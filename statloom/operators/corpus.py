@@ -161,14 +161,13 @@ def audit_statutes(raw: DataFrame, short: int = 50) -> DataFrame:
     return raw.withColumn("dup", dup).select(F.explode(issues).alias("issue"), F.col("metadata.chapter").alias("chapter")).groupBy("issue", "chapter").agg(F.count("*").alias("n"))
 
 
-def chapter_summary(raw: DataFrame) -> DataFrame:
-    """Per chapter: number of sections and the sections in natural order."""
+def chapter_sections(raw: DataFrame) -> DataFrame:
+    """One row a section of each chapter: its place in natural order, and how many there are."""
     rows = raw.select(F.col("metadata.chapter").alias("chapter"), F.col("metadata.section").alias("section")).where("section <> ''").distinct()
     number = F.transform(F.split("section", r"\."), lambda x: x.cast("int"))
-    return rows.groupBy("chapter").agg(
-        F.count("*").alias("n_sections"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(number.alias("k"), "section"))), lambda s: s["section"]), ",").alias("sections"),
-    )
+    place = F.row_number().over(Window.partitionBy("chapter").orderBy(number, "section"))
+    counts = rows.groupBy("chapter").agg(F.count("*").alias("n_sections"))
+    return rows.withColumn("position", place).join(counts, "chapter").select("chapter", "n_sections", "position", "section")
 
 
 def version_in_force(documents: DataFrame, as_of: str) -> DataFrame:

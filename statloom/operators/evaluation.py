@@ -57,6 +57,14 @@ def best_of(table: DataFrame, name: str, score: str, order: str) -> DataFrame:
     return table.agg(F.max_by(name, F.struct(F.col(score), -F.col(order))).alias(f"best_{name}"), F.max(score).alias(f"best_{score}"))
 
 
+def best_method(results: DataFrame, relevant: Column, order: list[str]) -> DataFrame:
+    """Per query the method of the highest reciprocal rank, the first in ``order`` on ties."""
+    per = results.groupBy("query_id", "method").agg(F.coalesce(1 / F.min(F.when(F.coalesce(relevant, F.lit(False)), F.col("rank"))), F.lit(0.0)).alias("rr"))
+    place = F.array_position(F.array(*[F.lit(m) for m in order]), F.col("method"))
+    best = per.groupBy("query_id").agg(F.max_by("method", F.struct("rr", -place)).alias("best_method"), F.max("rr").alias("best_rr"))
+    return best.select("query_id", "best_method", F.round("best_rr", 6).alias("best_rr"))
+
+
 def authority_weight(kind: Column) -> Column:
     out = F.lit(0.5)
     for k, w in AUTHORITY.items():

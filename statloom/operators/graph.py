@@ -91,13 +91,14 @@ def chain_lists(chain: DataFrame, most: int = 20) -> DataFrame:
     return chain.groupBy("statute", "part").agg(F.count("*").alias("n")).join(first, ["statute", "part"])
 
 
-def authority_rules(verts: DataFrame, edges: DataFrame) -> DataFrame:
-    """Rules with the statutes that give them authority, in id order."""
+def authority_links(verts: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rules with the statutes that give them authority: one row a link, numbered in id order."""
     kind = verts.select("id", "doc_type")
     pairs = edges.where("relation = 'authority'").join(kind.where("doc_type = 'rule'").select(F.col("id").alias("src")), "src", "left_semi").join(
         kind.where("doc_type = 'statute'").select(F.col("id").alias("dst")), "dst", "left_semi"
     )
-    return pairs.groupBy(F.col("src").alias("rule")).agg(F.array_join(F.array_sort(F.collect_set("dst")), ",").alias("statutes"))
+    w = Window.partitionBy("rule").orderBy("statute")
+    return pairs.select(F.col("src").alias("rule"), F.col("dst").alias("statute")).distinct().withColumn("position", F.row_number().over(w))
 
 
 def chapter_statutes(verts: DataFrame) -> DataFrame:
@@ -125,30 +126,64 @@ def siblings(chunks: DataFrame, limit: int = 3) -> DataFrame:
     return out.select("id", F.array_join("siblings", ",").alias("siblings"))
 
 
-def documents_with_chunks(verts: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Every document with its chunk ids in string order."""
-    per = chunks.groupBy(F.col("doc_id").alias("id")).agg(F.array_sort(F.collect_set("id")).alias("chunk_ids"))
-    return verts.select("id").join(per, "id", "left").select("id", F.coalesce(F.size("chunk_ids"), F.lit(0)).alias("n_chunks"), F.coalesce(F.array_join("chunk_ids", ","), F.lit("")).alias("chunk_ids"))
+def document_chunks(verts: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Every document's chunks with their parents: one row a chunk, numbered in string order; a
+    document without chunks has one row of nulls."""
+    rows = chunks.groupBy(F.col("doc_id").alias("id"), F.col("id").alias("chunk_id")).agg(F.min("parent_chunk_id").alias("parent_chunk_id"))
+    w = Window.partitionBy("id").orderBy("chunk_id")
+    return verts.select("id").join(rows.withColumn("position", F.row_number().over(w)), "id", "left").select("id", "position", "chunk_id", "parent_chunk_id")
 
 
-def chunk_detail(chunks: DataFrame, verts: DataFrame, edges: DataFrame, most: int = 10) -> DataFrame:
-    """Chunk, its document's title, its parent and children, and the first related documents
-    (citing, then cited; a document on both sides appears twice)."""
-    kids = chunks.where("parent_chunk_id is not null").groupBy(F.col("parent_chunk_id").alias("id")).agg(F.array_sort(F.collect_set("id")).alias("children"))
+def chunk_detail(chunks: DataFrame, verts: DataFrame, edges: DataFrame, most: int = 10, ids: list[str] | None = None) -> DataFrame:
+    """Chunk (all, or those of ``ids``), its document's title, its parent, the number of its children
+    and the first of them, and the first related documents (citing, then cited; a document on both
+    sides appears twice).  Lists hold ``most`` entries; all children are in :func:`document_chunks`."""
+    asked = chunks if ids is None else chunks.where(F.col("id").isin(*ids))
+    w = Window.partitionBy("parent_chunk_id").orderBy("id")
+    pairs = chunks.where("parent_chunk_id is not null").select("id", "parent_chunk_id").distinct()
+    counts = pairs.groupBy("parent_chunk_id").agg(F.count("*").alias("n_children"))
+    first = pairs.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).groupBy("parent_chunk_id").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("children"))
+    kids = counts.join(first, "parent_chunk_id").withColumnRenamed("parent_chunk_id", "id")
     tagged = citing(edges).withColumn("side", F.lit(0)).union(cited(edges).withColumn("side", F.lit(1)))
     w = Window.partitionBy("id").orderBy("side", "other")
     rel = tagged.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).groupBy(F.col("id").alias("doc_id")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "other"))), lambda x: x["other"]), ",").alias("related")
     )
     return (
-        chunks.select("id", "doc_id", "parent_chunk_id")
+        asked.select("id", "doc_id", "parent_chunk_id")
         .join(verts.select(F.col("id").alias("doc_id"), "title"), "doc_id", "left")
         .join(kids, "id", "left")
         .join(rel, "doc_id", "left")
-        .select("id", "doc_id", "title", "parent_chunk_id", F.coalesce(F.array_join("children", ","), F.lit("")).alias("children"), F.coalesce("related", F.lit("")).alias("related"))
+        .select("id", "doc_id", "title", "parent_chunk_id", F.coalesce("n_children", F.lit(0)).alias("n_children"), F.coalesce("children", F.lit("")).alias("children"), F.coalesce("related", F.lit("")).alias("related"))
     )
 
 
+def parent_chunks_of(documents: DataFrame, chunks: DataFrame, limit: int = 1) -> DataFrame:
+    """The first ``limit`` parent chunks, in id order, of each document (column ``other``)."""
+    w = Window.partitionBy("other").orderBy("chunk_id")
+    parents = chunks.where(F.lower("level") == "parent").select(F.col("doc_id").alias("other"), F.col("id").alias("chunk_id")).distinct()
+    first = parents.withColumn("position", F.row_number().over(w)).where(F.col("position") <= limit)
+    return documents.join(first, "other")
+
+
+def expand_results(results: DataFrame, chunks: DataFrame, verts: DataFrame, edges: DataFrame, raw_edges: DataFrame, most: int = 5) -> DataFrame:
+    """What the graph adds to results (query_id, rank, id of a chunk): one row an addition, with its
+    ``source`` and ``position``: ``parent`` (the parent chunk, where there is one), ``context`` (the
+    documents the chunk cites) and ``related`` (a parent chunk of each of the first ``most`` documents
+    that cite the chunk's document or are cited by it)."""
+    known = chunks.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.min("parent_chunk_id").alias("parent_chunk_id"))
+    rows = results.select("query_id", "rank", "id").join(known, "id")
+    parent = rows.join(known.select(F.col("id").alias("parent_chunk_id")), "parent_chunk_id", "left_semi")
+    parent = parent.select("query_id", "rank", "id", F.lit("parent").alias("source"), F.lit(1).alias("position"), F.col("parent_chunk_id").alias("item"))
+    cites = edges_of_chunk(raw_edges, verts).select(F.col("source_chunk_id").alias("id"), "target_doc_id").distinct()
+    by_result = Window.partitionBy("query_id", "rank").orderBy("target_doc_id")
+    context = rows.join(cites, "id").select("query_id", "rank", "id", F.lit("context").alias("source"), F.row_number().over(by_result).alias("position"), F.col("target_doc_id").alias("item"))
+    near = related(edges, most).select(F.col("id").alias("doc_id"), "other", F.col("rank").alias("position"))
+    chosen = parent_chunks_of(rows.select("query_id", "rank", "id", "doc_id").join(near, "doc_id").withColumnRenamed("position", "nth"), chunks)
+    related_ = chosen.select("query_id", "rank", "id", F.lit("related").alias("source"), F.col("nth").alias("position"), F.col("chunk_id").alias("item"))
+    return parent.unionByName(context).unionByName(related_)
+
+
 def edges_of_chunk(edges: DataFrame, verts: DataFrame) -> DataFrame:
     """Citation contexts: the edges of each chunk with the target's citation."""
     return edges.where("target_doc_id is not null").select("source_chunk_id", "target_doc_id", F.lower("relation_type").alias("relation"), "citation_text").distinct().join(

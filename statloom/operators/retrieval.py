@@ -14,14 +14,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from statloom.session import ensure_checkpoint_dir
+
 # BM25 constants and the weights of kinds in re-ranking.
 K1, B = 1.2, 0.75
 KIND_WEIGHT = {"statute": 1.0, "rule": 0.9, "case": 0.8, "taa": 0.7}
 OTHER_WEIGHT = 0.5
 RECENCY_YEARS, RECENCY_BEST, RECENCY_WORST = 10, 1.1, 0.9
 DIVERSITY = 0.1
-#: Most queries of one batch that are broadcast.
-MOST_QUERIES = 10_000
+#: Most queries of one batch that are broadcast, and most query terms that are looked up row by row.
+MOST_QUERIES, MOST_TERMS = 10_000, 2_000
+#: Queries and vectors that are multiplied at once.
+TILE = 1024
 
 #: The standard questions of this library's own checks (id, text).
 QUESTIONS = [
@@ -41,26 +45,37 @@ def terms(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def postings(documents: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, term, tf, dl): one row per distinct term of a text, counted inside its row, so the
-    shuffle of a later aggregate sees each term of a text once."""
+def postings(documents: DataFrame, key: str, text: str = "text", only: list[str] | None = None) -> DataFrame:
+    """(key, dl, term, tf): one row per distinct term of a text (of ``only`` these terms, if given),
+    counted inside its row: nothing is shuffled, and no other token leaves its row."""
     listed = documents.select(F.col(key), terms(F.col(text)).alias("t")).withColumn("dl", F.size("t"))
-    return listed.select(key, "dl", F.explode("t").alias("term")).groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
+    if only is not None:
+        listed = listed.withColumn("t", F.filter("t", lambda x: x.isin(*only)) if only else F.array().cast("array<string>"))
+    counted = F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.size(F.filter("t", lambda y: y == x)).alias("tf")))
+    return listed.select(key, "dl", F.inline(counted))
 
 
 def bm25(documents: DataFrame, queries: DataFrame, key: str, top: int = 10, text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
     """Best ``top`` documents of each query by BM25, ties by key.
 
-    Only the queries' terms are kept of each document before anything is shuffled (broadcast of the
-    query terms up to ``MOST_QUERIES`` queries, a plain join above); their counts are taken with one
-    higher-order expression per document.
+    Up to ``MOST_TERMS`` query terms are looked up inside each document's row, so that only matches
+    leave it; beyond that the tokens are joined with the terms.  Either way the matches (numbers and
+    terms, no texts) are written once to the checkpoint folder and read for both the document
+    frequencies and the scores.
     """
-    small = F.broadcast if queries.count() <= MOST_QUERIES else lambda x: x
+    ensure_checkpoint_dir(documents.sparkSession)
+    few_queries = queries.count() <= MOST_QUERIES
+    small = F.broadcast if few_queries else lambda x: x
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
     wanted = asked.select("term").distinct()
-    docs = documents.select(F.col(key), terms(F.col(text)).alias("t")).withColumn("dl", F.size("t"))
-    hits = docs.select(key, "dl", F.explode("t").alias("term")).join(small(wanted), "term").groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
-    totals = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    first = [r["term"] for r in wanted.orderBy("term").limit(MOST_TERMS + 1).collect()]
+    if len(first) <= MOST_TERMS:
+        hits = postings(documents, key, text, first)
+    else:
+        docs = documents.select(F.col(key), terms(F.col(text)).alias("t")).withColumn("dl", F.size("t"))
+        hits = docs.select(key, "dl", F.explode("t").alias("term")).join(small(wanted), "term").groupBy(key, "term", "dl").agg(F.count("*").cast("int").alias("tf"))
+    hits = hits.checkpoint()
+    totals = documents.select(F.size(terms(F.col(text))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.join(F.broadcast(totals)).select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weighed = hits.join(small(idf), "term")  # at most as many rows as query terms
@@ -108,17 +123,18 @@ def _near_block(vectors: DataFrame, queries: DataFrame, top: int, others: bool)
         qid, qm = shared.value
         best: pd.DataFrame | None = None
         for b in batches:
-            if not len(qid) or not b.num_rows:
-                continue
-            key = b.column(0).to_numpy(zero_copy_only=False)
-            m = _unit(np.array(b.column(1).to_pylist(), dtype=np.float64))
-            s = np.round(qm @ m.T, 9)
-            k = min(top + 1, len(key))
-            at = np.argpartition(-s, k - 1, axis=1)[:, :k]
-            floor = np.take_along_axis(s, at, 1).min(axis=1)
-            r, c = np.nonzero(s >= floor[:, None])  # ties of the last place stay for the merge
-            f = pd.DataFrame({"query_id": qid[r], "vec_id": key[c], "score": s[r, c]})
-            best = _cut(pd.concat([best, f]) if best is not None else f, top + 1)
+            for lo in range(0, b.num_rows if len(qid) else 0, TILE):
+                part = b.slice(lo, TILE)
+                key = part.column(0).to_numpy(zero_copy_only=False)
+                m = _unit(np.array(part.column(1).to_pylist(), dtype=np.float64))
+                k = min(top + 1, len(key))
+                found = []
+                for q0 in range(0, len(qid), TILE):  # a tile of queries by a tile of vectors, 8 MB
+                    s = np.round(qm[q0 : q0 + TILE] @ m.T, 9)
+                    floor = np.partition(s, len(key) - k, axis=1)[:, len(key) - k]
+                    r, c = np.nonzero(s >= floor[:, None])  # ties of the last place stay for the merge
+                    found.append(pd.DataFrame({"query_id": qid[q0 + r], "vec_id": key[c], "score": s[r, c]}))
+                best = _cut(pd.concat([best, *found] if best is not None else found), top + 1)
         if best is not None:
             yield pa.RecordBatch.from_pandas(best[["query_id", "vec_id", "score"]].astype({"query_id": "int64", "vec_id": "int64", "score": "float64"}), preserve_index=False)
 
@@ -202,6 +218,36 @@ def date_between(day: Column, lo: str | None, hi: str | None) -> Column:
     return day.isNull() | cond
 
 
+def matching(df: DataFrame, filters: dict[str, object] | None) -> DataFrame:
+    """Equality filters from a dictionary: a list means any of its values, several keys mean all; null
+    never matches, and a key without a value is no filter."""
+    for name, value in (filters or {}).items():
+        if value is None:
+            continue
+        df = df.where(F.col(name).isin(*value) if isinstance(value, (list, tuple, set)) else F.col(name) == F.lit(value))
+    return df
+
+
+def result_score(score: Column, distance: Column) -> Column:
+    """The score of a result: its own, else 1 - distance, else 0."""
+    return F.coalesce(score, 1 - distance, F.lit(0.0))
+
+
+def result_source(distance: Column) -> Column:
+    """Which arm a result came from: vectors report a distance."""
+    return F.when(distance.isNotNull(), "vector").otherwise("keyword")
+
+
+def result_counts(results: DataFrame, by: list[str], document: str, chunk: str) -> DataFrame:
+    """Distinct documents and chunks of a result, and its rows."""
+    return results.groupBy(*by).agg(F.countDistinct(document).alias("n_documents"), F.countDistinct(chunk).alias("n_chunks"), F.count("*").alias("n_results"))
+
+
+def first_questions(queries: DataFrame, n: int | None) -> DataFrame:
+    """The first n questions in id order (all without a number)."""
+    return queries if n is None else queries.orderBy("query_id").limit(n)
+
+
 def valid_in(day: Column, year: Column) -> Column:
     """In force by a year; rows without a date pass."""
     return day.isNull() | (F.year(day) <= year)

@@ -117,7 +117,7 @@ SQL = {
     "taa_dates": rf"SELECT raw_id, coalesce(try_strptime(regexp_replace(replace(coalesce(nullif(regexp_extract(h, '(?i)(?:Date|Dated|Issued)[:\s]+((?:{_MONTHS})\s+\d{{1,2}},?\s+\d{{4}})', 1), ''), nullif(regexp_extract(h, '(?i)((?:{_MONTHS})\s+\d{{1,2}},?\s+\d{{4}})', 1), '')), ',', ''), '\s+', ' ', 'g'), '%B %d %Y')::DATE, try_strptime(nullif(regexp_extract(h, '(\d{{1,2}}/\d{{1,2}}/\d{{4}})', 1), ''), '%m/%d/%Y')::DATE) AS issued FROM (SELECT raw_id, substr(text, 1, 2000) AS h FROM raw_taas)",
     "chapter_paths": "SELECT DISTINCT metadata.chapter AS chapter, lpad(((metadata.chapter // 100) * 100)::VARCHAR, 4, '0') || '-' || lpad(((metadata.chapter // 100) * 100 + 99)::VARCHAR, 4, '0') || '/' || lpad(metadata.chapter::VARCHAR, 4, '0') AS path, repeat('X', metadata.title_number // 10) || CASE metadata.title_number % 10 WHEN 1 THEN 'I' WHEN 2 THEN 'II' WHEN 3 THEN 'III' WHEN 4 THEN 'IV' WHEN 5 THEN 'V' WHEN 6 THEN 'VI' WHEN 7 THEN 'VII' WHEN 8 THEN 'VIII' WHEN 9 THEN 'IX' ELSE '' END AS title FROM raw_statutes",
     "answer_sources": rf"WITH {_ANS}, {_SRC} SELECT raw_id, position::INT AS position, source, CASE WHEN regexp_matches(source, '(?i)v\.\s+\w+|vs\.\s+\w+') THEN 'case' WHEN contains(lower(source), 'taa') OR contains(lower(source), 'technical assistance') THEN 'taa' WHEN contains(source, '§') OR contains(lower(source), 'statute') THEN 'statute' WHEN regexp_matches(source, '(?i)(?:Rule\s+|F\.?A\.?C\.?\s*R?\.?\s*)[\dA-Za-z.-]+') OR contains(lower(source), 'f.a.c') THEN 'rule' ELSE 'unknown' END AS kind FROM s",
-    "answer_claims": f"WITH {_ANS}, {_SRC}, {_CHK}, nm AS (SELECT raw_id, name, max_by(chunk_id, rank) AS c FROM (SELECT raw_id, unnest(list_distinct([chunk_id, doc_id, citation])) AS name, chunk_id, rank FROM ck) WHERE name <> '' GROUP BY 1, 2) SELECT s.raw_id, position::INT AS position, source, coalesce(a.c, b.c, e.c) AS source_chunk_id FROM s LEFT JOIN nm a ON a.raw_id = s.raw_id AND a.name = source LEFT JOIN nm b ON b.raw_id = s.raw_id AND b.name = 'statute:' || source LEFT JOIN nm e ON e.raw_id = s.raw_id AND e.name = 'rule:' || source",
+    "answer_claims": f"WITH {_ANS}, {_SRC}, {_CHK}, nm AS (SELECT raw_id, name, max_by(chunk_id, rank) AS c FROM (SELECT raw_id, unnest(list_distinct([chunk_id, doc_id, citation])) AS name, chunk_id, rank FROM ck) WHERE name <> '' GROUP BY 1, 2), hd AS (SELECT s.raw_id, s.position, min_by(doc_id, rank) AS name FROM s JOIN ck ON ck.raw_id = s.raw_id WHERE contains(citation, source) OR contains(doc_id, source) GROUP BY 1, 2) SELECT s.raw_id, s.position::INT AS position, source, coalesce(a.c, b.c, e.c, h.c) AS source_chunk_id FROM s LEFT JOIN hd ON hd.raw_id = s.raw_id AND hd.position = s.position LEFT JOIN nm h ON h.raw_id = s.raw_id AND h.name = hd.name LEFT JOIN nm a ON a.raw_id = s.raw_id AND a.name = source LEFT JOIN nm b ON b.raw_id = s.raw_id AND b.name = 'statute:' || source LEFT JOIN nm e ON e.raw_id = s.raw_id AND e.name = 'rule:' || source",
     "citation_verify": rf"WITH {_ANS}, {_SRC}, {_CHK}, x AS (SELECT *, {_SEC.format('source')} AS sec FROM s), k AS (SELECT *, {_SEC.format('citation')} AS csec FROM ck), m AS (SELECT x.raw_id, position, min_by(chunk_id, rank) AS chunk_id FROM x JOIN k ON k.raw_id = x.raw_id WHERE contains(lower(citation), lower(source)) OR contains(csec, sec) OR (regexp_extract(sec, '^([\d.]+)', 1) <> '' AND (regexp_extract(sec, '^([\d.]+)', 1) = regexp_extract(csec, '^([\d.]+)', 1) OR contains(chunk_id, regexp_extract(sec, '^([\d.]+)', 1)))) OR contains(chunk_id, sec) GROUP BY 1, 2) SELECT x.raw_id, x.position::INT AS position, source AS citation_text, m.chunk_id, m.chunk_id IS NOT NULL AS verified FROM x LEFT JOIN m ON m.raw_id = x.raw_id AND m.position = x.position",
     "simple_corrections": f"WITH {_ANS} SELECT raw_id, CASE WHEN contains(answer, 'taxable') THEN substr(answer, 1, instr(answer, 'taxable') - 1) || 'exempt' || substr(answer, instr(answer, 'taxable') + 7) ELSE answer END AS text, contains(answer, 'taxable')::INT AS corrected, round(greatest(-0.1 * contains(answer, 'taxable')::INT, -0.3), 6)::DOUBLE AS delta FROM ans",
     "context_lengths": f"WITH {_CHK} SELECT raw_id, md5(string_agg('--- Document ' || rank || ' (STATUTE) ---' || chr(10) || 'Citation: ' || citation || chr(10) || 'Effective Date: Not specified' || chr(10) || 'Ancestry: ' || chr(10) || chr(10) || doc_id, chr(10) || chr(10) ORDER BY rank)) AS context_md5 FROM ck WHERE rank <= 10 GROUP BY raw_id",

@@ -191,7 +191,7 @@ SQL = {
     "authority_metrics": f"{_BR}, w AS (SELECT *, {_AW} AS w, {_AH} AS h, row_number() OVER (PARTITION BY query_id ORDER BY {_AW} DESC, rank) AS ideal FROM r), a AS (SELECT query_id, sum(w / log2(rank + 1)) FILTER (rank <= 10) / sum(w / log2(ideal + 1)) FILTER (ideal <= 10) AS nd, avg(CASE WHEN lower(doc_type) IN ('statute','rule') THEN 1.0 ELSE 0.0 END) FILTER (rank <= 10) AS pr FROM w GROUP BY 1), p AS (SELECT a.query_id, avg(CASE WHEN a.h <= b.h THEN 1.0 ELSE 0.0 END) AS al FROM w a JOIN w b ON a.query_id = b.query_id AND a.rank < b.rank AND b.rank <= 10 GROUP BY 1) SELECT a.query_id, round(nd, 6)::DOUBLE AS authority_ndcg, round(coalesce(al, 1), 6)::DOUBLE AS alignment, round(pr, 6)::DOUBLE AS primary_rate FROM a LEFT JOIN p ON p.query_id = a.query_id",
     "kinds_by_rank": f"{_BR} SELECT rank::INT AS rank, count(*) FILTER (doc_type = 'statute') AS statute, count(*) FILTER (doc_type = 'rule') AS rule, count(*) FILTER (doc_type = 'case') AS \"case\", count(*) FILTER (doc_type = 'taa') AS taa FROM r WHERE rank <= 5 GROUP BY rank",
     "answer_contains": "SELECT raw_id, round(CASE WHEN coalesce(len(t), 0) = 0 THEN 1.0 ELSE len(list_filter(t, lambda x: contains(lower(text), lower(x)))) / len(t) END, 6)::DOUBLE AS share FROM (SELECT raw_id, text, list_filter(metadata.topics, lambda x: x IS NOT NULL) AS t FROM raw_taas)",
-    "faithfulness": "WITH c AS (SELECT user_id, event_id % 4 AS v FROM events WHERE event_id % 7 < 5) SELECT user_id, count(*) AS n, count(*) FILTER (v = 0) AS supported, count(*) FILTER (v = 1) AS partial, count(*) FILTER (v = 2) AS contradicted, count(*) FILTER (v = 3) AS not_supported, round(least(1.0, greatest(0.0, sum(CASE v WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 WHEN 2 THEN -0.5 ELSE 0.0 END)::DOUBLE / count(*))), 6) AS score FROM c GROUP BY user_id",
+    "faithfulness": "WITH c AS (SELECT user_id, event_id % 4 AS v FROM events) SELECT user_id, count(*) AS n, count(*) FILTER (v = 0) AS supported, count(*) FILTER (v = 1) AS partial, count(*) FILTER (v = 2) AS contradicted, count(*) FILTER (v = 3) AS not_supported, round(least(1.0, greatest(0.0, sum(CASE v WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 WHEN 2 THEN -0.5 ELSE 0.0 END)::DOUBLE / count(*))), 6) AS score FROM c GROUP BY user_id",
     "correction_metrics": "WITH e AS (SELECT event_id % 5 AS issues, least(event_id % 5, event_id % 3) AS fixed, CASE WHEN event_id % 5 > 3 THEN event_id % 2 ELSE 0 END AS tries, event_id % 4 <> 0 AS passed, (event_id % 11) / 10 - 0.5 AS delta FROM events), a AS (SELECT *, CASE WHEN fixed > 0 THEN 'corrected' WHEN tries > 0 THEN 'regenerated' WHEN passed THEN 'none' ELSE 'failed' END AS action FROM e), g AS (SELECT count(*) AS n_queries, count(*) FILTER (issues > 0) AS n_with_issues, count(*) FILTER (action = 'corrected') AS n_corrected, count(*) FILTER (action = 'regenerated') AS n_regenerated, count(*) FILTER (action = 'failed') AS n_failed, sum(issues)::BIGINT AS n_issues, sum(fixed)::BIGINT AS n_corrections, count(*) FILTER (action <> 'none') AS n_acted, round(avg(delta) FILTER (action <> 'none'), 6) AS avg_delta FROM a) SELECT *, round(n_acted / greatest(n_queries, 1), 6) AS intervention_rate, round(n_regenerated / greatest(n_queries, 1), 6) AS regeneration_rate, CASE WHEN n_issues = 0 THEN 1.0 ELSE round(n_corrections / greatest(n_issues, 1), 6) END AS success_rate FROM g",
     "severity_bins": "WITH e AS (SELECT event_type, (event_id % 100) / 100 AS s FROM events) SELECT event_type, CASE WHEN s < 0.3 THEN 'low' WHEN s < 0.5 THEN 'medium' WHEN s < 0.7 THEN 'high' ELSE 'critical' END AS bin, count(*) AS n, round(avg(s), 6) AS avg_severity, max(s) AS max_severity FROM e GROUP BY 1, 2",
     "validation_decisions": "WITH p AS (SELECT user_id, avg((event_id % 100) / 100 * (user_id % 7) / 6) AS mean, max((event_id % 100) / 100 * (user_id % 7) / 6) AS worst FROM events GROUP BY 1) SELECT CASE WHEN worst >= 0.9 OR mean >= 0.7 THEN 'regenerate' WHEN mean >= 0.3 THEN 'correct' ELSE 'accept' END AS decision, count(*) AS n FROM p GROUP BY 1",

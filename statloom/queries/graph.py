@@ -52,7 +52,7 @@ def impl_chain_lists(spark, d):
 
 
 def authority_rules(spark, d):
-    return graph.authority_rules(*_graph(spark, d))
+    return graph.authority_links(*_graph(spark, d))
 
 
 def chapter_statutes(spark, d):
@@ -68,7 +68,7 @@ def chunk_siblings(spark, d):
 
 
 def doc_with_chunks(spark, d):
-    return graph.documents_with_chunks(_graph(spark, d)[0], _chunks(spark, d))
+    return graph.document_chunks(_graph(spark, d)[0], _chunks(spark, d))
 
 
 def chunk_detail(spark, d):
@@ -120,12 +120,12 @@ SQL = {
     "related_top5": f"WITH {_E}, b AS (SELECT * FROM cited UNION SELECT * FROM citing) SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY other)::INT AS rank FROM b QUALIFY rank <= 5",
     "impl_chain": f"WITH {_CHAIN} SELECT DISTINCT statute, 0 AS part, rule AS other FROM ru UNION ALL SELECT DISTINCT statute, CASE st WHEN 'case' THEN 1 ELSE 2 END, reader FROM rd",
     "impl_chain_lists": f"WITH {_CHAIN}, x AS (SELECT DISTINCT statute, 0 AS part, rule AS other FROM ru UNION ALL SELECT DISTINCT statute, CASE st WHEN 'case' THEN 1 ELSE 2 END, reader FROM rd), y AS (SELECT *, row_number() OVER (PARTITION BY statute, part ORDER BY other) AS n FROM x) SELECT statute, part, count(*) AS n, string_agg(other, ',' ORDER BY n) FILTER (n <= 20) AS first FROM y GROUP BY 1, 2",
-    "authority_rules": f"WITH {_E} SELECT src AS rule, string_agg(DISTINCT dst, ',' ORDER BY dst) AS statutes FROM e JOIN v a ON a.id = src AND a.doc_type = 'rule' JOIN v b ON b.id = dst AND b.doc_type = 'statute' WHERE relation = 'authority' GROUP BY src",
+    "authority_rules": f"WITH {_E} SELECT rule, statute, row_number() OVER (PARTITION BY rule ORDER BY statute)::INT AS position FROM (SELECT DISTINCT src AS rule, dst AS statute FROM e JOIN v a ON a.id = src AND a.doc_type = 'rule' JOIN v b ON b.id = dst AND b.doc_type = 'statute' WHERE relation = 'authority')",
     "chapter_statutes": f"WITH {_V} SELECT chapter, section, id, row_number() OVER (PARTITION BY chapter ORDER BY section NULLS LAST, id)::INT AS position FROM v WHERE doc_type = 'statute' AND chapter IS NOT NULL",
     "chunk_parents": f"WITH {_CH} SELECT c.id, c.parent_chunk_id, p.id IS NOT NULL AS parent_found FROM ch c LEFT JOIN ch p ON c.parent_chunk_id = p.id WHERE c.level = 'child'",
     "chunk_siblings": f"WITH {_CH} SELECT c.id, coalesce((SELECT string_agg(s, ',' ORDER BY s) FROM (SELECT p.id AS s FROM ch p WHERE p.parent_chunk_id = c.parent_chunk_id AND p.id <> c.id ORDER BY p.id LIMIT 3)), '') AS siblings FROM ch c WHERE c.parent_chunk_id IS NOT NULL",
-    "doc_with_chunks": f"WITH {_V}, {_CH}, a AS (SELECT doc_id, count(DISTINCT id) AS n, string_agg(DISTINCT id, ',' ORDER BY id) AS ids FROM ch GROUP BY 1) SELECT v.id, coalesce(n, 0)::INT AS n_chunks, coalesce(ids, '') AS chunk_ids FROM v LEFT JOIN a ON a.doc_id = v.id",
-    "chunk_detail": f"WITH {_E}, {_CH}, k AS (SELECT parent_chunk_id AS id, string_agg(DISTINCT id, ',' ORDER BY id) AS children FROM ch WHERE parent_chunk_id IS NOT NULL GROUP BY 1), t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY side, other) AS n FROM (SELECT *, 0 AS side FROM citing UNION ALL SELECT *, 1 FROM cited)), r AS (SELECT id, string_agg(other, ',' ORDER BY n) AS related FROM t WHERE n <= 10 GROUP BY 1) SELECT ch.id, ch.doc_id, v.title, ch.parent_chunk_id, coalesce(children, '') AS children, coalesce(related, '') AS related FROM ch LEFT JOIN v ON v.id = ch.doc_id LEFT JOIN k ON k.id = ch.id LEFT JOIN r ON r.id = ch.doc_id",
+    "doc_with_chunks": f"WITH {_V}, c AS (SELECT doc_id, id AS chunk_id, min(parent_chunk_id) AS parent_chunk_id FROM legal_chunks GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_id)::INT AS position FROM c) SELECT v.id, position, chunk_id, parent_chunk_id FROM v LEFT JOIN n ON n.doc_id = v.id",
+    "chunk_detail": f"WITH {_E}, {_CH}, c AS (SELECT parent_chunk_id AS id, id AS child, row_number() OVER (PARTITION BY parent_chunk_id ORDER BY id) AS i FROM (SELECT DISTINCT id, parent_chunk_id FROM ch WHERE parent_chunk_id IS NOT NULL)), k AS (SELECT id, count(*) AS n_children, string_agg(child, ',' ORDER BY child) FILTER (i <= 10) AS children FROM c GROUP BY 1), t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY side, other) AS n FROM (SELECT *, 0 AS side FROM citing UNION ALL SELECT *, 1 FROM cited)), r AS (SELECT id, string_agg(other, ',' ORDER BY n) AS related FROM t WHERE n <= 10 GROUP BY 1) SELECT ch.id, ch.doc_id, v.title, ch.parent_chunk_id, coalesce(n_children, 0) AS n_children, coalesce(children, '') AS children, coalesce(related, '') AS related FROM ch LEFT JOIN v ON v.id = ch.doc_id LEFT JOIN k ON k.id = ch.id LEFT JOIN r ON r.id = ch.doc_id",
     "citation_contexts": f"WITH {_V}, d AS (SELECT DISTINCT source_chunk_id, target_doc_id, lower(relation_type) AS relation, citation_text FROM resolved_edges WHERE target_doc_id IS NOT NULL) SELECT d.*, v.full_citation AS target_citation FROM d JOIN v ON v.id = d.target_doc_id",
     "graph_degrees": f"WITH {_E} SELECT id, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM (SELECT src AS id, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) GROUP BY id",
     "expansion_top5": f"WITH {_CHAIN}, s AS (SELECT DISTINCT statute AS id, 0 AS side, rule AS other FROM ru UNION SELECT statute, CASE st WHEN 'case' THEN 1 ELSE 2 END, reader FROM rd UNION ALL SELECT id, min(side), other FROM (SELECT src AS id, 0 AS side, dst AS other FROM e WHERE relation IN ('implements','authority') UNION SELECT id, 1, other FROM citing) WHERE id IN (SELECT id FROM v WHERE doc_type = 'rule') GROUP BY id, other UNION ALL SELECT id, 0, other FROM cited WHERE id IN (SELECT id FROM v WHERE doc_type = 'case') UNION ALL SELECT id, 0, other FROM (SELECT * FROM cited UNION SELECT * FROM citing) WHERE id IN (SELECT id FROM v WHERE doc_type = 'taa')) SELECT id, (row_number() OVER (PARTITION BY id ORDER BY side, other) - 1)::INT AS pos, other FROM s QUALIFY pos < 5",

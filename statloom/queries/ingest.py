@@ -49,7 +49,7 @@ def audit_issues(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chapter_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.chapter_summary(table(spark, d, "raw_statutes"))
+    return corpus.chapter_sections(table(spark, d, "raw_statutes"))
 
 
 def ancestry_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -213,7 +213,7 @@ SQL = {
     "CASE WHEN coalesce(metadata.chapter_name, '') = '' THEN 'missing_chapter_name' END, CASE WHEN metadata.effective_date IS NULL THEN 'missing_date' END, "
     "CASE WHEN metadata.effective_date IS NOT NULL AND NOT (year(metadata.effective_date) BETWEEN 1800 AND 2100) THEN 'implausible_date' END, CASE WHEN length(text) < 50 THEN 'short_text' END, "
     "CASE WHEN coalesce(len(metadata.history), 0) = 0 THEN 'missing_history' END, CASE WHEN dup THEN 'duplicate_id' END, CASE WHEN contains(text, chr(65533)) THEN 'replacement_character' END], lambda x: x IS NOT NULL)) AS issue FROM r) GROUP BY issue, chapter",
-    "chapter_rollup": r"SELECT chapter, count(*) AS n_sections, string_agg(section, ',' ORDER BY list_transform(string_split(section, '.'), lambda x: TRY_CAST(x AS INT)), section) AS sections FROM (SELECT DISTINCT metadata.chapter AS chapter, metadata.section AS section FROM raw_statutes WHERE metadata.section <> '') GROUP BY chapter",
+    "chapter_rollup": r"WITH s AS (SELECT DISTINCT metadata.chapter AS chapter, metadata.section AS section FROM raw_statutes WHERE metadata.section <> '') SELECT chapter, count(*) OVER (PARTITION BY chapter) AS n_sections, row_number() OVER (PARTITION BY chapter ORDER BY list_transform(string_split(section, '.'), lambda x: TRY_CAST(x AS INT)), section)::INT AS position, section FROM s",
     "ancestry_paths": "SELECT DISTINCT id, CASE doc_type WHEN 'statute' THEN concat_ws(' > ', 'Florida Statutes', 'Chapter ' || nullif(metadata['chapter'], ''), replace(full_citation, 'Fla. Stat. ', '')) WHEN 'rule' THEN concat_ws(' > ', 'Florida Administrative Code', 'Chapter ' || nullif(metadata['chapter'], ''), replace(full_citation, 'Fla. Admin. Code R. ', 'Rule ')) WHEN 'taa' THEN concat_ws(' > ', 'Florida DOR Technical Assistance Advisements', nullif(metadata['tax_type'], ''), replace(full_citation, 'Fla. DOR ', '')) WHEN 'case' THEN concat_ws(' > ', 'Florida Case Law', nullif(metadata['tax_type'], ''), title) ELSE full_citation END AS ancestry FROM legal_documents",
     "version_in_force": f"SELECT id, effective_date, scraped_at FROM legal_documents WHERE effective_date <= DATE '{DAY}' QUALIFY row_number() OVER (PARTITION BY id ORDER BY effective_date DESC, scraped_at DESC NULLS LAST) = 1",
     "encoding_flags": r"SELECT flags, count(*) AS n FROM (SELECT concat_ws(',', CASE WHEN contains(text, chr(65533)) THEN 'replacement' END, CASE WHEN regexp_matches(text, '\x00') THEN 'nul' END, CASE WHEN regexp_matches(text, '[\x01-\x08\x0b\x0c\x0e-\x1f]') THEN 'control' END) AS flags FROM raw_taas) WHERE flags <> '' GROUP BY flags",

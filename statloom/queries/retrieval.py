@@ -23,7 +23,7 @@ def _vec(spark, d, top=10) -> DataFrame:
 
 
 def _results(spark, d) -> DataFrame:
-    meta = table(spark, d, "documents").select("doc_id", F.coalesce("doc_type", F.lit("other")).alias("doc_type"), "effective_date", F.coalesce("section", F.lit("none")).alias("sec"))
+    meta = table(spark, d, "documents").select("doc_id", F.coalesce("doc_type", F.lit("other")).alias("doc_type"), "effective_date", F.coalesce("section", F.concat(F.lit("row:"), F.col("doc_id").cast("string"))).alias("sec"))
     hits = _kw(spark, d)
     return hits.join(meta, "doc_id")
 
@@ -162,7 +162,7 @@ SQL = {
     "vector_topk": f"WITH {_vsql(10)} SELECT query_id, vec_id, score FROM vec",
     "hybrid_fusion": f"{_ARMS}, f AS (SELECT query_id, doc_id, round(0.5 * v + 0.5 * k, 9) AS score FROM j) SELECT query_id, doc_id, score FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 20",
     "alpha_grid": f"{_ARMS}, g AS (SELECT j.*, alpha, round(alpha * v + (1 - alpha) * k, 9) AS score, coalesce(a.label = b.label, false) AS hit FROM j LEFT JOIN embeddings a ON a.vec_id = j.doc_id LEFT JOIN embeddings b ON b.vec_id = j.query_id, (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS alpha)), r AS (SELECT *, row_number() OVER (PARTITION BY alpha, query_id ORDER BY score DESC, doc_id) AS rank FROM g), p AS (SELECT alpha, query_id, coalesce(1.0 / min(rank) FILTER (hit), 0) AS rr FROM r GROUP BY 1, 2) SELECT alpha, round(avg(rr), 6) AS mrr FROM p GROUP BY alpha",
-    "rerank_full": f"WITH {_bm25(20)}, r AS (SELECT kw.*, coalesce(doc_type, 'other') AS doc_type, effective_date, coalesce(section, 'none') AS sec FROM kw JOIN documents USING (doc_id)) SELECT query_id, doc_id AS item, round(greatest(0, score * {_WEIGHT} * CASE WHEN effective_date IS NULL THEN 1.0 WHEN {_AGE} <= 0 THEN 1.1 WHEN {_AGE} >= 10 THEN 0.9 ELSE 1.1 - 0.2 * {_AGE} / 10 END - 0.1 * (row_number() OVER (PARTITION BY query_id, sec ORDER BY rank) - 1)), 9) AS new_score FROM r",
+    "rerank_full": f"WITH {_bm25(20)}, r AS (SELECT kw.*, coalesce(doc_type, 'other') AS doc_type, effective_date, coalesce(section, 'row:' || doc_id) AS sec FROM kw JOIN documents USING (doc_id)) SELECT query_id, doc_id AS item, round(greatest(0, score * {_WEIGHT} * CASE WHEN effective_date IS NULL THEN 1.0 WHEN {_AGE} <= 0 THEN 1.1 WHEN {_AGE} >= 10 THEN 0.9 ELSE 1.1 - 0.2 * {_AGE} / 10 END - 0.1 * (row_number() OVER (PARTITION BY query_id, sec ORDER BY rank) - 1)), 9) AS new_score FROM r",
     "boost_terms": f"WITH {_bm25(20)} SELECT kw.query_id, doc_id, round(list_sum(list_transform(string_split(lower(query), ' '), lambda t: CASE WHEN contains(lower(coalesce(section, '')), t) THEN 0.2 WHEN contains(lower(substr(text, 1, 500)), t) THEN 0.1 ELSE 0.0 END)), 6)::DOUBLE AS boost FROM kw JOIN q USING (query_id) JOIN documents USING (doc_id)",
     "date_filter": "SELECT doc_type, count(*) AS n FROM legal_documents WHERE effective_date IS NULL OR effective_date BETWEEN DATE '2005-01-01' AND DATE '2015-12-31' GROUP BY doc_type",
     "temporal_valid": f"WITH {_bm25(20)} SELECT query_id, count(*) AS n, count(*) < 3 AS needs_more FROM kw JOIN documents USING (doc_id) WHERE effective_date IS NULL OR year(effective_date) <= 2000 + query_id + 5 GROUP BY query_id",

@@ -28,8 +28,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: ``spark.checkpoint.dir`` where the cluster names one
-    (it is shared by all executors), a temporary folder only where it is unset."""
+    """The folder for checkpoints: ``spark.checkpoint.dir``, which all executors share.  Where it is
+    unset, a temporary folder of this machine, but only where the master is this machine alone."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if named:
@@ -37,6 +37,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="statloom-ckpt-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

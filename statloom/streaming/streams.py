@@ -2,7 +2,7 @@
 
 The sequential rules match their batch versions in ``operators.observe``; rows later than the
 watermark are dropped by Spark, which is the stated policy for late data.  State per key is bounded
-(the last passed times, or one time); what has expired in it is ignored and overwritten.
+(the last passed times, or one time) and is removed once the watermark is past what it can matter for.
 """
 
 from __future__ import annotations
@@ -20,11 +20,14 @@ def file_events(spark: SparkSession, folder: str, schema, name: str = "events.pa
     return spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", per_trigger).parquet(folder)
 
 
-def limited(events: DataFrame, key: str, ts: str, limit: int, seconds: int) -> DataFrame:
+def limited(events: DataFrame, key: str, ts: str, limit: int, seconds: int, late: str = "1 hour") -> DataFrame:
     """Sliding-window limiter per key: (key, event_id, passed); the state holds at most ``limit``
     times of passed requests."""
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         f = pd.concat(list(frames))  # one key's rows of one micro-batch
         f = f.sort_values([ts, "event_id"])
         passed = list(state.get[0]) if state.exists else []
@@ -37,16 +40,20 @@ def limited(events: DataFrame, key: str, ts: str, limit: int, seconds: int) -> D
                 passed.append(us)
             out.append(ok)
         state.update((passed,))
+        state.setTimeoutTimestamp(int(f[ts].iloc[-1].value // 1_000_000) + seconds * 1000)
         yield pd.DataFrame({key: k[0], "event_id": f["event_id"].to_numpy(), "passed": out})
 
     out = f"{key} {events.schema[key].dataType.simpleString()}, event_id long, passed boolean"
-    return events.groupBy(key).applyInPandasWithState(step, out, "passed array<long>", "append", GroupStateTimeout.NoTimeout)
+    return events.withWatermark(ts, late).groupBy(key).applyInPandasWithState(step, out, "passed array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def cached(events: DataFrame, key: str, ts: str, ttl_seconds: int) -> DataFrame:
+def cached(events: DataFrame, key: str, ts: str, ttl_seconds: int, late: str = "1 hour") -> DataFrame:
     """Cache per key: (key, event_id, hit); a hit does not prolong an entry's life."""
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         f = pd.concat(list(frames)).sort_values([ts, "event_id"])
         at = state.get[0] if state.exists else None
         out = []
@@ -57,10 +64,11 @@ def cached(events: DataFrame, key: str, ts: str, ttl_seconds: int) -> DataFrame:
                 at = us
             out.append(hit)
         state.update((at,))
+        state.setTimeoutTimestamp(int(f[ts].iloc[-1].value // 1_000_000) + ttl_seconds * 1000)
         yield pd.DataFrame({key: k[0], "event_id": f["event_id"].to_numpy(), "hit": out})
 
     out = f"{key} {events.schema[key].dataType.simpleString()}, event_id long, hit boolean"
-    return events.groupBy(key).applyInPandasWithState(step, out, "inserted long", "append", GroupStateTimeout.NoTimeout)
+    return events.withWatermark(ts, late).groupBy(key).applyInPandasWithState(step, out, "inserted long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def running_metrics(events: DataFrame, ts: str, late: str = "1 hour", width: str = "1 day") -> DataFrame:
