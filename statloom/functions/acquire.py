@@ -20,6 +20,15 @@ TOPICS = (
 )
 # Navigation words whose lines are dropped from a rule's text.
 NAVIGATION = ("Previous", "Up", "Next", "MyFLRules", "Add to Favorites")
+# Notations of years in a history note, of an issue date, and of a rule page's parts.
+LONG_YEARS, SHORT_YEAR = (r"ch\.\s*\d+,\s*(\d{4})", r"ch\.\s*(\d{4})-\d+", r",\s*(\d{4})\."), r"ch\.\s*(\d{2})-\d+"
+_DAY = rf"(?:{'|'.join(MONTHS)})\s+\d{{1,2}},?\s+\d{{4}}"
+ISSUED, WRITTEN_DAY, SLASHED_DAY = rf"(?i)(?:Date|Dated|Issued)[:\s]+({_DAY})", rf"(?i)({_DAY})", r"(\d{1,2}/\d{1,2}/\d{4})"
+RULE_PARTS = {
+    "title": r"Rule Title:\s*([^\n]+)", "page_title": r"(?is)<title>[^:<]*:\s*([^<-]+?)\s*(?:-[^<]*)?</title>", "effective": r"(?i)Effective Date:?\s*(\d{1,2}/\d{1,2}/\d{4})",
+    "authority": r"(?is)Rulemaking Authority\s+(.*?)\s+Law Implemented", "law": r"(?is)Law Implemented\s+(.*?)\s+History", "history": r"(?s)History[–-]\s*(.*?)(?:\s*$|\s*Previous|\s*Up|\s*Next)",
+    "linked": r"statute\.asp\?id=([^&\"']+)", "cited": r"\b(\d{3}\.\d+(?:\([^)]+\))*(?:\d+\.)?)",
+}
 ROMAN = ((10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I"))
 
 
@@ -31,8 +40,8 @@ def history_years(c: Column) -> Column:
     """Amendment years of a history note: four notations, two-digit years up to 29 are 20xx, only
     1800 to 2100, distinct and sorted."""
     every = lambda p: F.regexp_extract_all(c, F.lit(p), F.lit(1))
-    short = F.transform(every(r"ch\.\s*(\d{2})-\d+"), lambda y: F.when(y.cast("int") <= 29, F.lit(2000)).otherwise(1900) + y.cast("int"))
-    long = F.transform(F.concat(every(r"ch\.\s*\d+,\s*(\d{4})"), every(r"ch\.\s*(\d{4})-\d+"), every(r",\s*(\d{4})\.")), lambda y: y.cast("int"))
+    short = F.transform(every(SHORT_YEAR), lambda y: F.when(y.cast("int") <= 29, F.lit(2000)).otherwise(1900) + y.cast("int"))
+    long = F.transform(F.concat(*map(every, LONG_YEARS)), lambda y: y.cast("int"))
     return F.array_sort(F.array_distinct(F.filter(F.concat(long, short), lambda y: y.between(1800, 2100))))
 
 
@@ -73,9 +82,7 @@ def topics(subject_line: Column) -> Column:
 
 def issue_date(c: Column) -> Column:
     head = F.substring(c, 1, 2000)
-    named = _group(head, rf"(?i)(?:Date|Dated|Issued)[:\s]+((?:{'|'.join(MONTHS)})\s+\d{{1,2}},?\s+\d{{4}})")
-    anywhere = _group(head, rf"(?i)((?:{'|'.join(MONTHS)})\s+\d{{1,2}},?\s+\d{{4}})")
-    slashed = _group(head, r"(\d{1,2}/\d{1,2}/\d{4})")
+    named, anywhere, slashed = (_group(head, p) for p in (ISSUED, WRITTEN_DAY, SLASHED_DAY))
     return F.coalesce(F.try_to_date(F.regexp_replace(F.replace(F.coalesce(named, anywhere), F.lit(","), F.lit("")), r"\s+", " "), "MMMM d yyyy"), F.try_to_date(slashed, "M/d/yyyy"))
 
 
@@ -128,16 +135,16 @@ def rule_page(html: Column) -> dict[str, Column]:
     """Fields of a rule's page: title, text, date, authority, law implemented, history."""
     no_script = F.regexp_replace(html, r"(?is)<(script|style|nav|header|footer)\b.*?</\1>", "")
     text = F.regexp_replace(F.regexp_replace(no_script, r"(?i)<br\s*/?>|</(?:td|tr|p|div|h\d)>", "\n"), r"<[^>]+>", "")
-    cited = lambda c: F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\b(\d{3}\.\d+(?:\([^)]+\))*(?:\d+\.)?)"), F.lit(1)), lambda x: F.regexp_replace(x, r"[.,]+$", ""))))
+    cited = lambda c: F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(RULE_PARTS["cited"]), F.lit(1)), lambda x: F.regexp_replace(x, r"[.,]+$", ""))))
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike("|".join(NAVIGATION)))
-    linked = F.transform(F.regexp_extract_all(html, F.lit(r"statute\.asp\?id=([^&\"']+)"), F.lit(1)), lambda x: F.trim(F.regexp_replace(x, r" ?FS\.", "")))
+    linked = F.transform(F.regexp_extract_all(html, F.lit(RULE_PARTS["linked"]), F.lit(1)), lambda x: F.trim(F.regexp_replace(x, r" ?FS\.", "")))
     return {
-        "title": F.coalesce(_group(text, r"Rule Title:\s*([^\n]+)"), F.trim(_group(html, r"(?is)<title>[^:<]*:\s*([^<-]+?)\s*(?:-[^<]*)?</title>")), F.lit("")),
+        "title": F.coalesce(_group(text, RULE_PARTS["title"]), F.trim(_group(html, RULE_PARTS["page_title"])), F.lit("")),
         "text": F.array_join(lines, "\n"),
-        "effective_date": F.try_to_date(_group(text, r"(?i)Effective Date:?\s*(\d{1,2}/\d{1,2}/\d{4})"), "M/d/yyyy"),
-        "rulemaking_authority": F.array_union(cited(_group(text, r"(?is)Rulemaking Authority\s+(.*?)\s+Law Implemented")), linked),
-        "law_implemented": F.array_union(cited(_group(text, r"(?is)Law Implemented\s+(.*?)\s+History")), linked),
-        "history": F.coalesce(F.trim(_group(text, r"(?s)History[–-]\s*(.*?)(?:\s*$|\s*Previous|\s*Up|\s*Next)")), F.lit("")),
+        "effective_date": F.try_to_date(_group(text, RULE_PARTS["effective"]), "M/d/yyyy"),
+        "rulemaking_authority": F.array_union(cited(_group(text, RULE_PARTS["authority"])), linked),
+        "law_implemented": F.array_union(cited(_group(text, RULE_PARTS["law"])), linked),
+        "history": F.coalesce(F.trim(_group(text, RULE_PARTS["history"])), F.lit("")),
     }
 
 

@@ -15,6 +15,18 @@ STATUTE = rf"(?i)(?:§|section|s\.)[\s\x{{a0}}]*(\d{{1,3}}\.\d{{2,4}}){SUBSECTIO
 RULE = r"(?i)R(?:ule)?\.?[\s\x{a0}]*(\d{1,2}[A-Z]?-\d+\.\d+)((?:\([0-9a-z]+\))*)|(\d{1,2}[A-Z]?-\d+\.\d+)((?:\([0-9a-z]+\))*),?[\s\x{a0}]*F\.?A\.?C\.?"
 CASE = r"(?i)(\d{1,4})\s+(So\.\s*[23]d|Fla\.\s*L\.\s*Weekly(?:\s*Supp\.)?|Fla\.)\s+(\d{1,5})"
 CHAPTER = r"(?i)(?:chapters?|ch\.)\s+(\d{1,3})"
+# Marks of each kind of citation, the forms of a section number, and the words around a
+# citation that tell how it relates, in the order they are tried.
+CASE_MARK, RULE_MARK = r"(?i)v\.\s+\w+|vs\.\s+\w+", r"(?i)(?:Rule\s+|F\.?A\.?C\.?\s*R?\.?\s*)[\dA-Za-z.-]+"
+SECTION_FORMS = (r"(?i)(?:Fla\.?\s*Stat\.?\s*)?§\s*([\d.]+(?:\([^)]+\))*)", r"(?i)(?:Rule\s+|F\.?A\.?C\.?\s*R?\.?\s*)([\dA-Za-z.-]+)", r"(\d+\.\d+(?:\([^)]+\))*)")
+PREFIXES = (r"^(fla\.?\s*stat\.?\s*)?§?\s*", r"^(rule\s+|f\.?a\.?c\.?\s*r?\.?\s*)")
+RELATIONS = (
+    ("rule", "rulemaking authority|authority:|specific authority", "authority"),
+    ("rule", "law implemented|implements|implementing", "implements"),
+    ("case", "interpret|constru|held that|holding|pursuant to", "interprets"),
+    (None, "amend", "amends"),
+    (None, "supersed|replac|repeal", "supersedes"),
+)
 LEXIS = r"(?i)(\d{4})\s+(Fla\.?\s*LEXIS|WL)\s+(\d+)"
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 # Entities that leftover HTML holds, in the order they are replaced.
@@ -112,8 +124,8 @@ def needs_splitting(c: Column) -> Column:
 def normal_citation(c: Column) -> Column:
     """Comparison form of a citation: lower case, prefixes and blanks dropped."""
     c = F.lower(F.trim(c))
-    c = F.regexp_replace(c, r"^(fla\.?\s*stat\.?\s*)?§?\s*", "")
-    c = F.regexp_replace(c, r"^(rule\s+|f\.?a\.?c\.?\s*r?\.?\s*)", "")
+    for prefix in PREFIXES:
+        c = F.regexp_replace(c, prefix, "")
     return F.regexp_replace(c, r"\s+", "")
 
 
@@ -138,32 +150,26 @@ def citation_kind(c: Column) -> Column:
     """case, taa, statute, rule or unknown, in this order."""
     low = F.lower(c)
     return (
-        F.when(c.rlike(r"(?i)v\.\s+\w+|vs\.\s+\w+"), "case")
+        F.when(c.rlike(CASE_MARK), "case")
         .when(low.contains("taa") | low.contains("technical assistance"), "taa")
         .when(c.contains("§") | low.contains("statute"), "statute")
-        .when(c.rlike(r"(?i)(?:Rule\s+|F\.?A\.?C\.?\s*R?\.?\s*)[\dA-Za-z.-]+") | low.contains("f.a.c"), "rule")
+        .when(c.rlike(RULE_MARK) | low.contains("f.a.c"), "rule")
         .otherwise("unknown")
     )
 
 
 def section_number(c: Column) -> Column:
     """The section a citation names: statute form, rule form, bare number; null if none."""
-    tries = (r"(?i)(?:Fla\.?\s*Stat\.?\s*)?§\s*([\d.]+(?:\([^)]+\))*)", r"(?i)(?:Rule\s+|F\.?A\.?C\.?\s*R?\.?\s*)([\dA-Za-z.-]+)", r"(\d+\.\d+(?:\([^)]+\))*)")
-    return F.coalesce(*[F.nullif(F.regexp_extract(c, p, 1), F.lit("")) for p in tries])
+    return F.coalesce(*[F.nullif(F.regexp_extract(c, p, 1), F.lit("")) for p in SECTION_FORMS])
 
 
 def relation_type(context: Column, doc_type: Column) -> Column:
     """How a citing text relates to what it cites, from the words around the citation."""
-    low = F.lower(context)
-    has = lambda *words: low.rlike("|".join(words))
-    return (
-        F.when((doc_type == "rule") & has("rulemaking authority", "authority:", "specific authority"), "authority")
-        .when((doc_type == "rule") & has("law implemented", "implements", "implementing"), "implements")
-        .when((doc_type == "case") & has("interpret", "constru", "held that", "holding", "pursuant to"), "interprets")
-        .when(has("amend"), "amends")
-        .when(has("supersed", "replac", "repeal"), "supersedes")
-        .otherwise("cites")
-    )
+    low, out = F.lower(context), F.lit("cites")
+    for kind, words, relation in reversed(RELATIONS):
+        said = low.rlike(words)
+        out = F.when(said if kind is None else said & (doc_type == kind), relation).otherwise(out)
+    return out
 
 
 def encoding_flags(c: Column) -> Column:

@@ -20,8 +20,8 @@ DISCLAIMER = r"(?is)(?:\*\*)?(disclaimer:?.*)$"
 
 
 def offline(prompt: Column) -> Column:
-    """A deterministic reply: an accuracy from the prompt's hash, no findings."""
-    score = F.round(F.pmod(F.xxhash64(prompt), F.lit(100)) / 100, 2).cast("string")
+    """A deterministic reply: an accuracy from the prompt's length, no findings."""
+    score = F.round(F.pmod(F.length(prompt), F.lit(100)) / 100, 2).cast("string")
     return F.concat(F.lit('```json\n{"hallucinations": [], "verified_claims": [], "overall_accuracy": '), score, F.lit("}\n```"))
 
 

@@ -38,9 +38,8 @@ def subsections(text: Column) -> Column:
 def taa_sections(text: Column) -> Column:
     """array<struct<at, marker, content>> of the first line of each header, in text order; fewer than
     two headers give none."""
-    low = F.upper(text)
     found = F.filter(
-        F.array(*[F.struct(F.locate(f"\n{h}\n", low).alias("at"), F.lit(h).alias("marker")) for h in TAA_HEADERS]),
+        F.array(*[F.struct(F.regexp_instr(text, F.lit(rf"(?i)\n{h}\n")).alias("at"), F.lit(h).alias("marker")) for h in TAA_HEADERS]),
         lambda x: x["at"] > 0,
     )
     ordered = F.array_sort(found)
@@ -76,7 +75,11 @@ def packed_paragraphs(text: Column, target: int = CASE_TARGET, count: Counter =
 
 def chunk_documents(documents: DataFrame, count: Counter = words) -> DataFrame:
     """Parents (index 0, the whole text) and children of all documents in one projection: the router
-    picks the splitter by kind, other kinds give the parent only."""
+    picks the splitter by kind, other kinds give the parent only.
+
+    ``documents`` has id, doc_type, text, ancestry, citation and effective_date.  A parent lists its
+    children's ids; ``text_with_ancestry`` is the ancestry, a blank line and the text, and the count of
+    tokens is of that."""
     text = F.col("text")
     none = F.array().cast("array<struct<marker:string,content:string>>")
     plain = lambda a: F.transform(a, lambda x: F.struct(x["marker"].alias("marker"), x["content"].alias("content")))
@@ -86,22 +89,31 @@ def chunk_documents(documents: DataFrame, count: Counter = words) -> DataFrame:
         .when((F.col("doc_type") == "taa") & (count(text) >= TAA_LEAST), plain(taa_sections(text)))
         .when((F.col("doc_type") == "case") & (count(text) >= CASE_LEAST), case_parts)
     )
-    with_parts = documents.select("id", "doc_type", F.coalesce(children, none).alias("children"), "text")
+    carried = ["ancestry", "citation", "effective_date"]
+    with_parts = documents.select("id", "doc_type", *carried, F.coalesce(children, none).alias("children"), "text")
+    doc = F.concat(F.lit("chunk:"), F.col("id"), F.lit(":"))
+    ids = F.transform("children", lambda x, i: F.concat(doc, (i + 1).cast("string")))
+    no_ids = F.array().cast("array<string>")
     rows = F.concat(
-        F.array(F.struct(F.lit(0).alias("index"), F.lit("parent").alias("level"), F.lit("").alias("subsection_path"), text.alias("chunk_text"))),
+        F.array(F.struct(F.lit(0).alias("index"), F.lit("parent").alias("level"), F.lit("").alias("subsection_path"), text.alias("chunk_text"), ids.alias("child_chunk_ids"))),
         F.transform(
             "children",
-            lambda x, i: F.struct((i + 1).alias("index"), F.lit("child").alias("level"), x["marker"].alias("subsection_path"), x["content"].alias("chunk_text")),
+            lambda x, i: F.struct((i + 1).alias("index"), F.lit("child").alias("level"), x["marker"].alias("subsection_path"), x["content"].alias("chunk_text"), no_ids.alias("child_chunk_ids")),
         ),
     )
-    doc = F.concat(F.lit("chunk:"), F.col("doc_id"), F.lit(":"))
-    return with_parts.select(F.col("id").alias("doc_id"), "doc_type", F.inline(rows)).select(
-        F.concat(doc, F.col("index").cast("string")).alias("id"),
+    whole = F.concat(F.coalesce("ancestry", F.lit("")), F.lit("\n\n"), F.coalesce("chunk_text", F.lit("")))
+    return with_parts.select(F.col("id").alias("doc_id"), "doc_type", *carried, doc.alias("__doc"), F.inline(rows)).select(
+        F.concat("__doc", F.col("index").cast("string")).alias("id"),
         "doc_id",
         "doc_type",
         "level",
+        "ancestry",
         "subsection_path",
         F.col("chunk_text").alias("text"),
-        F.when(F.col("level") == "child", F.concat(doc, F.lit("0"))).alias("parent_chunk_id"),
-        count(F.col("chunk_text")).cast("int").alias("token_count"),
+        whole.alias("text_with_ancestry"),
+        F.when(F.col("level") == "child", F.concat("__doc", F.lit("0"))).alias("parent_chunk_id"),
+        "child_chunk_ids",
+        "citation",
+        "effective_date",
+        count(whole).cast("int").alias("token_count"),
     )

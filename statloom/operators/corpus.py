@@ -48,6 +48,7 @@ def taas_to_documents(raw: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("parent_id"),
         F.coalesce(F.col(f"{m}.statutes_cited"), F.array().cast("array<string>")).alias("cites_statutes"),
         F.coalesce(F.col(f"{m}.rules_cited"), F.array().cast("array<string>")).alias("cites_rules"),
+        F.col(f"{m}.tax_type").alias("tax_type"),
         "scraped_at",
         "raw_id",
     )
@@ -118,6 +119,12 @@ def ancestry(doc_type: Column, citation: Column, title: Column, chapter: Column,
     return out
 
 
+def with_paths(documents: DataFrame, chapter: Column, extra: Column) -> DataFrame:
+    """Documents as the chunker takes them: with their ancestry and their citation."""
+    path = ancestry(F.col("doc_type"), F.col("full_citation"), F.col("title"), F.coalesce(chapter, F.lit("")), F.coalesce(extra, F.lit("")))
+    return documents.select("id", "doc_type", "text", path.alias("ancestry"), F.col("full_citation").alias("citation"), "effective_date")
+
+
 def corpus_counts(documents: DataFrame) -> DataFrame:
     """Rows by kind and in all (null kind), in one pass."""
     return documents.rollup("doc_type").agg(F.count("*").alias("n"))

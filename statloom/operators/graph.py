@@ -158,6 +158,15 @@ def chunk_detail(chunks: DataFrame, verts: DataFrame, edges: DataFrame, most: in
     )
 
 
+def structure_edges(chunks: DataFrame, verts: DataFrame) -> DataFrame:
+    """(src, dst, relation): HAS_CHUNK from documents to their chunks, CHILD_OF from chunks to their
+    parent chunks; only where both ends exist."""
+    has = chunks.join(verts.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("src"), F.col("id").alias("dst"), F.lit("HAS_CHUNK").alias("relation")).distinct()
+    parents = chunks.select(F.col("id").alias("parent_chunk_id")).distinct()
+    child = chunks.join(parents, "parent_chunk_id", "left_semi").select(F.col("id").alias("src"), F.col("parent_chunk_id").alias("dst"), F.lit("CHILD_OF").alias("relation")).distinct()
+    return has.unionByName(child)
+
+
 def parent_chunks_of(documents: DataFrame, chunks: DataFrame, limit: int = 1) -> DataFrame:
     """The first ``limit`` parent chunks, in id order, of each document (column ``other``)."""
     w = Window.partitionBy("other").orderBy("chunk_id")

@@ -49,7 +49,7 @@ def retrieve(
 def ingest(raw_statutes: DataFrame, raw_taas: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Raw records to (documents, chunks, edges); each is a lazy plan to be written once."""
     docs = corpus.latest_by(corpus.consolidate(corpus.statutes_to_documents(raw_statutes), corpus.taas_to_documents(raw_taas)), "id", F.col("scraped_at").desc(), F.col("raw_id").desc())
-    chunks = chunking.chunk_documents(docs).join(docs.select(F.col("id").alias("doc_id"), F.col("full_citation").alias("citation")), "doc_id")
+    chunks = chunking.chunk_documents(corpus.with_paths(docs, F.regexp_extract("parent_id", "chapter_(.*)$", 1), F.col("tax_type")))
     edges = citations.citation_graph(chunks).where("target_doc_id is not null")
     kept = edges.select(F.col("id").alias("source_chunk_id"), F.col("doc_id").alias("source_doc_id"), "target_doc_id", "target_chunk_id", "relation_type", F.col("raw").alias("citation_text"), "confidence")
     return docs, chunks, citations.best_edges(kept, "source_chunk_id")

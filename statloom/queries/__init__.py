@@ -6,7 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 #: Modules with QUERIES and SQL.
-FAMILIES = ("data", "ingest", "graph", "retrieval", "evaluation", "answers", "plans", "agent")
+FAMILIES = ("data", "ingest", "graph", "retrieval", "evaluation", "answers", "plans", "agent", "reports")
 
 
 def all_queries() -> dict[str, Callable]:

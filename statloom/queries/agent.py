@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from statloom.operators import agent as G
 from statloom.operators import retrieval as R
 from statloom.queries.evaluation import _RM, _metrics, by_category_difficulty
-from statloom.queries.retrieval import _bm25, _kw, _vec, _vsql
+from statloom.queries.retrieval import _Q, _bm25, _kw, _vec, _vsql
+from statloom.queries.retrieval import SQL as _RETRIEVAL
 from statloom.session import table
 
 
@@ -71,6 +72,7 @@ QUERIES = {f.__name__: f for f in (decomposed, doubtful_citations, baseline_summ
 
 _DOUBT = "NOT (contains(c, '212') OR contains(c, '213') OR contains(c, '215') OR contains(c, '220') OR contains(c, '196')) AND NOT contains(lower(c), '12a') AND NOT contains(lower(c), '12-') AND regexp_matches(c, '[0-9]') AND contains(c, '.')"
 SQL = {
+    "decomposed": f"WITH g AS ({_RETRIEVAL['query_gate']}), {_Q}, x AS (SELECT query_id, query, split FROM q JOIN g USING (query_id)) SELECT query_id, 0 AS sub_idx, query || CASE WHEN split THEN ' first' ELSE '' END AS text, CASE WHEN split THEN 'rate' ELSE 'general' END AS type, CASE WHEN split THEN 5 ELSE 1 END AS priority FROM x UNION ALL SELECT query_id, 1, query || ' then', 'general', 1 FROM x WHERE split",
     "doubtful_citations": f"SELECT {_DOUBT} AS doubtful, count(*) AS n, count(DISTINCT c) AS n_distinct FROM (SELECT unnest(metadata.statutes_cited) AS c FROM raw_taas) WHERE c IS NOT NULL GROUP BY 1",
     "baseline_summary": f"WITH k AS (SELECT raw_id, len(list_filter(coalesce(metadata.statutes_cited, []), lambda c: coalesce({_DOUBT}, false))) AS k FROM raw_taas) SELECT count(*) AS n, sum(k)::BIGINT AS n_doubtful, round(avg(CASE WHEN k > 0 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS rate FROM k",
     "worst_questions": "SELECT event_id AS question_id, event_id % 3 = 0 AS passed, CASE WHEN event_id % 50 <> 7 THEN (event_id % 11)::DOUBLE END AS score FROM events WHERE event_id % 3 <> 0 OR (event_id % 50 <> 7 AND event_id % 11 < 7) ORDER BY score ASC NULLS FIRST, event_id LIMIT 5",

@@ -121,6 +121,7 @@ SQL = {
     "citation_verify": rf"WITH {_ANS}, {_SRC}, {_CHK}, x AS (SELECT *, {_SEC.format('source')} AS sec FROM s), k AS (SELECT *, {_SEC.format('citation')} AS csec FROM ck), m AS (SELECT x.raw_id, position, min_by(chunk_id, rank) AS chunk_id FROM x JOIN k ON k.raw_id = x.raw_id WHERE contains(lower(citation), lower(source)) OR contains(csec, sec) OR (regexp_extract(sec, '^([\d.]+)', 1) <> '' AND (regexp_extract(sec, '^([\d.]+)', 1) = regexp_extract(csec, '^([\d.]+)', 1) OR contains(chunk_id, regexp_extract(sec, '^([\d.]+)', 1)))) OR contains(chunk_id, sec) GROUP BY 1, 2) SELECT x.raw_id, x.position::INT AS position, source AS citation_text, m.chunk_id, m.chunk_id IS NOT NULL AS verified FROM x LEFT JOIN m ON m.raw_id = x.raw_id AND m.position = x.position",
     "simple_corrections": f"WITH {_ANS} SELECT raw_id, CASE WHEN contains(answer, 'taxable') THEN substr(answer, 1, instr(answer, 'taxable') - 1) || 'exempt' || substr(answer, instr(answer, 'taxable') + 7) ELSE answer END AS text, contains(answer, 'taxable')::INT AS corrected, round(greatest(-0.1 * contains(answer, 'taxable')::INT, -0.3), 6)::DOUBLE AS delta FROM ans",
     "context_lengths": f"WITH {_CHK} SELECT raw_id, md5(string_agg('--- Document ' || rank || ' (STATUTE) ---' || chr(10) || 'Citation: ' || citation || chr(10) || 'Effective Date: Not specified' || chr(10) || 'Ancestry: ' || chr(10) || chr(10) || doc_id, chr(10) || chr(10) ORDER BY rank)) AS context_md5 FROM ck WHERE rank <= 10 GROUP BY raw_id",
+    "model_replies": f"WITH {_ANS} SELECT raw_id, round((length(answer) % 100) / 100, 2)::DOUBLE AS accuracy, 0 AS findings FROM ans",
     "agent_routes": "WITH e AS (SELECT event_id % 3 > 0 AS expand_graph, CASE WHEN event_id % 4 = 0 AND event_id % 5 < 3 THEN 'retrieve' ELSE 'synthesize' END AS after_check, CASE WHEN event_id % 2 = 0 THEN 'end' WHEN event_id % 7 = 0 AND event_id % 4 < 3 THEN 'regenerate' WHEN event_id % 3 = 0 THEN 'correct' ELSE 'end' END AS after_validation, (event_id % 100) / 100 >= 0.85 AND event_id % 6 <> 0 AS skip_validation FROM events) SELECT *, count(*) AS n FROM e GROUP BY ALL",
     "score_classes": "SELECT CASE WHEN v >= 0.9 THEN 'success' WHEN v >= 0.7 THEN 'warning' ELSE 'danger' END AS class, CASE WHEN v >= 0.8 THEN 'High' WHEN v >= 0.5 THEN 'Medium' ELSE 'Low' END AS label, count(*) AS n FROM (SELECT (event_id % 100) / 100 AS v FROM events) GROUP BY 1, 2",
 }

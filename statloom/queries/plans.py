@@ -11,6 +11,7 @@ from statloom.operators import evaluation as E
 from statloom.operators import retrieval as R
 from statloom.plans import pipeline
 from statloom.queries.graph import _E as _GRAPH
+from statloom.queries.ingest import INGEST_EDGES
 from statloom.queries.retrieval import _AGE, _WEIGHT, AS_OF, _bm25
 from statloom.session import ensure_checkpoint_dir, table
 from statloom.streaming import streams
@@ -113,6 +114,7 @@ SQL = {
     "retrieve_pipeline": _arms(10) + ", " + _run("run", 10, 0.5, True, True, "effective_date IS NULL OR effective_date BETWEEN DATE '1995-01-01' AND DATE '2020-12-31'") + " SELECT * FROM run",
     "method_results": f"{_ALL} {_UNION}",
     "method_best": f"{_ALL}, x AS ({_UNION}), y AS (SELECT x.query_id, method, coalesce(1.0 / min(rank) FILTER (a.label = b.label), 0) AS rr, CASE method WHEN 'vector' THEN 0 WHEN 'keyword' THEN 1 WHEN 'hybrid' THEN 2 ELSE 3 END AS o FROM x JOIN embeddings b ON b.vec_id = x.query_id * 20 LEFT JOIN embeddings a ON a.vec_id = x.doc_id GROUP BY ALL) SELECT query_id, method AS best_method, round(rr, 6)::DOUBLE AS best_rr FROM y QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rr DESC, o) = 1",
+    "ingest_edges": INGEST_EDGES,
     "stream_cache": _EVAL["cache_hits"],
     "stream_limiter": _EVAL["limiter"],
     "stream_once": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",

@@ -22,8 +22,11 @@ def test_taa_sections_and_packing(spark):
 
 
 def test_parents_cover_documents(spark):
-    docs = spark.createDataFrame([("statute:1", "statute", "x\n(1)\na\n(2)\nb"), ("other:1", "other", "y"), ("case:1", "case", None)], "id string, doc_type string, text string")
+    docs = spark.createDataFrame([("statute:1", "statute", "x\n(1)\na\n(2)\nb"), ("other:1", "other", "y"), ("case:1", "case", None)], "id string, doc_type string, text string").withColumns({"ancestry": F.lit("root > x"), "citation": F.lit("c"), "effective_date": F.lit(None).cast("date")})
     rows = chunking.chunk_documents(docs).collect()
+    by = {r.id: r for r in rows}
+    assert by["chunk:statute:1:0"].child_chunk_ids == ["chunk:statute:1:1", "chunk:statute:1:2"] and by["chunk:statute:1:1"].child_chunk_ids == []
+    assert by["chunk:statute:1:2"].text_with_ancestry == "root > x\n\nb" and by["chunk:statute:1:2"].token_count == 4 and by["chunk:case:1:0"].text_with_ancestry == "root > x\n\n"
     assert {r.doc_id for r in rows if r.level == "parent"} == {"statute:1", "other:1", "case:1"}
     assert [r.id for r in rows if r.level == "child"] == ["chunk:statute:1:1", "chunk:statute:1:2"]
     assert all(r.parent_chunk_id.endswith(":0") for r in rows if r.level == "child")
