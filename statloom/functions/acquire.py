@@ -29,6 +29,12 @@ RULE_PARTS = {
     "authority": r"(?is)Rulemaking Authority\s+(.*?)\s+Law Implemented", "law": r"(?is)Law Implemented\s+(.*?)\s+History", "history": r"(?s)History[–-]\s*(.*?)(?:\s*$|\s*Previous|\s*Up|\s*Next)",
     "linked": r"statute\.asp\?id=([^&\"']+)", "cited": r"\b(\d{3}\.\d+(?:\([^)]+\))*(?:\d+\.)?)",
 }
+# Headers around the question and the answer of an advisement, and their size limits.
+QUESTION_FORMS = (r"(?i)(?:QUESTION|ISSUE|FACTS)[:\s]*\n([\s\S]+?)(?=\n(?:ANSWER|RESPONSE|CONCLUSION|RULING))", r"(?i)(?:Your (?:question|inquiry|request))[:\s]*([\s\S]+?)(?=\n(?:ANSWER|RESPONSE|CONCLUSION|Based on))")
+ANSWER_FORMS = (r"(?i)(?:ANSWER|RESPONSE|CONCLUSION|RULING)[:\s]*\n([\s\S]+?)(?=\n(?:TAXPAYER|DEPARTMENT|Sincerely|This (?:letter|TAA)))", r"(?i)(?:Based on the (?:facts|information))[:\s]*([\s\S]+?)(?=\n(?:TAXPAYER|Sincerely|This (?:letter|TAA)))")
+# What files of other series on the same index page have in their address or label.
+OTHER_FOLDER, OTHER_SERIES = "/tips/", "pto bul"
+LEAST_SECTION, MOST_QUESTION, MOST_ANSWER = 100, 5000, 10000
 ROMAN = ((10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I"))
 
 
@@ -74,6 +80,26 @@ def subject(c: Column) -> Column:
     return F.when(F.length(clean) > 10, clean).otherwise("")
 
 
+def _first_section(c: Column, forms: tuple[str, ...], most: int) -> Column:
+    tries = [F.regexp_replace(_group(c, p), r"^\s+|\s+$", "") for p in forms]
+    return F.coalesce(*[F.when(F.length(t) > LEAST_SECTION, F.substring(t, 1, most)) for t in tries], F.lit(""))
+
+
+def asked(c: Column) -> Column:
+    """The question of an advisement: the first form that gives more than 100 characters, cut; else ''."""
+    return _first_section(c, QUESTION_FORMS, MOST_QUESTION)
+
+
+def answered(c: Column) -> Column:
+    """The answer of an advisement, likewise."""
+    return _first_section(c, ANSWER_FORMS, MOST_ANSWER)
+
+
+def clean_title(c: Column) -> Column:
+    """A section's title without the dashes and points it ends in."""
+    return F.trim(F.regexp_replace(F.trim(c), r"[.\-—]+$", ""))
+
+
 def topics(subject_line: Column) -> Column:
     low = F.lower(subject_line)
     found = F.filter(F.array(*[F.lit(t) for t in TOPICS]), lambda t: F.contains(low, t))
@@ -125,8 +151,10 @@ def section_links(pages: DataFrame) -> DataFrame:
 
 
 def taa_links(pages: DataFrame) -> DataFrame:
-    """Links to advisement files: PDF suffix, a file name of the known form, first position wins."""
-    a = links(pages).where(F.lower("href").endswith(".pdf"))
+    """Links to advisement files: PDF suffix, not of another series, a file name of the known form,
+    first position wins."""
+    a = links(pages).where(F.lower("href").endswith(".pdf") & ~F.lower("href").contains(OTHER_FOLDER))
+    a = a.where(~F.lower("label").contains(OTHER_SERIES) & ~F.lower(F.replace("href", F.lit("%20"), F.lit(" "))).contains(OTHER_SERIES))
     a = a.withColumn("taa", taa_number(F.col("href"))).where(F.col("taa").rlike(r"(?i)^TAA \d{2}[A-Z]\d*-\d+"))
     return a.groupBy("taa").agg(F.min_by("href", "position").alias("href"))
 

@@ -72,6 +72,12 @@ def case_citations(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(parts, lambda m: F.concat_ws(" ", m["g1"], m["g2"], m["g3"]))))
 
 
+def chapter_number(c: Column) -> Column:
+    """The number of a text's first chapter mention, else its first number of three digits."""
+    named, bare = F.regexp_extract(c, r"(?i)\bChapter\s+(\d+)\b", 1), F.regexp_extract(c, r"\b(\d{3})\b", 1)
+    return F.coalesce(F.nullif(named, F.lit("")), F.nullif(bare, F.lit(""))).cast("int")
+
+
 def chapter_mentions(c: Column) -> Column:
     return F.array_sort(F.array_distinct(_all(c, CHAPTER, 1)))
 

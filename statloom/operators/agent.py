@@ -78,13 +78,21 @@ def worst(results: DataFrame, n: int = 5) -> DataFrame:
     return results.where(~F.col("passed") | (F.col("score") < 7)).orderBy(F.col("score").asc_nulls_first(), "question_id").limit(n)
 
 
-def side_by_side(methods: dict[str, DataFrame], key: str, top: int = 10) -> DataFrame:
-    """Ranks and rounded scores of several methods in one long table."""
+#: Fixed value: characters of a preview.
+PREVIEW = 200
+
+
+def side_by_side(methods: dict[str, DataFrame], key: str, top: int = 10, texts: DataFrame | None = None) -> DataFrame:
+    """Ranks and rounded scores of several methods in one long table; with ``texts(key, text)`` also
+    the beginning of each text, line breaks as blanks."""
     parts = [df.where(F.col("rank") <= top).select(F.lit(n).alias("method"), "query_id", "rank", key, F.round("score", 4).alias("score")) for n, df in methods.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    if texts is None:
+        return out
+    shown = texts.select(key, F.regexp_replace(F.substring("text", 1, PREVIEW), r"\s+", " ").alias("preview"))
+    return out.join(shown, key, "left")
 
 
 def last_by_cluster(cases: DataFrame, key: str, order: str) -> DataFrame:
@@ -126,6 +134,26 @@ def markdown(title: str, tables: dict[str, DataFrame], most: int = 200) -> str:
     return "\n".join(lines)
 
 
+def html_report(title: str, tables: dict[str, DataFrame], most: int = 200) -> str:
+    """The same report as an HTML page."""
+    import html
+
+    cell = lambda v: html.escape("" if v is None else str(v))
+    out = [f"<!doctype html><html><head><meta charset='utf-8'><title>{cell(title)}</title></head><body><h1>{cell(title)}</h1>"]
+    for name, df in tables.items():
+        out.append(f"<h2>{cell(name)}</h2><table><tr>" + "".join(f"<th>{cell(c)}</th>" for c in df.columns) + "</tr>")
+        out += ["<tr>" + "".join(f"<td>{cell(v)}</td>" for v in r) + "</tr>" for r in df.limit(most).collect()]
+        out.append("</table>")
+    return "\n".join([*out, "</body></html>"])
+
+
+def json_report(title: str, tables: dict[str, DataFrame], most: int = 200) -> str:
+    """The same report as JSON, dates in ISO form."""
+    import json
+
+    return json.dumps({"title": title, "tables": {n: [r.asDict(True) for r in df.limit(most).collect()] for n, df in tables.items()}}, default=lambda v: v.isoformat() if hasattr(v, "isoformat") else str(v), ensure_ascii=False)
+
+
 def error_kind(status: Column) -> Column:
     """Kind of a request's failure by its status."""
     return F.when(status == 429, "rate_limited").when(status == 404, "not_found").when(status == 422, "validation").when(status == 504, "timeout").when(status >= 500, "service").when(status >= 400, "client")

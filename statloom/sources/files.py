@@ -58,13 +58,57 @@ def write_corpus(df: DataFrame, path: str, by: str = "doc_type") -> None:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    df.write.mode("overwrite").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss").option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss").json(path)
+
+
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A corpus, chunks or a graph from JSON lines (or a file that is one JSON array); rows that are no
+    JSON of the schema are skipped."""
+    full = StructType(spark.createDataFrame([], schema).schema.fields + [StructField("_corrupt_record", StringType())])
+    df = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").option("multiLine", False).json(path)
+    return df.select("*", F.col("_metadata.file_name").alias("__f")).where("_corrupt_record is null").drop("_corrupt_record", "__f")
+
+
+def write_with_statistics(df: DataFrame, path: str, statistics: dict[str, DataFrame]) -> None:
+    """A corpus (chunks, a graph) as JSON lines under ``data``, and each of its aggregates, one file
+    each, under its own name."""
+    write_json(df, f"{path}/data")
+    for name, table in statistics.items():
+        write_json(table.coalesce(1), f"{path}/{name}")
+
+
+def write_graph(vertices: DataFrame, edges: DataFrame, path: str) -> None:
+    """A graph as two Parquet tables, partitioned by label and by relation, so that one label or
+    relation is read without the others; replaces what was there."""
+    vertices.write.mode("overwrite").partitionBy("doc_type").parquet(f"{path}/vertices")
+    edges.write.mode("overwrite").partitionBy("relation").parquet(f"{path}/edges")
+
+
+def clear_graph(spark: SparkSession, path: str) -> None:
+    """Empties both tables of a graph; their columns stay."""
+    for name in ("vertices", "edges"):
+        df = spark.read.parquet(f"{path}/{name}")
+        df.limit(0).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def with_provenance(df: DataFrame, scraper: str, at: str) -> DataFrame:
     return df.withColumn("_scraped_at", F.lit(at).cast("timestamp")).withColumn("_scraper", F.lit(scraper))
 
 
+def without_provenance(df: DataFrame) -> DataFrame:
+    """What :func:`with_provenance` was given."""
+    return df.drop("_scraped_at", "_scraper")
+
+
+def read_vectors(spark: SparkSession, path: str, dimension: int | None = None) -> DataFrame:
+    """(chunk_id, embedding); with ``dimension``, vectors of another length fail the read."""
+    df = spark.read.parquet(path).select("chunk_id", F.col("embedding").cast("array<float>").alias("embedding"))
+    if dimension is None:
+        return df
+    wrong = F.raise_error(F.concat(F.lit("a vector of another dimension: "), F.col("chunk_id"))).cast("array<float>")
+    return df.withColumn("embedding", F.when(F.size("embedding") == dimension, F.col("embedding")).otherwise(wrong))
+
+
 def write_vectors(df: DataFrame, path: str) -> None:
     df.select(F.col("chunk_id"), F.col("embedding").cast("array<float>").alias("embedding")).write.mode("overwrite").parquet(path)
 
@@ -85,12 +129,48 @@ def append_new(df: DataFrame, path: str, key: str) -> DataFrame:
     return new
 
 
-def upload(chunks: DataFrame, vectors: DataFrame, path: str) -> dict[str, int]:
-    """Joins chunks with their vectors and writes them; counts of written and missing ones."""
-    joined = chunks.join(vectors, "chunk_id", "left")
-    counts = joined.agg(F.count("embedding").alias("written"), F.count_if(F.col("embedding").isNull()).alias("missing")).first()
+def upload(chunks: DataFrame, vectors: DataFrame, path: str, strict: bool = True) -> dict[str, int]:
+    """Joins chunks with their vectors and writes them in one run, counted while written.  Chunks
+    without a vector are an error, before anything is written (``strict=False`` leaves them out)."""
+    from pyspark.sql import Observation
+
+    if strict and (one := chunks.join(vectors, "chunk_id", "left_anti").select("chunk_id").first()):
+        raise ValueError(f"no vector for chunk {one[0]}")
+    seen = Observation("upload")
+    joined = chunks.join(vectors, "chunk_id", "left").observe(seen, F.count("embedding").alias("written"), F.count_if(F.col("embedding").isNull()).alias("missing"))
     joined.where("embedding is not null").write.mode("overwrite").parquet(path)
-    return counts.asDict()
+    return {k: int(v) for k, v in seen.get.items()}
+
+
+def send(rows: DataFrame, put, batch: int = 100, tries: int = 3, wait: float = 0.0) -> DataFrame:
+    """(batch, n, error) of rows sent to a store: ``put(list of dicts)`` takes a batch, is tried again
+    with growing pauses, and a batch that fails is reported with its error and does not stop the rest.
+    Batches are numbered ``<partition>-<n>``; sending again after a failure must not harm (upserts)."""
+    import time
+
+    import pandas as pd
+    from pyspark import TaskContext
+
+    def run(frames):
+        part, n = TaskContext.get().partitionId(), 0
+        for f in frames:
+            out = []
+            for lo in range(0, len(f), batch):
+                some, error = f.iloc[lo : lo + batch].to_dict("records"), None
+                for attempt in range(tries):
+                    try:
+                        put(some)
+                        error = None
+                        break
+                    except Exception as e:  # noqa: BLE001 - any failure of a batch is recorded
+                        error = f"{type(e).__name__}: {e}"
+                        if attempt + 1 < tries:
+                            time.sleep(wait * 2**attempt)
+                out.append((f"{part}-{n}", len(some), error))
+                n += 1
+            yield pd.DataFrame(out, columns=["batch", "n", "error"])
+
+    return rows.mapInPandas(run, "batch string, n long, error string")
 
 
 def store_rows(chunks: DataFrame) -> DataFrame:

@@ -53,8 +53,12 @@ def fetch_missing(urls: DataFrame, cached: DataFrame, fetcher: Fetcher, **how) -
 class PagedSource(DataSource):
     """``spark.read.format("statloom_paged")``: an API that answers page by page.
 
-    Options: ``pages`` (number of pages, each an input partition), ``reader`` (``module:function``
-    called with a page number, returning a list of JSON strings).
+    Options: ``reader`` (``module:function``), and either ``pages`` (number of pages, each an input
+    partition; the function is called with a page number and returns a list of JSON strings) or
+    ``start`` (the first page's address; the function is called with an address and returns the
+    records and the next address, or none at the end).  An API that only tells the next page can
+    only be read in order, so that is one partition; several ``start`` addresses, separated by
+    blanks, are read side by side.  ``max_rows`` ends each of them after so many records.
     """
 
     @classmethod
@@ -65,9 +69,37 @@ class PagedSource(DataSource):
         return "page int, record string"
 
     def reader(self, schema) -> DataSourceReader:
+        most = self.options.get("max_rows") or self.options.get("maxRows")
+        if starts := self.options.get("start"):
+            return _NextReader(starts.split(), self.options["reader"], int(most) if most else None)
         return _PagedReader(int(self.options.get("pages", "1")), self.options["reader"])
 
 
+class _NextReader(DataSourceReader):
+    """Follows ``next`` from each start."""
+
+    def __init__(self, starts: list[str], target: str, most: int | None):
+        self.starts, self.target, self.most = starts, target, most
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(s) for s in self.starts]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        from importlib import import_module
+
+        module, function = self.target.split(":")
+        get, at, page, n, seen = getattr(import_module(module), function), partition.value, 0, 0, set()
+        while at and at not in seen:  # a page that names itself again ends the read
+            seen.add(at)
+            records, at = get(at)
+            page += 1
+            for record in records:
+                if self.most is not None and n >= self.most:
+                    return
+                n += 1
+                yield page, record
+
+
 class _PagedReader(DataSourceReader):
     def __init__(self, pages: int, target: str):
         self.pages, self.target = pages, target

@@ -86,7 +86,15 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(path).awaitTermination()
 
 
-def stage_events(batch: DataFrame, stages: list[str]) -> DataFrame:
-    """The ordered event stream of each request: one row per stage, then ``complete``."""
-    names = F.array(*[F.lit(s) for s in [*stages, "complete"]])
-    return batch.select("request_id", F.posexplode(names).alias("seq", "event"))
+def stage_events(batch: DataFrame, stages: list[str] | None = None, text: str | None = None) -> DataFrame:
+    """The ordered events of each request, from a batch or a stream: one row per stage (``stages``, or
+    those of the array column ``stages``), then ``complete``; with ``text`` the column's beginning
+    comes with the last one."""
+    names = F.array(*[F.lit(s) for s in stages]) if stages is not None else F.coalesce("stages", F.array().cast("array<string>"))
+    shown = F.substring(F.coalesce(F.col(text), F.lit("")), 1, SHOWN) if text else F.lit(None).cast("string")
+    events = F.concat(F.transform(names, lambda s: F.struct(s.alias("event"), F.lit(None).cast("string").alias("data"))), F.array(F.struct(F.lit("complete").alias("event"), shown.alias("data"))))
+    return batch.select("request_id", F.posexplode(events).alias("seq", "e")).select("request_id", "seq", "e.event", "e.data")
+
+
+#: Characters of an answer that its last event shows.
+SHOWN = 500

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from statloom.sources import files, pages
 
 
@@ -24,7 +26,9 @@ def test_append_is_idempotent(spark, tmp_path):
 def test_upload_counts_missing(spark, tmp_path):
     c = spark.createDataFrame([("a",), ("b",)], "chunk_id string")
     v = spark.createDataFrame([("a", [1.0])], "chunk_id string, embedding array<float>")
-    assert files.upload(c, v, str(tmp_path / "v")) == {"written": 1, "missing": 1}
+    assert files.upload(c, v, str(tmp_path / "v"), strict=False) == {"written": 1, "missing": 1}
+    with pytest.raises(ValueError, match="no vector for chunk b"):
+        files.upload(c, v, str(tmp_path / "v2"))
     assert files.schema_differences(c, ["chunk_id", "x"]) == (["x"], [])
 
 
@@ -58,3 +62,46 @@ def test_table_admin(spark):
     files.drop_table(spark, "statloom_probe")
     assert files.ensure_table(spark, "statloom_probe", "a int") and not files.ensure_table(spark, "statloom_probe", "a int")
     assert files.table_info(spark, "statloom_probe") == {"columns": ["a"], "rows": 0} and files.drop_table(spark, "statloom_probe")
+
+
+def following(at):
+    n = int(at)
+    return [f'{{"n": {n}}}'] * 2, str(n + 1) if n < 5 else None
+
+
+def test_paged_source_follows_next(spark):
+    spark.dataSource.register(pages.PagedSource)
+    read = lambda **o: spark.read.format("statloom_paged").options(reader="tests.test_sources:following", **o).load()
+    assert read(start="1").count() == 10 and read(start="1", max_rows="3").count() == 3 and read(start="1 4").count() == 14
+
+
+def test_send_reports_failed_batches(spark):
+    def put(rows):
+        if any(r["id"] == 7 for r in rows):
+            raise OSError("down")
+
+    got = files.send(spark.range(20).coalesce(1), put, batch=5, tries=2).collect()
+    assert [r.n for r in got] == [5] * 4 and [r.error is None for r in got] == [True, False, True, True]
+
+
+def test_json_and_vectors_come_back(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id int, t string")
+    files.write_with_statistics(df, str(tmp_path / "c"), {"statistics": df.groupBy().count()})
+    assert sorted((r.id, r.t) for r in files.read_json(spark, str(tmp_path / "c/data"), "id int, t string").collect()) == [(1, "a"), (2, None)]
+    assert files.read_json(spark, str(tmp_path / "c/statistics"), "count long").first()[0] == 2
+    v = spark.createDataFrame([("a", [1.0, 2.0])], "chunk_id string, embedding array<float>")
+    files.write_vectors(v, str(tmp_path / "v"))
+    assert files.read_vectors(spark, str(tmp_path / "v"), 2).first().embedding == [1.0, 2.0]
+    with pytest.raises(Exception, match="another dimension"):
+        files.read_vectors(spark, str(tmp_path / "v"), 3).collect()
+    kept = files.without_provenance(files.with_provenance(df, "s", "2024-01-01"))
+    assert kept.columns == df.columns
+
+
+def test_graph_sink(spark, tmp_path):
+    v = spark.createDataFrame([("a", "statute"), ("b", "rule")], "id string, doc_type string")
+    e = spark.createDataFrame([("a", "b", "cites")], "src string, dst string, relation string")
+    files.write_graph(v, e, str(tmp_path))
+    assert spark.read.parquet(str(tmp_path / "vertices")).where("doc_type = 'rule'").first().id == "b"
+    files.clear_graph(spark, str(tmp_path))
+    assert spark.read.parquet(str(tmp_path / "edges")).count() == 0

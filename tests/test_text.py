@@ -86,3 +86,21 @@ def test_acquire(spark):
     assert r.title == "Exemptions" and r.rulemaking_authority == ["212.18(2)", "213.06"] and r.law_implemented == ["212.08"] and str(r.effective_date) == "2020-01-02"
     case = one(spark, Q.case_record, '{"absolute_url": "/opinion/77/x/", "caseName": "A v. B", "dateFiled": "2020-01-02", "opinions": [{"cites": ["5", "x", "5"]}]}')
     assert case.cluster_id == 77 and case.cases_cited == [5] and one(spark, Q.case_record, "{}") is None
+
+
+def test_chapter_numbers_and_advisement_parts(spark):
+    from statloom.functions import acquire as Q
+
+    long = "x " * 80
+    df = spark.createDataFrame([("see chapter 212 of it",), ("only 215 here",), ("none",), (f"FACTS\n{long}\nRESPONSE\n{long}\nSincerely",), ("QUESTION\nshort\nANSWER\nshort\nThis letter",)], "t string")
+    got = df.select(T.chapter_number(F.col("t")).alias("n"), Q.asked(F.col("t")).alias("q"), Q.answered(F.col("t")).alias("a")).collect()
+    assert [r.n for r in got][:3] == [212, 215, None] and got[3].q == long.strip() and got[3].a == long.strip() and got[4].q == "" and got[4].a == ""
+    assert spark.range(1).select(Q.clean_title(F.lit(" Sales tax.— "))).first()[0] == "Sales tax"
+
+
+def test_stage_events(spark):
+    from statloom.streaming import streams
+
+    df = spark.createDataFrame([(1, ["retrieve", "answer"], "a" * 900), (2, None, None)], "request_id int, stages array<string>, answer string")
+    rows = streams.stage_events(df, text="answer").orderBy("request_id", "seq").collect()
+    assert [(r.request_id, r.event) for r in rows] == [(1, "retrieve"), (1, "answer"), (1, "complete"), (2, "complete")] and len(rows[2].data) == 500
