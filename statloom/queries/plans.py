@@ -24,7 +24,8 @@ def retrieve_pipeline(spark, d) -> DataFrame:
     vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
     questions = R.questions(spark)
     asked = vectors.join(F.broadcast(questions.select("query_id", (F.col("query_id") * 20).alias("vec_id"))), "vec_id").select(F.col("query_id").alias("vec_id"), "embedding")
-    return pipeline.retrieve(docs, questions, vectors, asked, table(spark, d, "resolved_edges"), table(spark, d, "graph_documents"), AS_OF, 10, "1995-01-01", "2020-12-31")
+    found = pipeline.retrieve(docs, questions, vectors, asked, table(spark, d, "resolved_edges"), table(spark, d, "graph_documents"), AS_OF, 10, "1995-01-01", "2020-12-31")
+    return found.withColumn("score", F.round("score", 6))
 
 
 def _methods(spark, d) -> DataFrame:
@@ -32,17 +33,18 @@ def _methods(spark, d) -> DataFrame:
     docs = table(spark, d, "documents").withColumn("graph_id", F.concat("doc_type", F.lit(":"), "section"))
     vectors, questions = table(spark, d, "embeddings").select("vec_id", "embedding"), R.questions(spark)
     asked = vectors.join(F.broadcast(questions.select("query_id", (F.col("query_id") * 20).alias("vec_id"))), "vec_id").select(F.col("query_id").alias("vec_id"), "embedding")
-    rest = (table(spark, d, "resolved_edges"), table(spark, d, "graph_documents"), AS_OF, 10)
+    ensure_checkpoint_dir(spark)
+    found = tuple(arm.checkpoint() for arm in pipeline.arms(docs, questions, vectors, asked, 20))  # a few rows a question, used by four methods
     how = {"vector": {"alpha": 1.0, "expand": False, "again": False}, "keyword": {"alpha": 0.0, "expand": False, "again": False}, "hybrid": {"expand": False}, "graph": {}}
     out = None
     for name, options in how.items():
-        one = pipeline.retrieve(docs, questions, vectors, asked, *rest, **options).withColumn("method", F.lit(name))
+        one = pipeline.ranked(found, docs, table(spark, d, "resolved_edges"), table(spark, d, "graph_documents"), AS_OF, 10, **options).withColumn("method", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
 
 
 def method_results(spark, d) -> DataFrame:
-    return _methods(spark, d)
+    return _methods(spark, d).withColumn("score", F.round("score", 6))
 
 
 def method_best(spark, d) -> DataFrame:
@@ -111,8 +113,8 @@ def _run(name: str, top: int, alpha: float, expand: bool, again: bool, where: st
 _ALL = _arms(10) + ", " + ", ".join([_run("vector_m", 10, 1.0, False, False), _run("keyword_m", 10, 0.0, False, False), _run("hybrid_m", 10, 0.5, False, True), _run("graph_m", 10, 0.5, True, True)])
 _UNION = " UNION ALL ".join(f"SELECT query_id, doc_id, score, rank, '{m}' AS method FROM {m}_m" for m in ("vector", "keyword", "hybrid", "graph"))
 SQL = {
-    "retrieve_pipeline": _arms(10) + ", " + _run("run", 10, 0.5, True, True, "effective_date IS NULL OR effective_date BETWEEN DATE '1995-01-01' AND DATE '2020-12-31'") + " SELECT * FROM run",
-    "method_results": f"{_ALL} {_UNION}",
+    "retrieve_pipeline": _arms(10) + ", " + _run("run", 10, 0.5, True, True, "effective_date IS NULL OR effective_date BETWEEN DATE '1995-01-01' AND DATE '2020-12-31'") + " SELECT query_id, doc_id, round(score, 6) AS score, rank FROM run",
+    "method_results": f"{_ALL} SELECT query_id, doc_id, round(score, 6) AS score, rank, method FROM ({_UNION})",
     "method_best": f"{_ALL}, x AS ({_UNION}), y AS (SELECT x.query_id, method, coalesce(1.0 / min(rank) FILTER (a.label = b.label), 0) AS rr, CASE method WHEN 'vector' THEN 0 WHEN 'keyword' THEN 1 WHEN 'hybrid' THEN 2 ELSE 3 END AS o FROM x JOIN embeddings b ON b.vec_id = x.query_id * 20 LEFT JOIN embeddings a ON a.vec_id = x.doc_id GROUP BY ALL) SELECT query_id, method AS best_method, round(rr, 6)::DOUBLE AS best_rr FROM y QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rr DESC, o) = 1",
     "ingest_edges": INGEST_EDGES,
     "stream_cache": _EVAL["cache_hits"],
