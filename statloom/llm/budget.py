@@ -1,7 +1,7 @@
 """Token budget per source, language and domain.
 
-Counts come from the exact counter of :mod:`statloom.llm.tokens`; only hashes and numbers are
-shuffled, never texts.  A text is counted once however many rows hold it (the row of the smallest
+Counts come from the partitioned prefix tries of :mod:`statloom.llm.tokens` over the distinct pieces
+of all texts, joined to the documents; only hashes, numbers and distinct pieces are shuffled.  A text is counted once however many rows hold it (the row of the smallest
 key stands for it), a parent chunk counts for its children, and stored counts are only used where
 a chunk has no text, and then only if they can be right.
 
@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.tokens import VOCABULARY, with_tokens
+from statloom.llm.tokens import VOCABULARY, piece_tokens, with_piece_tokens
+from statloom.session import ensure_checkpoint_dir
 
 LANGUAGES = ("en", "es", "pt", "fr")
 #: A stored count that can be right: at least 1 and at most this many tokens.
@@ -48,10 +49,21 @@ def _mark_first(df: DataFrame, hashed: DataFrame, key: str) -> DataFrame:
     return df.join(least, ["text_hash", key], "left").withColumn("first", F.coalesce("first", F.lit(False)))
 
 
-def document_tokens(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
+def pieces_of(*texts: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """The written table of pieces of the ``text`` columns."""
+    spark = texts[0].sparkSession
+    ensure_checkpoint_dir(spark)
+    every = texts[0].select("text")
+    for t in texts[1:]:
+        every = every.unionAll(t.select("text"))
+    return piece_tokens(every, path=path).checkpoint()
+
+
+def document_tokens(documents: DataFrame, path: str = VOCABULARY, pieces: DataFrame | None = None) -> DataFrame:
     """Per document: folded source and language, domain, tokens, and whether it counts."""
     digest = F.coalesce(F.md5("text"), F.concat(F.lit("null:"), F.col("doc_id").cast("string"))).alias("text_hash")
-    sized = with_tokens(documents.select("doc_id", "source", "lang", "tax_type", "text", digest), path=path, language=True)
+    pieces = pieces_of(documents, path=path) if pieces is None else pieces
+    sized = with_piece_tokens(documents.select("doc_id", "source", "lang", "tax_type", "text", digest), pieces)
     rows = sized.select(
         "doc_id",
         folded_source(F.col("source")).alias("source"),
@@ -63,8 +75,8 @@ def document_tokens(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     return _mark_first(rows, documents.select("doc_id", digest), "doc_id")
 
 
-def document_budget(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    t = document_tokens(documents, path)
+def document_budget(documents: DataFrame, path: str = VOCABULARY, pieces: DataFrame | None = None) -> DataFrame:
+    t = document_tokens(documents, path, pieces)
     return t.groupBy("source", "lang", "domain").agg(
         F.count("*").alias("n_rows"),
         F.count_if("first").alias("n_counted"),
@@ -80,7 +92,7 @@ def folded_doc_type(doc_type: Column, doc_id: Column) -> Column:
     return F.when(t.isin(*kinds), t).when(k.isin(*kinds), k).otherwise("unknown")
 
 
-def chunk_tokens(graph_chunks: DataFrame, graph_documents: DataFrame, legal_chunks: DataFrame, path: str = VOCABULARY) -> DataFrame:
+def chunk_tokens(graph_chunks: DataFrame, graph_documents: DataFrame, legal_chunks: DataFrame, path: str = VOCABULARY, pieces: DataFrame | None = None) -> DataFrame:
     """Per chunk of the graph: doc_type, stored and true tokens, verdict on the stored count, and
     whether it counts (``counted``): parents, and children of documents that have no parent left."""
     chunks = graph_chunks.groupBy("id").agg(
@@ -90,7 +102,8 @@ def chunk_tokens(graph_chunks: DataFrame, graph_documents: DataFrame, legal_chun
         F.min(F.when(F.trim(F.lower("doc_type")).isin("statute", "rule", "taa", "case"), F.trim(F.lower("doc_type")))).alias("doc_type")
     )
     hashed = legal_chunks.select("id", "text", F.md5("text").alias("text_hash"))
-    true = with_tokens(hashed, path=path).groupBy("id").agg(F.max("tokens").alias("true_tokens"), F.max("text_hash").alias("text_hash"))
+    pieces = pieces_of(legal_chunks, path=path) if pieces is None else pieces
+    true = with_piece_tokens(hashed, pieces).groupBy("id").agg(F.max("tokens").alias("true_tokens"), F.max("text_hash").alias("text_hash"))
     # what is known of each document, replicated over the salts
     parents = chunks.where("level = 'parent'").select(F.col("doc_id").alias("id"), F.lit(True).alias("has_parent")).distinct()
     known = docs.join(parents, "id", "full").select(
@@ -120,8 +133,8 @@ def chunk_tokens(graph_chunks: DataFrame, graph_documents: DataFrame, legal_chun
     return _mark_first(marked, stand, "id").withColumn("counted", F.col("counted") & F.col("first")).drop("first", "has_parent")
 
 
-def chunk_budget(graph_chunks: DataFrame, graph_documents: DataFrame, legal_chunks: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    t = chunk_tokens(graph_chunks, graph_documents, legal_chunks, path)
+def chunk_budget(graph_chunks: DataFrame, graph_documents: DataFrame, legal_chunks: DataFrame, path: str = VOCABULARY, pieces: DataFrame | None = None) -> DataFrame:
+    t = chunk_tokens(graph_chunks, graph_documents, legal_chunks, path, pieces)
     return t.groupBy("doc_type").agg(
         F.count("*").alias("n_rows"),
         F.count_if("counted").alias("n_counted"),
@@ -136,8 +149,9 @@ def chunk_budget(graph_chunks: DataFrame, graph_documents: DataFrame, legal_chun
 
 def token_budget(documents: DataFrame, graph_chunks: DataFrame, graph_documents: DataFrame, legal_chunks: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """Both budgets in one table: ``part`` is documents or chunks (whose domain is the doc_type)."""
-    d = document_budget(documents, path).withColumn("part", F.lit("documents")).withColumn("n_untrusted", F.lit(0).cast("long"))
-    c = chunk_budget(graph_chunks, graph_documents, legal_chunks, path)
+    pieces = pieces_of(documents, legal_chunks, path=path)
+    d = document_budget(documents, path, pieces).withColumn("part", F.lit("documents")).withColumn("n_untrusted", F.lit(0).cast("long"))
+    c = chunk_budget(graph_chunks, graph_documents, legal_chunks, path, pieces)
     c = c.select(
         F.lit("chunks").alias("part"),
         F.lit(None).cast("string").alias("source"),

@@ -1,13 +1,19 @@
 """Exact token counts without running the tokenizer over every text.
 
 A byte-level BPE tokenizer cuts a text into pieces by a fixed pattern and encodes each piece by
-itself, so a text's count is the sum over its pieces, and a corpus has few distinct pieces.  Per
-partition, the distinct pieces not met before are sorted, which lays out their prefix trie, and the
-tokenization state (last token, count) is carried along shared prefixes: the encoding of a prefix
-ends in the one suffix token that may follow the encoding of what is left before it.  Each trie
-node is thus computed once, in time linear in its depth, however long a piece is.  The counts at
-the terminals are then joined to the documents within the same partition: no shuffle, and the
-state kept between batches is bounded (it is emptied when full, which changes no result).
+itself, so a text's count is the sum over its pieces, and a corpus has few distinct pieces.
+
+* :func:`piece_tokens` makes the table of a corpus: the distinct pieces of each partition, made
+  distinct over all, are partitioned by their first characters and sorted, which lays out a prefix
+  trie in every partition.  The tokenization state (last token, count) is carried along shared
+  prefixes: the encoding of a prefix ends in the one suffix token that may follow the encoding of
+  what is left before it.  So each trie node is computed once in the whole cluster, in time linear
+  in its depth, however long a piece is.
+* :func:`with_piece_tokens` joins the counts at the terminals to the documents: looked up in a
+  broadcast table where it has at most ``MOST_PIECES`` rows, by a shuffle on the pieces otherwise.
+* :func:`with_tokens` is for operators that need the sizes of their rows in one pass over the
+  texts: the same trie over the new pieces of each batch, without a shuffle; the state kept between
+  batches is bounded (it is emptied when full, which changes no result).
 
 Defined edge cases: null and empty texts have 0 tokens; special tokens in a text are ordinary text.
 """
@@ -15,6 +21,7 @@ Defined edge cases: null and empty texts have 0 tokens; special tokens in a text
 from __future__ import annotations
 
 import base64
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -66,12 +73,15 @@ class PieceTrie:
 
     def counts(self, pieces: Iterable[bytes]) -> dict[bytes, int]:
         """Count of each piece: a walk over the trie that the sorted pieces spell out."""
-        out: dict[bytes, int] = {}
+        return dict(self.walk(sorted(pieces)))
+
+    def walk(self, pieces: Iterable[bytes]) -> Iterator[tuple[bytes, int]]:
+        """(piece, count) of pieces in byte order: the states of the path to the last one are kept."""
         last: list[bytes] = [b""]  # last token of the encoding of each prefix on the path
         count = [0]
         before = b""
         ranks, longest, may_follow = self.ranks, self.longest, self._may_follow
-        for piece in sorted(pieces):
+        for piece in pieces:
             shared, most = 0, min(len(before), len(piece))
             while shared < most and before[shared] == piece[shared]:
                 shared += 1
@@ -83,9 +93,8 @@ class PieceTrie:
                         last.append(token)
                         count.append(count[start] + 1)
                         break
-            out[piece] = count[-1]
             before = piece
-        return out
+            yield piece, count[-1]
 
 
 class TokenCounter:
@@ -95,11 +104,7 @@ class TokenCounter:
         self.trie = PieceTrie(path)
         self.split = regex.compile(pattern).findall
         self.known: dict[str, int] = {}
-        self.words: dict[str, int] = {}
-        for k, lang in enumerate(_LANGS):
-            for w in FUNCTION_WORDS[lang]:
-                for form in (w, f" {w}", w.capitalize(), f" {w.capitalize()}"):
-                    self.words[form] = self.words.get(form, 0) + (1 << _SHIFT * (k + 1))
+        self.words = _scores()
 
     def _packed(self, texts: list[str | None]) -> list[int]:
         """Per text, the token count in the low bits and the language scores above it."""
@@ -137,9 +142,7 @@ class TokenCounter:
         counts, langs = [], []
         for x in self._packed(texts):
             counts.append(x & mask)
-            scores = sorted(((x >> _SHIFT * (k + 1)) & mask, lang) for k, lang in enumerate(_LANGS))
-            (second, _), (most, lang) = scores[-2:]
-            langs.append(lang if most >= 3 and most >= 2 * second else None)
+            langs.append(language_of(x))
         return counts, langs
 
     def pieces(self, text: str) -> tuple[list[str], list[int]]:
@@ -154,6 +157,129 @@ class TokenCounter:
         return found, [n & mask for n in counts]
 
 
+#: Most rows of a table of pieces that are broadcast, and characters of its partitions' prefixes.
+MOST_PIECES, PREFIX = 1_000_000, 3
+
+
+def _scores() -> dict[str, int]:
+    """Function words of each language as pieces, packed like the counts."""
+    out: dict[str, int] = {}
+    for k, lang in enumerate(_LANGS):
+        for w in FUNCTION_WORDS[lang]:
+            for form in (w, f" {w}", w.capitalize(), f" {w.capitalize()}"):
+                out[form] = out.get(form, 0) + (1 << _SHIFT * (k + 1))
+    return out
+
+
+def language_of(packed: int) -> str | None:
+    """The language whose function words lead clearly (else null)."""
+    mask = (1 << _SHIFT) - 1
+    scores = sorted(((packed >> _SHIFT * (k + 1)) & mask, lang) for k, lang in enumerate(_LANGS))
+    (second, _), (most, lang) = scores[-2:]
+    return lang if most >= 3 and most >= 2 * second else None
+
+
+def piece_tokens(texts, text: str = "text", path: str = VOCABULARY, pattern: str = PATTERN):
+    """(piece, tokens) of all distinct pieces of the texts, from prefix tries in every partition."""
+    from pyspark.sql import functions as F
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, held = regex.compile(pattern).findall, set()
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                held.update(split(t))
+            if len(held) > KEPT_PIECES:
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=["piece"])
+                held = set()
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=["piece"])
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = PieceTrie(path)
+        names, counts = [], []
+        for p, n in trie.walk(p.encode("utf-8") for b in batches for p in b.column(0).to_pylist()):
+            names.append(p.decode("utf-8"))
+            counts.append(n)
+            if len(names) >= 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int32())], names=["piece", "tokens"])
+                names, counts = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int32())], names=["piece", "tokens"])
+
+    source = texts.select(F.col(f"`{text}`").cast("string").alias("t")).where("t is not null and t <> ''")
+    distinct = source.mapInArrow(found, "piece string").distinct()
+    return distinct.repartition(F.substring("piece", 1, PREFIX)).sortWithinPartitions("piece").mapInArrow(walked, "piece string, tokens int")
+
+
+def with_piece_tokens(df, pieces, text: str = "text", keep: list[str] | None = None, pattern: str = PATTERN, most: int | None = None):
+    """``df`` with ``text`` replaced by ``tokens`` and ``found_lang``, from a table of pieces that
+    covers its texts (written once: it is counted and then read)."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    names = [c for c in (keep if keep is not None else df.columns) if c != text]
+    source = df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string").alias("__text"))
+    schema = StructType([source.schema[c] for c in names] + [StructField("tokens", LongType()), StructField("found_lang", StringType())])
+    few = pieces.limit((MOST_PIECES if most is None else most) + 1).count() <= (MOST_PIECES if most is None else most)
+    if few:
+        rows = pieces.toArrow() if hasattr(pieces, "toArrow") else pa.Table.from_pandas(pieces.toPandas())
+        shared = df.sparkSession.sparkContext.broadcast(dict(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist())))
+    own_scores = _scores()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, mask = regex.compile(pattern).findall, (1 << _SHIFT) - 1
+        known = _packed_table(shared, own_scores) if few else own_scores
+        for b in batches:
+            counts, langs = [], []
+            for t in b.column(len(names)).to_pylist():
+                packed = sum(map(known.__getitem__, split(t))) if few and t else sum(known.get(p, 0) for p in split(t)) if t else 0
+                counts.append(packed & mask)
+                langs.append(language_of(packed))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(counts, pa.int64()), pa.array(langs, pa.string())], names=schema.names)
+
+    if few:
+        return source.mapInArrow(run, schema)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = regex.compile(pattern).findall
+        for b in batches:
+            keys, found, times = [], [], []
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                each = Counter(split(t))
+                keys += [k] * len(each)
+                found += each.keys()
+                times += each.values()
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(found, pa.string()), pa.array(times, pa.int64())], names=["__k", "piece", "times"])
+
+    digest = F.md5("__text").alias("__k")
+    pairs = source.where("__text is not null and __text <> ''").select(digest, "__text").mapInArrow(listed, "__k string, piece string, times long")
+    pairs = pairs.groupBy("__k", "piece").agg(F.max("times").alias("times"))  # equal texts once
+    sums = pairs.join(pieces.select("piece", F.col("tokens").alias("__n")), "piece").groupBy("__k").agg(F.sum(F.col("times") * F.col("__n")).alias("__tokens"))
+    with_key = source.withColumn("__k", F.md5("__text"))
+    langs = with_key.select(*names, "__k", "__text").mapInArrow(_languages(names, own_scores, pattern), StructType([source.schema[c] for c in names] + [StructField("__k", StringType()), StructField("found_lang", StringType())]))
+    return langs.join(sums, "__k", "left").select(*names, F.coalesce("__tokens", F.lit(0).cast("long")).alias("tokens"), "found_lang")
+
+
+def _languages(names: list[str], scores: dict[str, int], pattern: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = regex.compile(pattern).findall
+        for b in batches:
+            langs = [language_of(sum(scores.get(p, 0) for p in split(t))) if t else None for t in b.column(len(names) + 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names) + 1)), pa.array(langs, pa.string())], names=[*names, "__k", "found_lang"])
+
+    return run
+
+
+_TABLES: dict[int, dict[str, int]] = {}
+
+
+def _packed_table(shared, scores: dict[str, int]) -> dict[str, int]:
+    """Counts with the language scores above them: one table a worker for each broadcast."""
+    table = shared.value
+    if id(table) not in _TABLES:
+        _TABLES.clear()
+        _TABLES[id(table)] = table | {p: table[p] + n for p, n in scores.items() if p in table}
+    return _TABLES[id(table)]
+
+
 _COUNTERS: dict[tuple[str, str], TokenCounter] = {}
 
 

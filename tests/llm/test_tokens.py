@@ -60,3 +60,26 @@ def test_chunk_budget_counts_parents_and_lost_ones(spark):
     t = spark.createDataFrame([("p", "one two three"), ("c", "two"), ("o", "four five")], "id string, text string")
     rows = {r.id: (r.doc_type, r.tokens, r.counted, r.verdict) for r in budget.chunk_tokens(g, d, t).collect()}
     assert rows == {"p": ("statute", 3, True, "differs"), "c": ("statute", 1, False, "impossible"), "o": ("rule", 2, True, "missing"), "n": ("rule", 7, True, "unverified")}
+
+
+def test_tries_over_partitions_are_exact(encoding, spark):
+    rows = [(i, t) for i, t in enumerate([*SAMPLES, *SAMPLES, None, "the tax of the state is due by law"])]
+    df = spark.createDataFrame(rows, "id int, text string").repartition(4)
+    table = tokens.piece_tokens(df).checkpoint()
+    assert table.select("piece").distinct().count() == table.count()
+    assert all(r.tokens == len(encoding.encode_ordinary(r.piece)) for r in table.collect())
+    want = {i: len(encoding.encode_ordinary(t or "")) for i, t in rows}
+    for most in (None, 3):  # looked up in a broadcast table, and by a shuffle on the pieces
+        got = tokens.with_piece_tokens(df, table, most=most).collect()
+        assert {r.id: r.tokens for r in got} == want and len(got) == len(rows)
+        assert {r.found_lang for r in got if r.id == len(rows) - 1} == {"en"}
+    empty = df.limit(0)
+    assert tokens.with_piece_tokens(empty, tokens.piece_tokens(empty).checkpoint()).count() == 0
+
+
+def test_counts_beyond_the_old_field(monkeypatch):
+    """A text of more tokens than 24 bits hold keeps its count and its language."""
+    c = tokens.counter()
+    c.count([" the"])
+    packed = (c.known[" the"]) * 20_000_000
+    assert packed & ((1 << tokens._SHIFT) - 1) == 20_000_000 and tokens.language_of(packed) == "en"
