@@ -1,6 +1,7 @@
 """Noise in text from scanned pages: a noisy channel and page furniture, both learned from the corpus.
 
-1. Every text is counted once: the texts that hold a word, two neighbouring words or a compound, and the shapes of short lines
+1. Every distinct text is counted once (copies share its weight): the texts that hold a word, two
+   neighbouring words or a compound, and the shapes of short lines
    that stand by themselves, with how often a line of that shape interrupts a sentence.
 2. Words whose glyphs are made of the same strokes are joined on that stroke key; where one is far
    rarer, the aligned glyph groups are confusions.  Their probabilities are estimated from all such
@@ -278,10 +279,22 @@ def words_of(low: str) -> list[str]:
 # --- counting ----------------------------------------------------------------------------------
 
 
+#: Most digests of repeated texts that are broadcast; more are joined by a shuffle.
+MOST_COPIED = 1_000_000
+
+
+def weighted(keyed: DataFrame) -> DataFrame:
+    """(t, weight) of (tkey, t) rows: copies of a text share the weight 1.  Only digests are shuffled,
+    and only those of repeated texts come back."""
+    copies = keyed.groupBy("tkey").agg(F.count("*").alias("copies")).where("copies > 1").checkpoint()
+    few = copies.limit(MOST_COPIED + 1).count() <= MOST_COPIED
+    return keyed.join(F.broadcast(copies) if few else copies, "tkey", "left").select("t", (1.0 / F.coalesce("copies", F.lit(1))).alias("weight"))
+
+
 def corpus_counts(texts: DataFrame) -> DataFrame:
-    """(kind, a, b, n) over all texts: ``w`` words, ``p`` pairs, ``c`` compounds written in a line,
-    ``j`` words that broken or spaced-out ones would give, ``s`` and ``k`` shapes of lone lines and
-    those of them that interrupt a sentence."""
+    """(kind, a, b, n) over all (t, weight) texts: ``w`` words, ``p`` pairs, ``c`` compounds written in
+    a line, ``j`` words that broken or spaced-out ones would give, ``s`` and ``k`` shapes of lone lines
+    and those of them that interrupt a sentence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
@@ -294,36 +307,43 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
             b = [""] * len(words) + [y for _, y in pairs] + [y for _, _, y in rest]
             n = [*words.values(), *pairs.values(), *rest.values()]
             words.clear(), pairs.clear(), rest.clear()
-            return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(n, pa.int64())], names=["kind", "a", "b", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(n, pa.float64())], names=["kind", "a", "b", "n"])
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
+            for t, weight in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 low = lowered(t)
                 for _, _, shape, stops in lone_lines(t):
-                    rest["s", shape, ""] += 1
+                    rest["s", shape, ""] += weight
                     if stops:  # told apart by text, so that copies of one text are no witnesses
-                        rest["k", shape, format(xxhash.xxh32_intdigest(t) % 64)] += 1
+                        rest["k", shape, format(xxhash.xxh32_intdigest(t) % 64)] += weight
                 for m in spaced_words(low):
                     for word in _unspaced(m.group()):
-                        rest["j", word, ""] += 1
+                        rest["j", word, ""] += weight
                 if broken := broken_words(low):  # their pieces are no words
                     parts, at = [], 0
                     for start, end, left, _, _, right in broken:
-                        rest["j", left + right, ""] += 1
+                        rest["j", left + right, ""] += weight
                         parts.append(low[at:start])
                         at = max(at, end)
                     low = " ".join([*parts, low[at:]])
                 if "-" in low:
                     for m in _HYPHEN.finditer(low):
-                        rest["c", low[_letters_before(low, m.start()) : m.start()], m.group(1)] += 1
+                        rest["c", low[_letters_before(low, m.start()) : m.start()], m.group(1)] += weight
                 found = [_normal[w] for w in words_of(low)]
-                words.update(set(found))  # texts that hold it: one long text is one witness
-                pairs.update(set(zip(found, found[1:])))
+                held, beside = set(found), set(zip(found, found[1:]))  # texts that hold it: one long text is one witness
+                if weight == 1.0:
+                    words.update(held)
+                    pairs.update(beside)
+                else:
+                    for w in held:
+                        words[w] += weight
+                    for w in beside:
+                        pairs[w] += weight
                 if len(words) + len(pairs) + len(rest) > _HELD:
                     yield out()
         yield out()
 
-    return texts.mapInArrow(run, "kind string, a string, b string, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "kind string, a string, b string, n double").groupBy("kind", "a", "b").agg(F.round(F.sum("n"), 6).alias("n"))
 
 
 def _unspaced(spaced: str) -> list[str]:
@@ -342,7 +362,7 @@ def _unspaced(spaced: str) -> list[str]:
 
 def vocabulary(counts: DataFrame) -> DataFrame:
     """(word, n): counted words, and words that broken ones would give (0 if never met whole)."""
-    return counts.where("kind in ('w', 'j')").groupBy(F.col("a").alias("word")).agg(F.sum(F.when(F.col("kind") == "w", F.col("n")).otherwise(0)).alias("n"))
+    return counts.where("kind in ('w', 'j')").groupBy(F.col("a").alias("word")).agg(F.sum(F.when(F.col("kind") == "w", F.col("n")).otherwise(0.0)).alias("n"))
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -366,10 +386,10 @@ def near_words(words: DataFrame) -> DataFrame:
             said = pa.array([[f"{s}>{t}" for s, t in ops[i]] for i in rows], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([*took.columns, said], names=[*took.schema.names, "ops"])
 
-    forms = words.mapInArrow(keyed, "key string, word string, n long")
+    forms = words.mapInArrow(keyed, "key string, word string, n double")
     often = forms.where("n > 0").select("key", F.col("word").alias("true"), F.col("n").alias("n_true"))
     both = forms.join(often, (forms.key == often.key) & (often.n_true > RARER * forms.n) & (often.true != forms.word)).select("word", "n", "true", "n_true")
-    return both.distinct().mapInArrow(aligned, "word string, n long, true string, n_true long, ops array<string>")
+    return both.distinct().mapInArrow(aligned, "word string, n double, true string, n_true double, ops array<string>")
 
 
 def confusion_costs(near: DataFrame, words: DataFrame) -> dict[tuple[str, str], float]:
@@ -387,11 +407,11 @@ def confusion_costs(near: DataFrame, words: DataFrame) -> dict[tuple[str, str],
                     for k in range(1, GROUP + 1):
                         total[word[i : i + k]] += n
                 if len(total) > _HELD:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["g", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.float64())], names=["g", "n"])
                     total.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["g", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.float64())], names=["g", "n"])
 
-    seen = words.where("n > 0").select("word", "n").mapInArrow(exposed, "g string, n long").where(F.col("g").isin(groups) if groups else F.lit(False))
+    seen = words.where("n > 0").select("word", "n").mapInArrow(exposed, "g string, n double").where(F.col("g").isin(groups) if groups else F.lit(False))
     exposure = {r["g"]: r["n"] for r in seen.groupBy("g").agg(F.sum("n").alias("n")).collect()}
     return {(s, t): -math.log(min(0.5, (n + 0.5) / (exposure.get(t, 0) + 1.0))) for (s, t), n in used.items()}
 
@@ -404,7 +424,7 @@ def candidates(near: DataFrame, costs: dict[tuple[str, str], float]) -> DataFram
             price = [channel_cost([tuple(o.split(">", 1)) for o in ops], costs) for ops in b.column(4).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(price, pa.float64())], names=["word", "n", "true", "n_true", "cost"])
 
-    all_ = near.mapInArrow(priced, "word string, n long, true string, n_true long, cost double")
+    all_ = near.mapInArrow(priced, "word string, n double, true string, n_true double, cost double")
     own = F.greatest(F.col("n") - 1, F.lit(UNSEEN))
     kept = all_.where(F.log(F.col("n_true") / own) >= F.col("cost") - PAGE_GAIN)
     return kept.groupBy("word", "n").agg(F.array_sort(F.collect_list(F.struct("cost", "true", "n_true"))).alias("found"))
@@ -599,12 +619,13 @@ def find_edits(texts: DataFrame) -> DataFrame:
     spark = texts.sparkSession
     ensure_checkpoint_dir(spark)
     texts = texts.where("t is not null and t <> ''")
-    counts = corpus_counts(texts).checkpoint()
+    keyed = texts.select(F.md5("t").alias("tkey"), "t")
+    counts = corpus_counts(weighted(keyed)).checkpoint()
     words = vocabulary(counts)
     near = near_words(words).checkpoint()
     suspects = candidates(near, confusion_costs(near, words)).checkpoint()
     total = float(counts.where("kind = 'w'").agg(F.sum("n")).first()[0] or 1)
-    events = find_events(texts.select(F.md5("t").alias("tkey"), "t"), suspect_bitmap(suspects)).checkpoint()
+    events = find_events(keyed, suspect_bitmap(suspects)).checkpoint()
 
     shapes = counts.where("kind in ('s', 'k')").groupBy(F.col("a").alias("x")).agg(
         F.sum(F.when(F.col("kind") == "s", F.col("n")).otherwise(0)).alias("lines"), F.sum(F.when(F.col("kind") == "k", F.col("n")).otherwise(0)).alias("stops"),
@@ -622,7 +643,7 @@ def find_edits(texts: DataFrame) -> DataFrame:
     whole = words.where("n > 0").select(F.col("word"), F.col("n"))
     first = suspects.select(F.col("word").alias("x"), F.col("found")[0]["true"].alias("as"), F.col("found")[0]["n_true"].alias("n_as"), F.col("n").alias("n_x"))
     joined = asked.select("x").distinct().join(whole.withColumnRenamed("word", "x"), "x", "left").join(first, "x", "left")
-    joined = joined.select("x", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_as", F.lit(0)).alias("n_as"), "as")
+    joined = joined.select("x", F.coalesce("n", F.lit(0.0)).alias("n"), F.coalesce("n_as", F.lit(0.0)).alias("n_as"), "as")
     compound = counts.where("kind = 'c'").select(F.col("a").alias("l"), F.col("b").alias("r"), F.col("n").alias("compound"))
     judged = (
         parts.join(compound, ["l", "r"], "left")

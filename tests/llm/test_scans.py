@@ -81,6 +81,16 @@ def test_reflow():
     assert S.reflow(lines) == "FACTS\nThe auditors confirmed a balance of that sum on the day named in the lease for all of the mobile homes.\nA new paragraph."
 
 
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_copies_of_a_scan_are_one_witness(spark, monkeypatch, most):
+    """A scan that a third of all rows are copies of does not make its misreadings words."""
+    monkeypatch.setattr(S, "MOST_COPIED", most)
+    scan = "The auditors of tbe office confirmed a balance of tbe sum of hull coatinqs."
+    rows = corpus() + [(20_000 + i, scan) for i in range(120)] + [(30_000, scan + " Order 7.")]
+    got = {r.raw_id: r for r in S.repair_scans(spark.createDataFrame(rows, "raw_id long, text string"), ["raw_id"]).collect()}
+    assert all(20_000 + i in got for i in range(120)) and got[20_005].repaired_text == "The auditors of the office confirmed a balance of the sum of hull coatings."
+
+
 def test_operator(spark):
     odd = "thc taxpayer con-\nsistently held"
     rows = corpus() + [(90, odd), (91, None), (92, ""), (90, odd), (93, "word " * 40_000), (94, "thc auditors " * 5_000 + "confirmed")]
