@@ -97,6 +97,22 @@ class PieceTrie:
             yield piece, count[-1]
 
 
+    def tokens(self, piece: bytes) -> list[bytes]:
+        """The tokens of one piece: the states along its prefixes, read back from its end."""
+        last: list[bytes] = [b""]
+        for end in range(1, len(piece) + 1):
+            for start in range(max(0, end - self.longest), end):
+                token = piece[start:end]
+                if token in self.ranks and (not start or self._may_follow(last[start], token)):
+                    last.append(token)
+                    break
+        out, end = [], len(piece)
+        while end:
+            out.append(last[end])
+            end -= len(last[end])
+        return out[::-1]
+
+
 class TokenCounter:
     """Counts of texts; also how often each language's function words occur."""
 
@@ -145,6 +161,21 @@ class TokenCounter:
             langs.append(language_of(x))
         return counts, langs
 
+    def truncate(self, text: str | None, most: int) -> str:
+        """The beginning of a text that its first ``most`` tokens spell (a character that they spell in
+        part is left out)."""
+        if not text or most <= 0:
+            return ""
+        found, counts = self.pieces(text)
+        total = at = 0
+        for p, n in zip(found, counts):
+            if total + n > most:
+                parts = self.trie.tokens(p.encode("utf-8", "surrogatepass"))[: most - total]
+                return text[:at] + b"".join(parts).decode("utf-8", "ignore")
+            total += n
+            at += len(p)
+        return text
+
     def pieces(self, text: str) -> tuple[list[str], list[int]]:
         """A text's pieces and the tokens of each."""
         found, known, mask = self.split(text), self.known, (1 << _SHIFT) - 1
@@ -157,6 +188,20 @@ class TokenCounter:
         return found, [n & mask for n in counts]
 
 
+def truncated(df, most: int, text: str = "text", path: str = VOCABULARY):
+    """``df`` with its texts cut after their first ``most`` tokens; null texts become empty."""
+    names = df.columns
+    at = names.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = counter(path)
+        for b in batches:
+            cut = pa.array([c.truncate(t, most) for t in b.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([cut if i == at else b.column(i) for i in range(len(names))], names=names)
+
+    return df.mapInArrow(run, df.schema)
+
+
 #: Most rows of a table of pieces that are broadcast, and characters of its partitions' prefixes.
 MOST_PIECES, PREFIX = 1_000_000, 3
 

@@ -83,3 +83,14 @@ def test_counts_beyond_the_old_field(monkeypatch):
     c.count([" the"])
     packed = (c.known[" the"]) * 20_000_000
     assert packed & ((1 << tokens._SHIFT) - 1) == 20_000_000 and tokens.language_of(packed) == "en"
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet=st.characters(exclude_categories=["Cs"]), max_size=80), st.integers(0, 30))
+def test_truncation_is_exact(encoding, text, most):
+    assert tokens.counter().truncate(text, most) == b"".join(encoding.decode_single_token_bytes(t) for t in encoding.encode_ordinary(text)[:most]).decode("utf-8", "ignore")
+
+
+def test_truncate_operator(spark):
+    df = spark.createDataFrame([(1, "one two three four"), (2, None), (3, "")], "id int, text string")
+    assert [(r.id, r.text) for r in tokens.truncated(df, 2).orderBy("id").collect()] == [(1, "one two"), (2, ""), (3, "")]
