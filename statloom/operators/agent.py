@@ -113,6 +113,17 @@ def histogram(df: DataFrame, value: str, lo: float, hi: float, bins: int) -> Dat
     return df.select(F.width_bucket(F.col(value), F.lit(float(lo)), F.lit(float(hi)), F.lit(bins)).alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
 
 
+def comparisons(by_category: DataFrame, by_difficulty: DataFrame, gap: float = 0.2) -> DataFrame:
+    """(kind, subject, value): the best and the worst category, and a drop from easy to hard questions of
+    more than ``gap``; ties by name."""
+    known = by_category.where("recall is not null").select(F.col("category").cast("string").alias("subject"), F.col("recall").alias("value"), "category")
+    end = lambda kind, order: known.orderBy(order, "category").limit(1).select(F.lit(kind).alias("kind"), "subject", "value")
+    rows = end("best_category", F.desc("value")).unionByName(end("worst_category", F.asc("value")))
+    of = lambda k: F.max(F.when(F.col("difficulty") == k, F.col("recall")))
+    drop = by_difficulty.agg((of("easy") - of("hard")).alias("drop")).where(F.col("drop") > gap)
+    return rows.unionByName(drop.select(F.lit("difficulty_drop").alias("kind"), F.lit("hard").alias("subject"), F.round("drop", 6).alias("value")))
+
+
 def recommendations(by_category: DataFrame, totals: DataFrame) -> DataFrame:
     """(kind, subject, value): what the aggregates call for; human review is always advised."""
     low = by_category.where("recall < 0.70").select(F.lit("expand_corpus").alias("kind"), F.col("category").cast("string").alias("subject"), F.round("recall", 6).alias("value"))

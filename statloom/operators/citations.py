@@ -135,6 +135,16 @@ def citation_graph(chunks: DataFrame) -> DataFrame:
     return resolve(typed.withColumnRenamed("doc_type", "source_doc_type"), index)
 
 
+def confident(edges: DataFrame, least: float = 0.5) -> DataFrame:
+    """Edges of at least this confidence; without one they are dropped."""
+    return edges.where(F.col("confidence") >= least)
+
+
+def resolution_report(graph: DataFrame) -> DataFrame:
+    """Resolved and unresolved citations by kind and by the citing document's kind."""
+    return graph.groupBy("kind", "source_doc_type").agg(F.count("target_doc_id").alias("n_resolved"), F.count_if(F.col("target_doc_id").isNull()).alias("n_unresolved"))
+
+
 def best_edges(edges: DataFrame, order: str = "edge_id") -> DataFrame:
     """Of each (source, target, relation) the edge of highest confidence, the first on ties."""
     w = Window.partitionBy("source_doc_id", "target_doc_id", "relation_type").orderBy(F.col("confidence").desc(), order)

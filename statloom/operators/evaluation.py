@@ -102,6 +102,13 @@ def authority_metrics(results: DataFrame, k: int = 10) -> DataFrame:
     )
 
 
+def authority_report(metrics: DataFrame, results: DataFrame) -> DataFrame:
+    """One row over all queries: mean authority metrics, and how many results there are of each kind."""
+    means = metrics.agg(*[F.round(F.avg(c), 6).alias(f"avg_{c}") for c in ("authority_ndcg", "alignment", "primary_rate")])
+    kinds = results.agg(*[F.count_if(F.lower("doc_type") == k).alias(f"n_{k}") for k in HIERARCHY], F.count_if(~F.coalesce(F.lower("doc_type").isin(*HIERARCHY), F.lit(False))).alias("n_other"))
+    return means.join(kinds)  # one row each
+
+
 def kinds_by_rank(results: DataFrame, ranks: int = 5) -> DataFrame:
     """Rank x kind table with zeros for absent cells of the four kinds."""
     return results.where(F.col("rank") <= ranks).groupBy("rank").pivot("doc_type", list(HIERARCHY)).count().fillna(0, list(HIERARCHY))

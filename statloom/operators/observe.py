@@ -66,6 +66,13 @@ def stage_profile(df: DataFrame, request: str, stage: str, ms: str, order: str)
     return df.groupBy(request, stage).agg(F.round(F.sum(ms), 6).alias("total"), F.min(order).alias("first_seen"), F.count("*").alias("n"))
 
 
+def stage_averages(df: DataFrame, stages: str) -> DataFrame:
+    """Mean, number and share of the time of each stage, from one map (stage to milliseconds) a request."""
+    each = df.select(F.explode(stages).alias("stage", "ms"))
+    per = each.groupBy("stage").agg(F.round(F.avg("ms"), 6).alias("avg"), F.count("*").alias("n"), F.sum("ms").alias("total"))
+    return per.select("stage", "avg", "n", F.round(F.col("total") / F.sum("total").over(Window.partitionBy()), 6).alias("share"))  # a row a stage
+
+
 def window_counts(df: DataFrame, key: str, ts: str, seconds: int, spans: int = 24) -> DataFrame:
     """Requests of a key in the seconds up to each one (all requests count).
 

@@ -253,6 +253,11 @@ def valid_in(day: Column, year: Column) -> Column:
     return day.isNull() | (F.year(day) <= year)
 
 
+def with_relevance(results: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:
+    """Results with their relevance, null where none was given; of several scores the greatest."""
+    return results.join(scores.groupBy(*keys).agg(F.max("relevance").alias("relevance")), keys, "left")
+
+
 def relevant_or_first(scored: DataFrame, threshold: float, floor: int = 10, missing: float = 0.5) -> DataFrame:
     """Rows at or above the threshold, and in any case the first ``floor`` of each query."""
     s = F.coalesce("relevance", F.lit(missing))

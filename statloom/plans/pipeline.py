@@ -59,6 +59,16 @@ def retrieve(
     return ranked(arms(docs, queries, vectors, query_vectors, 2 * top), docs, edges, graph_documents, as_of, top, lo, hi, **how)
 
 
+def retrieve_all(documents: DataFrame, subqueries: DataFrame, top: int = 20, boost: float = 0.1) -> DataFrame:
+    """Sub-queries (query_id, sub_idx, text) searched in one batch and merged by question: one row a
+    document with its best score, raised for each further sub-query that found it.  A sub-query
+    without a text finds nothing and stops no other."""
+    numbered = subqueries.where("text is not null").select(F.to_json(F.struct("query_id", "sub_idx")).alias("sub"), "query_id", "sub_idx", F.col("text").alias("query"))
+    hits = R.bm25(documents, numbered.select(F.col("sub").alias("query_id"), "query"), "doc_id", top).withColumnRenamed("query_id", "sub")
+    found = hits.join(numbered.select("sub", "query_id", "sub_idx"), "sub").drop("sub")
+    return R.merge_subqueries(found, "doc_id", boost)
+
+
 def ingest(raw_statutes: DataFrame, raw_taas: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Raw records to (documents, chunks, edges); each is a lazy plan to be written once."""
     docs = corpus.latest_by(corpus.consolidate(corpus.statutes_to_documents(raw_statutes), corpus.taas_to_documents(raw_taas)), "id", F.col("scraped_at").desc(), F.col("raw_id").desc())

@@ -129,6 +129,10 @@ def citation_graph(spark: SparkSession, d: str) -> DataFrame:
     return g.select(F.col("id").alias("source_chunk_id"), F.col("doc_id").alias("source_doc_id"), "kind", "normalized", "relation_type", "target_doc_id", "target_chunk_id", "confidence")
 
 
+def citation_report(spark: SparkSession, d: str) -> DataFrame:
+    return citations.resolution_report(citations.citation_graph(table(spark, d, "legal_chunks").dropDuplicates(["id"])))
+
+
 def resolve_tiers(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("c")
     cited = table(spark, d, "raw_taas").select(F.explode(F.col("metadata.statutes_cited")).alias("c")).where("c is not null").groupBy("c").agg(F.count("*").alias("n"))
@@ -151,14 +155,14 @@ def edge_bands(spark: SparkSession, d: str) -> DataFrame:
 
 
 def edges_confident(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "resolved_edges").where(F.col("confidence") >= 0.5)
+    e = citations.confident(table(spark, d, "resolved_edges"))
     return e.groupBy("relation_type").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("avg_confidence"))
 
 
 _NAMES = (
     normalize_statutes, normalize_taas, consolidated_counts, consolidated_latest, corpus_counts, length_by_type, chunk_bins, audit_issues, chapter_rollup, ancestry_paths,
     version_in_force, encoding_flags, html_clean, whitespace_norm, dates_extract, iso_dates, cite_statutes, cite_rules, cite_cases_chapters, citation_forms,
-    chunk_subsections, chunk_sections_taa, chunk_corpus, citation_graph, resolve_tiers, edges_once, edges_dedupe, edge_bands, edges_confident,
+    chunk_subsections, chunk_sections_taa, chunk_corpus, citation_graph, citation_report, resolve_tiers, edges_once, edges_dedupe, edge_bands, edges_confident,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
 
@@ -290,6 +294,7 @@ SQL = {
     "chunk_sections_taa": f"WITH {_sections('raw_taas', 'raw_id')} SELECT raw_id, (row_number() OVER (PARTITION BY raw_id ORDER BY place) - 1)::INT AS pos, marker, md5(content) AS content_md5 FROM sections WHERE content <> ''",
     "chunk_corpus": _CHUNKED + " SELECT id, doc_id, level, ancestry, subsection_path, parent_chunk_id, children, citation, effective_date, token_count, text_md5 FROM chunked",
     "citation_graph": "WITH ch AS (SELECT id, any_value(doc_id) AS doc_id, any_value(doc_type) AS doc_type, any_value(text) AS text, any_value(citation) AS citation FROM legal_chunks GROUP BY id), " + _GRAPH + " SELECT id AS source_chunk_id, doc_id AS source_doc_id, kind, normalized, relation_type, target_doc_id, target_chunk_id, confidence FROM graph",
+    "citation_report": "WITH ch AS (SELECT id, any_value(doc_id) AS doc_id, any_value(doc_type) AS doc_type, any_value(text) AS text, any_value(citation) AS citation FROM legal_chunks GROUP BY id), " + _GRAPH + " SELECT kind, ch.doc_type AS source_doc_type, count(target_doc_id) AS n_resolved, count(*) FILTER (target_doc_id IS NULL) AS n_unresolved FROM graph JOIN ch USING (id) GROUP BY 1, 2",
     "resolve_tiers": f"WITH cited AS (SELECT c, count(*) AS n, {_SECTION} AS section FROM ({_CITED}) WHERE c IS NOT NULL GROUP BY c), idx AS (SELECT doc_id, coalesce(min(id) FILTER (ends_with(id, ':0')), min(id)) AS parent_chunk FROM legal_chunks GROUP BY doc_id) SELECT c, n, section, coalesce(a.doc_id, b.doc_id) AS target_doc_id, coalesce(a.parent_chunk, b.parent_chunk) AS target_chunk_id, CASE WHEN a.doc_id IS NOT NULL THEN 1.0 WHEN b.doc_id IS NOT NULL THEN 0.8 ELSE 0.0 END::DOUBLE AS confidence FROM cited LEFT JOIN idx a ON a.doc_id = 'statute:' || section LEFT JOIN idx b ON contains(section, '(') AND b.doc_id = 'statute:' || split_part(section, '(', 1)",
     "edges_once": f"SELECT edge_id, source_doc_id, target_doc_id, relation_type, loaded_at FROM ({_ONCE})",
     "edges_dedupe": f"SELECT source_doc_id, target_doc_id, relation_type, confidence, edge_id FROM ({_ONCE}) WHERE target_doc_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_doc_id, target_doc_id, relation_type ORDER BY confidence DESC, edge_id) = 1",

@@ -16,6 +16,8 @@ from statloom.queries.answers import _ANS, _answers
 from statloom.queries.evaluation import _RM, _ranked
 from statloom.queries.evaluation import SQL as _EVAL
 from statloom.queries.graph import _CH, _E, _graph
+from statloom.queries.graph import SQL as _GRAPHSQL
+from statloom.queries.retrieval import SQL as _RET
 from statloom.queries.retrieval import _Q, _bm25
 from statloom.session import table
 
@@ -182,8 +184,49 @@ def run_report(spark, d):
     return G.run_report(table(spark, d, "raw_taas").select("raw_id"), results, "raw_id")
 
 
+def parameter_grid(spark, d):
+    """Every question with every method and weight."""
+    grid = R.questions(spark).select("query_id", F.explode(F.array(*map(F.lit, ("vector", "keyword", "hybrid", "graph")))).alias("method"))
+    return grid.select("*", F.explode(F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("alpha"))
+
+
+def alpha_best(spark, d):
+    from statloom.queries.retrieval import alpha_grid
+
+    return E.best_of(alpha_grid(spark, d), "alpha", "mrr", "alpha")
+
+
+def authority_report(spark, d):
+    from statloom.queries.evaluation import authority_metrics
+    from statloom.queries.retrieval import _results
+
+    return E.authority_report(authority_metrics(spark, d), _results(spark, d))
+
+
+def stage_averages(spark, d):
+    e = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.sum("value").alias("ms"))
+    maps = e.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "ms"))).alias("stages"))  # five stages
+    return O.stage_averages(maps, "stages")
+
+
+def comparisons(spark, d):
+    from statloom.operators import agent
+    from statloom.queries.evaluation import by_category_difficulty
+
+    both = by_category_difficulty(spark, d)
+    return agent.comparisons(both.where("category is not null").select("category", F.col("mrr").alias("recall")), both.where("difficulty is not null").select("difficulty", F.col("mrr").alias("recall")), -1.0)
+
+
+def chunk_lookup(spark, d):
+    """Two chunks by their ids, as an endpoint asks for them."""
+    v, e = _graph(spark, d)
+    chunks = table(spark, d, "legal_chunks").select("id", "doc_id", "level", "parent_chunk_id").distinct()
+    return graph.chunk_detail(chunks, v, e, ids=LOOKUP)
+
+
+LOOKUP = ["chunk:statute:212.05:0", "chunk:statute:212.05:1"]
 _F = (
-    audit_all, count_maps, json_lines, ids_as_citations, result_scores, result_counts, expand_results, parent_chunks, structure_edges, questions_first, load_summary, errors_by_kind, correction_funnel, issue_types,
+    parameter_grid, alpha_best, authority_report, stage_averages, comparisons, chunk_lookup, audit_all, count_maps, json_lines, ids_as_citations, result_scores, result_counts, expand_results, parent_chunks, structure_edges, questions_first, load_summary, errors_by_kind, correction_funnel, issue_types,
     pr_curve, faithfulness_bins, cache_rules, judge_scores, claim_verdicts, answers_synthesized, corrected_answers, run_report,
 )
 QUERIES = {f.__name__: f for f in _F}
@@ -206,6 +249,12 @@ _PASSED = "CASE WHEN overall_score IS NULL THEN NULL ELSE overall_score >= 7 AND
 _STATUS = "CASE WHEN value > 90 THEN '500' WHEN value > 80 THEN '429' ELSE '200' END"
 
 SQL = {
+    "parameter_grid": f"WITH {_Q} SELECT query_id, method, alpha FROM q, (SELECT unnest(['vector', 'keyword', 'hybrid', 'graph']) AS method), (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS alpha)",
+    "alpha_best": f"SELECT arg_max(alpha, mrr - alpha / 1e9) AS best_alpha, max(mrr) AS best_mrr FROM ({_RET['alpha_grid']})",
+    "authority_report": f"WITH m AS ({_EVAL['authority_metrics']}), r AS (WITH {_bm25(20)} SELECT coalesce(doc_type, 'other') AS t FROM kw JOIN documents USING (doc_id)) SELECT round(avg(authority_ndcg), 6) AS avg_authority_ndcg, round(avg(alignment), 6) AS avg_alignment, round(avg(primary_rate), 6) AS avg_primary_rate, " + ", ".join(f"(SELECT count(*) FROM r WHERE t = '{k}') AS n_{k}" for k in E.HIERARCHY) + ", (SELECT count(*) FROM r WHERE t NOT IN ('statute', 'rule', 'case', 'taa')) AS n_other FROM m",
+    "stage_averages": "WITH s AS (SELECT user_id, event_type AS stage, sum(value) AS ms FROM events GROUP BY 1, 2) SELECT stage, round(avg(ms), 6) AS avg, count(*) AS n, round(sum(ms) / (SELECT sum(ms) FROM s), 6) AS share FROM s GROUP BY stage",
+    "comparisons": f"WITH b AS ({_EVAL['by_category_difficulty']}), c AS (SELECT category, mrr FROM b WHERE category IS NOT NULL) SELECT * FROM (SELECT 'best_category' AS kind, category::VARCHAR AS subject, mrr AS value FROM c ORDER BY mrr DESC, category LIMIT 1) UNION ALL SELECT * FROM (SELECT 'worst_category', category::VARCHAR, mrr FROM c ORDER BY mrr, category LIMIT 1) UNION ALL SELECT 'difficulty_drop', 'hard', round(max(mrr) FILTER (difficulty = 'easy') - max(mrr) FILTER (difficulty = 'hard'), 6) FROM b",
+    "chunk_lookup": f"SELECT * FROM ({_GRAPHSQL['chunk_detail']}) WHERE id IN ('{LOOKUP[0]}', '{LOOKUP[1]}')",
     "audit_all": "WITH i AS (SELECT 'taa' AS kind, unnest(list_filter([CASE WHEN row_number() OVER (PARTITION BY replace(coalesce(metadata.taa_number, ''), ' ', '_') ORDER BY raw_id) > 1 THEN 'duplicate_id' END, CASE WHEN length(t) < 50 THEN 'empty_or_short_text' END, "
     + ", ".join(f"CASE WHEN {_BL('metadata.' + c)} THEN 'missing_field:{c}' END" for c in ("taa_number", "title"))
     + ", CASE WHEN coalesce(len(metadata.statutes_cited), 0) = 0 THEN 'no_statutes_cited' END, CASE WHEN coalesce(len(metadata.rules_cited), 0) = 0 THEN 'no_rules_cited' END, "

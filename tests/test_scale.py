@@ -104,3 +104,18 @@ def test_expansion_of_results(spark):
     results = spark.createDataFrame([(1, 1, "c:a:1"), (1, 2, "c:b:0")], "query_id int, rank int, id string")
     got = {(r["rank"], r.source, r.position, r.item) for r in graph.expand_results(results, chunks, verts, graph.linked(raw, verts), raw).collect()}
     assert got == {(1, "parent", 1, "c:a:0"), (1, "context", 1, "b"), (1, "related", 1, "c:b:0"), (2, "related", 1, "c:a:0")}
+
+
+def test_subqueries_in_one_batch(spark):
+    from statloom.plans import pipeline
+
+    docs = spark.createDataFrame([(1, "fuel tax"), (2, "boat lease"), (3, "fuel lease")], "doc_id long, text string")
+    subs = spark.createDataFrame([(1, 0, "fuel"), (1, 1, "lease"), (1, 2, None), (2, 0, "boat")], "query_id int, sub_idx int, text string")
+    got = {(r.query_id, r.doc_id): (r.matches, r.matched) for r in pipeline.retrieve_all(docs, subs).collect()}
+    assert got == {(1, 1): (1, "0"), (1, 2): (1, "1"), (1, 3): (2, "0,1"), (2, 2): (1, "0")}
+
+
+def test_relevance_is_joined_and_missing_stays(spark):
+    r = spark.createDataFrame([(1, "a"), (1, "b")], "query_id int, item string")
+    s = spark.createDataFrame([(1, "a", 0.2), (1, "a", 0.7)], "query_id int, item string, relevance double")
+    assert {x.item: x.relevance for x in R.with_relevance(r, s, ["query_id", "item"]).collect()} == {"a": 0.7, "b": None}
