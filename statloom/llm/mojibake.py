@@ -90,7 +90,7 @@ class Model:
     def description_length(self, text: str) -> int:
         """Bytes of the text under the language dictionary that fits it best; a sign outside the
         dictionary's alphabet has to be spelled out, which costs ``ESCAPE_COST`` more."""
-        data, signs = _wide(text), [c for c in text if c > "\x7f"]
+        data, signs = _wide(text), [c for c in text if c > "\x7f" and c != "\u00a0"]
         return min((len(c.compress(data)) + ESCAPE_COST * sum(s not in alphabet for s in signs) for c, alphabet in self.languages), default=len(data))
 
     def suspicious(self, run: str) -> bool:
@@ -247,7 +247,7 @@ def _candidates(runs: list[re.Match], text: str, model: Model) -> list[tuple[int
         while True:
             new = [d if (d := decoded(r, step, *a)) is not None else r for r, a in zip(now, around)]
             if step[1] != "utf-8":
-                new = [n if all(c in model.alphabet for c in n) else o for n, o in zip(new, now)]
+                new = [n if all(c in model.alphabet or c == "\u00a0" for c in n) else o for n, o in zip(new, now)]
             if new == now:
                 break
             layer += 1

@@ -227,8 +227,8 @@ class _Context:
 
     def stands(self, start: int, end: int) -> bool:
         """Does the span stand for content rather than being reported by its sentence?"""
-        lo, hi = self.sentence(start, end)
-        sentence, span = self.text[lo:hi].strip(), end - start
+        lo, hi = self.sentence(start, start)  # of several sentences the first one tells
+        sentence, span = self.text[lo:hi].strip(), min(end, hi) - start
         if span >= MOST_OF * len(sentence):
             return True
         before = self.text[lo:start].strip()

@@ -60,6 +60,8 @@ UNSEEN, BACKOFF = 0.05, 50.0
 #: A shape of line is furniture if this share of its lines, and those of ``LEAST_TEXTS`` different
 #: texts, interrupt a sentence.
 LEAST_INTERRUPTING, LEAST_TEXTS = 0.2, 2
+#: Words that no running line has.
+RUNNING_WORDS = 10
 #: Size of the bitmap of suspects.
 BITMAP_BITS = 1 << 26
 #: Words whose class a worker remembers between texts (only a cache).
@@ -211,7 +213,7 @@ def lone_lines(text: str) -> list[tuple[int, int, str, bool]]:
     last = len(raw) - 1
     for i, s in enumerate(stripped):
         n = len(s)
-        if not n or n > 80 or (s[0].islower() and n > 12 and not s[:3].startswith(("p.", "pg"))):
+        if not n or n > 80 or s.count(" ") >= RUNNING_WORDS or (s[0].islower() and n > 12 and not s[:3].startswith(("p.", "pg"))):
             continue
         after = stripped[i + 1] if i < last else ""
         if after and i and stripped[i - 1] and n + 1 + len(after.split(" ", 1)[0]) > width - 2:
@@ -258,7 +260,7 @@ def broken_words(text: str) -> list[tuple[int, int, str, str, str, str]]:
         while k > 0 and text[k] in " \t\r":
             k -= 1
         last = text[k]
-        if not last.isalnum() and last not in _NO_MARK:  # a mark of up to six signs ends here
+        if not (last.isascii() and last.isalnum()) and last not in _NO_MARK:  # a mark of up to six signs ends here
             for back in range(max(0, k - 6), k + 1):
                 if (m := _LINE_MARK.match(text, back)) and m.end(1) == k + 1:
                     left = _letters_before(text, m.start())
