@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -60,8 +61,8 @@ UNSEEN, BACKOFF = 0.05, 50.0
 #: A shape of line is furniture if this share of its lines, and those of ``LEAST_TEXTS`` different
 #: texts, interrupt a sentence.
 LEAST_INTERRUPTING, LEAST_TEXTS = 0.2, 2
-#: Words that no running line has.
-RUNNING_WORDS = 10
+#: Words that no running line has, and most lines of a title.
+RUNNING_WORDS, TITLE_LINES = 10, 30
 #: Size of the bitmap of suspects.
 BITMAP_BITS = 1 << 26
 #: Words whose class a worker remembers between texts (only a cache).
@@ -75,7 +76,7 @@ _SOUND = "’‘“”—–…§½¼¾°¢£€ «»¿¡•" + SOFT
 _WORD = re.compile(r"[^\W_]+(?:[|!][^\W_]+)*")
 _PLAIN = re.compile(r"\w+")
 _HYPHEN = re.compile(r"-(?<=[^\W\d_]-)(?=([^\W\d_]+))")
-_LINE_MARK = re.compile(r"(?<=[^\W\d_])([-­¬‐‑]|[^\w\s.,;:!?)\]”’\"'(]{1,6}|[^\x00-\x7f]{1,6}\??|\?)[ \t]*\r?\n((?:[^\n]{0,80}\n)*?)[ \t]*([^\W\d_]+)")
+_LINE_MARK = re.compile(r"(?<=[^\W\d_])([-­¬‐‑]|[^\w\s.,;:!?)\]”’\"'(]{1,6}|[^\x00-\x7f]{1,6}\??|\?)[ \t]*\r?\n((?:[^\n]{0,80}\n){0,8}?)[ \t]*([^\W\d_]+)")  # up to eight lines between
 _NO_MARK = frozenset(".,;:!)]”’\"'(")
 _MAY_BE_SPACED = re.compile(r"[ \n]\w[ \n]\w[ \n]\w(?!\w)")
 _SPACED = re.compile(r"(?<![^\s(“\"])(?:[^\W\d_](?: |\n)){3,}[^\W\d_](?![^\s.,;:)”])")
@@ -221,25 +222,24 @@ def lone_lines(text: str) -> list[tuple[int, int, str, bool]]:
         lone.append(i)
     out = []
     isolated = set(lone)
-    before = ""
+    body = [i for i, s in enumerate(stripped) if s and i not in isolated]
+    before, heads, k = "", 0, 0
     for i in lone:
         s = stripped[i]
-        a = i - 1
-        while a >= 0 and (a in isolated or not stripped[a]):
-            a -= 1
-        b = i + 1
-        while b <= last and (b in isolated or not stripped[b]):
-            b += 1
+        while k < len(body) and body[k] < i:
+            k += 1
+        a, b = body[k - 1] if k else -1, body[k] if k < len(body) else last + 1
         stops = a >= 0 and b <= last and stripped[a][-1] not in _ENDED and stripped[b][0].islower()
         shape = shape_of(s, before)
         if shape in ("#", "roman"):  # lists of numbers
-            near = [stripped[k] for k in (i - 1, i + 1) if 0 <= k <= last]
+            near = [stripped[x] for x in (i - 1, i + 1) if 0 <= x <= last]
             if any(_NUMBERED.sub("#", x) == "#" for x in near) or (i and stripped[i - 1].endswith(":")) or len(s) > 4:
                 shape += " in a list"
         start = raw[i][0] + raw[i][1].index(s)
         out.append((start, start + len(s), shape, stops))
-        if a < 0:  # the title block: what stands before the first line of the body
+        if a < 0 and body and heads < TITLE_LINES:  # the title block: what stands before the first line of the body
             before += "\n" + s.lower()
+            heads += 1
     return out
 
 
@@ -697,13 +697,13 @@ def _joined_like(seen: str, word: str) -> str:
 def apply_edits(text: str, edits: list[tuple[int, int, str, str, bool]]) -> tuple[str, Counter]:
     """The repaired text, and how many traces of each kind were taken out."""
     kinds: Counter = Counter()
-    gone = [(s, e) for s, e, _, kind, _ in edits if kind == "furniture"]
+    gone = sorted((s, e) for s, e, _, kind, _ in edits if kind == "furniture")
     chosen: list[tuple[int, int, str, str]] = []
     for s, e, new, kind, alone in sorted(set(edits), key=lambda x: (x[3] != "broken", x[0], -x[1])):
         if kind == "broken":
             if not alone:
                 between = text[text.index("\n", s) : e]
-                at, inside = text.index("\n", s), [(a, b) for a, b in gone if s < a and b < e]
+                at, inside = text.index("\n", s), [x for x in gone[bisect_left(gone, (s, 0)) : bisect_left(gone, (e, 0))] if x[1] < e]
                 left = "".join(c for i, c in enumerate(between, at) if not any(a <= i < b for a, b in inside))
                 if len(re.findall(r"\S+", left)) != 1:  # text stands between
                     continue

@@ -105,3 +105,10 @@ def test_operator(spark):
     assert found.count(90) == 2 and 91 not in found
     empty = df.limit(0)
     assert S.repair_scans(empty, ["raw_id"]).count() == 0 and S.find_scans(empty, ["raw_id"]).count() == 0
+
+
+def test_long_odd_texts_take_linear_time():
+    none = lambda w: False
+    for text in ("1\n" * 200_000, "5a-\n" * 100_000, "TITLE 1\n" * 100_000 + "and a body line that is long enough to be one of the text\n" * 3, "a b c d " * 50_000, "x\f" * 100_000, "-" * 300_000, "a¬\n" * 50_000):
+        S.text_events(text, none)
+        S.lone_lines(text)
