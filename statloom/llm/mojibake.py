@@ -86,12 +86,21 @@ class Model:
             self.languages.append((zstandard.ZstdCompressor(compression_params=params, **given), frozenset(alphabet)))
         self.alphabet = frozenset().union(*(a for _, a in self.languages))
         self.runs, self.common = runs, frozenset(common)
+        self._lengths: dict[str, int] = {}
 
     def description_length(self, text: str) -> int:
         """Bytes of the text under the language dictionary that fits it best; a sign outside the
         dictionary's alphabet has to be spelled out, which costs ``ESCAPE_COST`` more."""
+        known = self._lengths.get(text)
+        if known is not None:
+            return known
         data, signs = _wide(text), [c for c in text if c > "\x7f" and c != "\u00a0"]
-        return min((len(c.compress(data)) + ESCAPE_COST * sum(s not in alphabet for s in signs) for c, alphabet in self.languages), default=len(data))
+        length = min((len(c.compress(data)) + ESCAPE_COST * sum(s not in alphabet for s in signs) for c, alphabet in self.languages), default=len(data))
+        if len(text) < 50:  # windows of single places come again and again
+            if len(self._lengths) > 100_000:
+                self._lengths.clear()
+            self._lengths[text] = length
+        return length
 
     def suspicious(self, run: str) -> bool:
         return any(c not in self.common for c in run)

@@ -34,7 +34,7 @@ BALANCE = 2.0
 
 _MARKER = regex.compile(r"(?:\r\n|\n|\r)[ \t]*(?=\((?:\d{1,3}|[A-Za-z]{1,4})\)|(?:SECTION|Section|§)\s*\d|\d{1,3}\.[ \t]|[A-Z][A-Z’' \t&-]{3,60}(?:[\r\n]|$))")
 _BLANK_LINE = regex.compile(r"(?:\r\n|\n|\r)[ \t]*(?:(?:\r\n|\n|\r)[ \t]*)+")
-_LINE = regex.compile(r"\r\n|\n|\r")
+_LINE, _LINES = regex.compile(r"\r\n|\n|\r"), regex.compile(r"(?:\r\n|\n|\r)+")
 _SENTENCE = regex.compile(r"(?<!\b(?:s|ss|v|vs|No|Inc|Corp|Co|Stat|Fla|ch|art|Mr|Mrs|Dr|St|F|A|C|S|U|p|pp)\.)(?<=[.!?。！？][\"”’»)\]]{0,3})\s+(?=[\"“‘«(\[§¿¡]*[\p{Lu}\p{Lo}\d])")
 _CLAUSE = regex.compile(r"(?<=[;:—,])\s+")
 _WORD = regex.compile(r"\s+")
@@ -58,7 +58,7 @@ def _coarse(text: str) -> dict[int, str]:
 
 def _fill(text: str, kind: dict[int, str], reach: int) -> dict[int, str]:
     """Adds finer boundaries where neighbouring ones are more than ``reach`` apart."""
-    for name, pattern in (("clause", _CLAUSE), ("line", _LINE), ("word", _WORD)):
+    for name, pattern in (("clause", _CLAUSE), ("line", _LINES), ("word", _WORD)):
         at = [0, *sorted(kind), len(text)]
         for lo, hi in zip(at, at[1:]):
             if hi - lo > reach:
