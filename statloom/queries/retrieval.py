@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions import text as T
-from statloom.operators import graph
+from statloom.operators import graph, vector_index
 from statloom.operators import retrieval as R
-from statloom.session import table
+from statloom.session import ensure_checkpoint_dir, table
 
 AS_OF = "2025-06-30"
 
@@ -36,6 +38,20 @@ def vector_topk(spark, d):
     return _vec(spark, d).select("query_id", "vec_id", "score")
 
 
+def _indexed(spark, d):
+    """The index of all vectors, in the shared folder, its results for every 20th vector, and the exact ones."""
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
+    index = vector_index.build(v, 64, f"{ensure_checkpoint_dir(spark)}/vectors-{uuid.uuid4().hex}")
+    index = vector_index.tuned_probes(spark, index, v)
+    return index, vector_index.search(spark, index, v.where("vec_id % 20 = 0")), R.vector_top_k(v, v.where("vec_id % 20 = 0"))
+
+
+def vector_index_recall(spark, d):
+    """Recall of the index against brute force: at least 0.9 for every 20th vector."""
+    _, found, exact = _indexed(spark, d)
+    return vector_index.recall(found, exact).select("n_queries", (F.col("recall") >= 0.9).alias("reached"))
+
+
 def _subscores(spark, d):
     """Both arms over documents: the vector of a document is the one of equal number."""
     kw = R.bm25(table(spark, d, "documents"), R.questions(spark).withColumn("query_id", F.col("query_id") * 20), "doc_id", 20)
@@ -128,7 +144,7 @@ def query_gate(spark, d):
     return R.questions(spark).select("query_id", T.needs_splitting(F.col("query")).alias("split"), T.query_year(F.col("query"), 2025).alias("year"))
 
 
-_F = (bm25_topk, vector_topk, hybrid_fusion, rerank_full, boost_terms, date_filter, temporal_valid, relevance_floor10, multi_merge, first_wins, expand_boost, alpha_grid, resume_anti, embed_verify, embed_cache_key, query_gate)
+_F = (bm25_topk, vector_topk, vector_index_recall, hybrid_fusion, rerank_full, boost_terms, date_filter, temporal_valid, relevance_floor10, multi_merge, first_wins, expand_boost, alpha_grid, resume_anti, embed_verify, embed_cache_key, query_gate)
 QUERIES = {f.__name__: f for f in _F}
 
 _Q = "q AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in R.QUESTIONS) + ") AS t(query_id, query))"
@@ -160,6 +176,7 @@ _SUB = f"WITH {_bm25(20)}, s AS (SELECT ((query_id - 1) // 3)::INT AS query_id,
 SQL = {
     "bm25_topk": f"WITH {_bm25(10)} SELECT query_id, doc_id, score FROM kw",
     "vector_topk": f"WITH {_vsql(10)} SELECT query_id, vec_id, score FROM vec",
+    "vector_index_recall": "SELECT count(*) AS n_queries, true AS reached FROM embeddings WHERE vec_id % 20 = 0",
     "hybrid_fusion": f"{_ARMS}, f AS (SELECT query_id, doc_id, round(0.5 * v + 0.5 * k, 9) AS score FROM j) SELECT query_id, doc_id, score FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 20",
     "alpha_grid": f"{_ARMS}, g AS (SELECT j.*, alpha, round(alpha * v + (1 - alpha) * k, 9) AS score, coalesce(a.label = b.label, false) AS hit FROM j LEFT JOIN embeddings a ON a.vec_id = j.doc_id LEFT JOIN embeddings b ON b.vec_id = j.query_id, (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS alpha)), r AS (SELECT *, row_number() OVER (PARTITION BY alpha, query_id ORDER BY score DESC, doc_id) AS rank FROM g), p AS (SELECT alpha, query_id, coalesce(1.0 / min(rank) FILTER (hit), 0) AS rr FROM r GROUP BY 1, 2) SELECT alpha, round(avg(rr), 6) AS mrr FROM p GROUP BY alpha",
     "rerank_full": f"WITH {_bm25(20)}, r AS (SELECT kw.*, coalesce(doc_type, 'other') AS doc_type, effective_date, coalesce(section, 'row:' || doc_id) AS sec FROM kw JOIN documents USING (doc_id)) SELECT query_id, doc_id AS item, round(greatest(0, score * {_WEIGHT} * CASE WHEN effective_date IS NULL THEN 1.0 WHEN {_AGE} <= 0 THEN 1.1 WHEN {_AGE} >= 10 THEN 0.9 ELSE 1.1 - 0.2 * {_AGE} / 10 END - 0.1 * (row_number() OVER (PARTITION BY query_id, sec ORDER BY rank) - 1)), 9) AS new_score FROM r",

@@ -119,3 +119,23 @@ def test_relevance_is_joined_and_missing_stays(spark):
     r = spark.createDataFrame([(1, "a"), (1, "b")], "query_id int, item string")
     s = spark.createDataFrame([(1, "a", 0.2), (1, "a", 0.7)], "query_id int, item string, relevance double")
     assert {x.item: x.relevance for x in R.with_relevance(r, s, ["query_id", "item"]).collect()} == {"a": 0.7, "b": None}
+
+
+def test_vector_index(spark, tmp_path):
+    from statloom.operators import vector_index as V
+
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 16))
+    m = centres[rng.integers(0, 12, 3000)] + rng.normal(size=(3000, 16)) * 0.3
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(5000, None), (5001, [1.0]), (5002, [0.0] * 16), (7, [float(x) for x in m[7]])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    index = V.tuned_probes(spark, V.build(df, 16, str(tmp_path / "i")), df.where("size(embedding) = 16"))
+    assert index.read(spark).count() == len(rows) and 1 <= index.probes < len(index.cells)
+    asked = df.where("vec_id % 20 = 0 and vec_id < 3000")
+    got = V.recall(V.search(spark, index, asked), R.vector_top_k(df.where("size(embedding) = 16"), asked)).first()
+    assert got.n_queries == 150 and got.recall >= 0.9
+    whole = V.search(spark, index, asked, probes=10_000)
+    assert sorted(map(tuple, whole.select("query_id", "vec_id", "score").collect())) == sorted(map(tuple, R.vector_top_k(df.where("size(embedding) = 16"), asked).select("query_id", "vec_id", "score").collect()))
+    assert V.search(spark, index, asked.limit(0)).count() == 0
+    empty = V.build(df.limit(0), 16, str(tmp_path / "e"))
+    assert V.search(spark, empty, asked).count() == 0
