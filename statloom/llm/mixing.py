@@ -35,6 +35,8 @@ from statloom.session import ensure_checkpoint_dir
 #: Tokens of a block, slots of an output shard, and hash ranges of a source (shards of a range too).
 BLOCK_TOKENS, SHARD_SLOTS, RANGES = 256, 1024, 1024
 SEED = 42
+#: Slots written by one task.
+SLOTS_A_TASK = 1_000_000
 #: Most targets: the table of targets is a fixed, small one.
 MOST_TARGETS = 10_000
 
@@ -155,7 +157,8 @@ def shard_slots(spark: SparkSession, plan: pd.DataFrame, seed: int = SEED, size:
                     out[mine] = permuted(place[mine] % blocks[no], blocks[no], seed + no * 1_000_003 + int(turn))
                 yield pd.DataFrame({"source_no": np.full(len(place), no, np.int32), "block": out, "shard": np.full(len(place), shard, np.int64)})
 
-    return runs.mapInPandas(placed, "source_no int, block long, shard long")
+    # a row is many slots: as many tasks as there are slots to write, not bytes to read
+    return runs.repartition(max(1, total // SLOTS_A_TASK), "shard", "source_no").mapInPandas(placed, "source_no int, block long, shard long")
 
 
 def mix_spans(spark: SparkSession, documents: DataFrame, targets: DataFrame, path: str = VOCABULARY, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
