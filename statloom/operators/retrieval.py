@@ -51,7 +51,7 @@ def postings(documents: DataFrame, key: str, text: str = "text", only: list[str]
     listed = documents.select(F.col(key), terms(F.col(text)).alias("t")).withColumn("dl", F.size("t"))
     if only is not None:
         listed = listed.withColumn("t", F.filter("t", lambda x: x.isin(*only)) if only else F.array().cast("array<string>"))
-    counted = F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.size(F.filter("t", lambda y: y == x)).alias("tf")))
+    counted = F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), (F.size("t") - F.size(F.array_remove("t", x))).alias("tf")))
     return listed.select(key, "dl", F.inline(counted))
 
 
