@@ -206,25 +206,40 @@ def degrees(edges: DataFrame) -> DataFrame:
     return out.groupBy("id").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
-def shortest_paths(edges: DataFrame, source: str, max_hops: int = 4) -> DataFrame:
-    """Shortest undirected paths from one vertex to all within ``max_hops``; of equal paths the
-    lexicographically least.  Breadth first: one join per hop against the newest ring only, and each
-    ring is cut off from its lineage by a checkpoint, so the plan does not grow with the hops."""
+def shortest_paths(edges: DataFrame, sources: list[str], max_hops: int = 4) -> DataFrame:
+    """(source, id, hops, path): shortest undirected paths from each source to all vertices within
+    ``max_hops``; of equal paths the lexicographically least.  Breadth first from all sources at once:
+    one join per hop against the newest ring only, and each ring is cut off from its lineage by a
+    checkpoint, so the plan does not grow with the hops."""
     from statloom.session import ensure_checkpoint_dir
 
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
     both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    reached = spark.createDataFrame([(source, 0, [source])], "id string, hops int, path array<string>")
+    reached = spark.createDataFrame([(s, s, 0, [s]) for s in dict.fromkeys(sources)], "source string, id string, hops int, path array<string>")
     ring = reached
     for hop in range(1, max_hops + 1):
-        step = ring.join(both, ring["id"] == both["src"]).select(F.col("dst").alias("id"), F.array_append("path", F.col("dst")).alias("path"))
-        best = step.join(reached.select("id"), "id", "left_anti").groupBy("id").agg(F.min("path").alias("path"))
-        ring = best.select("id", F.lit(hop).alias("hops"), "path").checkpoint()
+        step = ring.join(both, ring["id"] == both["src"]).select("source", F.col("dst").alias("id"), F.array_append("path", F.col("dst")).alias("path"))
+        best = step.join(reached.select("source", "id"), ["source", "id"], "left_anti").groupBy("source", "id").agg(F.min("path").alias("path"))
+        ring = best.select("source", "id", F.lit(hop).alias("hops"), "path").checkpoint()
         reached = reached.unionByName(ring)
     return reached
 
 
+def path_segments(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """(source, id, step, src, dst, relation, forward): the edge behind each step of a path, with its
+    direction; an edge along the path goes before one against it, then the first relation counts."""
+    steps = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(i.alias("step"), F.element_at("path", i).alias("a"), F.element_at("path", i + 1).alias("b")))
+    each = paths.where("hops > 0").select("source", "id", F.inline(steps))
+    e = edges.groupBy("src", "dst").agg(F.min("relation").alias("relation"))
+    along = e.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(True).alias("forward"), "relation")
+    against = e.select(F.col("dst").alias("a"), F.col("src").alias("b"), F.lit(False).alias("forward"), "relation")
+    one = along.unionAll(against).groupBy("a", "b").agg(F.max_by(F.struct("forward", "relation"), "forward").alias("s"))
+    found = each.join(one, ["a", "b"])
+    ends = lambda x, y: F.when(F.col("s.forward"), F.col(x)).otherwise(F.col(y))
+    return found.select("source", "id", "step", ends("a", "b").alias("src"), ends("b", "a").alias("dst"), F.col("s.relation").alias("relation"), F.col("s.forward").alias("forward"))
+
+
 def expansion(verts: DataFrame, edges: DataFrame, most: int = 5) -> DataFrame:
     """Related documents of every document by its kind: a statute's rules, cases and advisements in
     this order; a rule's statutes, then what cites it; a case's cited documents; else both sides."""

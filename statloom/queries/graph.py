@@ -84,9 +84,18 @@ def graph_degrees(spark, d):
     return graph.degrees(_graph(spark, d)[1])
 
 
+def _paths(spark, d):
+    v, e = _graph(spark, d)
+    return graph.shortest_paths(e, ["statute:212.05", v.agg(F.min("id")).first()[0] or ""]), e
+
+
 def shortest_paths(spark, d):
-    p = graph.shortest_paths(_graph(spark, d)[1], "statute:212.05", 3)
-    return p.select("id", "hops", F.array_join("path", ">").alias("path"))
+    """From the most cited statute and from the first document, within four hops."""
+    return _paths(spark, d)[0].select("source", "id", "hops", F.array_join("path", ">").alias("path"))
+
+
+def path_segments(spark, d):
+    return graph.path_segments(*_paths(spark, d))
 
 
 def expansion_top5(spark, d):
@@ -95,7 +104,7 @@ def expansion_top5(spark, d):
 
 _F = (
     graph_vertices, graph_load_report, graph_not_unique, graph_citing, graph_cited, related_top5, impl_chain, impl_chain_lists, authority_rules, chapter_statutes, chunk_parents, chunk_siblings,
-    doc_with_chunks, chunk_detail, citation_contexts, graph_degrees, shortest_paths, expansion_top5,
+    doc_with_chunks, chunk_detail, citation_contexts, graph_degrees, shortest_paths, path_segments, expansion_top5,
 )
 QUERIES = {f.__name__: f for f in _F}
 
@@ -130,9 +139,13 @@ SQL = {
     "graph_degrees": f"WITH {_E} SELECT id, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM (SELECT src AS id, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) GROUP BY id",
     "expansion_top5": f"WITH {_CHAIN}, s AS (SELECT DISTINCT statute AS id, 0 AS side, rule AS other FROM ru UNION SELECT statute, CASE st WHEN 'case' THEN 1 ELSE 2 END, reader FROM rd UNION ALL SELECT id, min(side), other FROM (SELECT src AS id, 0 AS side, dst AS other FROM e WHERE relation IN ('implements','authority') UNION SELECT id, 1, other FROM citing) WHERE id IN (SELECT id FROM v WHERE doc_type = 'rule') GROUP BY id, other UNION ALL SELECT id, 0, other FROM cited WHERE id IN (SELECT id FROM v WHERE doc_type = 'case') UNION ALL SELECT id, 0, other FROM (SELECT * FROM cited UNION SELECT * FROM citing) WHERE id IN (SELECT id FROM v WHERE doc_type = 'taa')) SELECT id, (row_number() OVER (PARTITION BY id ORDER BY side, other) - 1)::INT AS pos, other FROM s QUALIFY pos < 5",
 }
-_RING = ", h{n} AS (SELECT u.dst AS id, min(list_append(p.path, u.dst)) AS path FROM h{m} p JOIN u ON u.src = p.id WHERE u.dst NOT IN (SELECT id FROM r{m}) GROUP BY u.dst), r{n} AS (SELECT * FROM r{m} UNION ALL SELECT id, {n}, path FROM h{n})"
-SQL["shortest_paths"] = (
-    f"WITH {_E}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), h0 AS (SELECT 'statute:212.05' AS id, ['statute:212.05'] AS path), r0 AS (SELECT id, 0 AS hops, path FROM h0)"
-    + "".join(_RING.format(n=n, m=n - 1) for n in (1, 2, 3))
-    + " SELECT id, hops::INT AS hops, array_to_string(path, '>') AS path FROM r3"
+_RING = ", h{n} AS (SELECT p.source, u.dst AS id, min(list_append(p.path, u.dst)) AS path FROM h{m} p JOIN u ON u.src = p.id WHERE NOT EXISTS (SELECT 1 FROM r{m} r WHERE r.source = p.source AND r.id = u.dst) GROUP BY p.source, u.dst), r{n} AS (SELECT * FROM r{m} UNION ALL SELECT source, id, {n}, path FROM h{n})"
+_PATHS = (
+    f"WITH {_E}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), h0 AS (SELECT id AS source, id, [id] AS path FROM (SELECT 'statute:212.05' AS id UNION SELECT min(id) FROM v)), r0 AS (SELECT source, id, 0 AS hops, path FROM h0)"
+    + "".join(_RING.format(n=n, m=n - 1) for n in (1, 2, 3, 4))
+)
+SQL["shortest_paths"] = _PATHS + " SELECT source, id, hops::INT AS hops, array_to_string(path, '>') AS path FROM r4"
+SQL["path_segments"] = (
+    _PATHS + ", st AS (SELECT source, id, unnest(range(1, len(path))) AS step, path FROM r4 WHERE hops > 0), sp AS (SELECT source, id, step::INT AS step, path[step] AS a, path[step + 1] AS b FROM st), ee AS (SELECT src, dst, min(relation) AS relation FROM e GROUP BY 1, 2) "
+    "SELECT source, sp.id, step, CASE WHEN f.src IS NOT NULL THEN a ELSE b END AS src, CASE WHEN f.src IS NOT NULL THEN b ELSE a END AS dst, coalesce(f.relation, g.relation) AS relation, f.src IS NOT NULL AS forward FROM sp LEFT JOIN ee f ON f.src = a AND f.dst = b LEFT JOIN ee g ON g.src = b AND g.dst = a"
 )

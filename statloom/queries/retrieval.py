@@ -55,7 +55,9 @@ def vector_index_recall(spark, d):
 def _subscores(spark, d):
     """Both arms over documents: the vector of a document is the one of equal number."""
     kw = R.bm25(table(spark, d, "documents"), R.questions(spark).withColumn("query_id", F.col("query_id") * 20), "doc_id", 20)
-    vec = _vec(spark, d, 20).withColumnRenamed("vec_id", "doc_id").where("query_id between 20 and 240")
+    v = table(spark, d, "embeddings")
+    asked = v.join(F.broadcast(R.questions(spark).select((F.col("query_id") * 20).cast("long").alias("vec_id"))), "vec_id")
+    vec = R.vector_top_k(v, asked, 20).withColumnRenamed("vec_id", "doc_id")
     return kw.select(F.col("query_id").cast("long"), "doc_id", "score"), vec.select("query_id", "doc_id", "score")
 
 

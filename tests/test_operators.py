@@ -83,7 +83,7 @@ def test_reciprocal_rank(spark, hit, rr):
 
 def test_shortest_paths_on_a_small_graph(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "x"), ("x", "c"), ("c", "d")], "src string, dst string")
-    got = {r.id: (r.hops, r.path) for r in graph.shortest_paths(e, "a", 3).collect()}
+    got = {r.id: (r.hops, r.path) for r in graph.shortest_paths(e, ["a"], 3).collect()}
     assert got["c"] == (2, ["a", "b", "c"]) and got["d"] == (3, ["a", "b", "c", "d"]) and got["a"] == (0, ["a"])
 
 

@@ -139,3 +139,12 @@ def test_vector_index(spark, tmp_path):
     assert V.search(spark, index, asked.limit(0)).count() == 0
     empty = V.build(df.limit(0), 16, str(tmp_path / "e"))
     assert V.search(spark, empty, asked).count() == 0
+
+
+def test_paths_from_several_sources_and_their_segments(spark):
+    e = spark.createDataFrame([("a", "b", "cites"), ("c", "b", "implements"), ("b", "a", "amends"), ("c", "d", "cites")], "src string, dst string, relation string")
+    paths = graph.shortest_paths(e, ["a", "d"], 3)
+    got = {(r.source, r.id): r.hops for r in paths.collect()}
+    assert got == {("a", "a"): 0, ("a", "b"): 1, ("a", "c"): 2, ("a", "d"): 3, ("d", "d"): 0, ("d", "c"): 1, ("d", "b"): 2, ("d", "a"): 3}
+    seg = {(r.source, r.id, r.step): (r.src, r.dst, r.relation, r.forward) for r in graph.path_segments(paths, e).collect()}
+    assert seg["a", "c", 1] == ("a", "b", "cites", True) and seg["a", "c", 2] == ("c", "b", "implements", False) and seg["d", "a", 3] == ("b", "a", "amends", True)
