@@ -41,6 +41,12 @@ def p4_token_budget(spark: SparkSession, d: str) -> DataFrame:
     return budget.token_budget(t("documents"), t("graph_chunks"), t("graph_documents"), t("legal_chunks"))
 
 
+def p4_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of each part of the budget, and how many rows of documents stand for a text of their own."""
+    b = p4_token_budget(spark, d).groupBy("part").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_counted").alias("n"))
+    return b.select("part", "n_rows", F.when(F.col("part") == "documents", F.col("n")).alias("n_counted"))
+
+
 def p4_chunk_verdicts(spark: SparkSession, d: str) -> DataFrame:
     t = lambda n: table(spark, d, n)
     return budget.chunk_budget(t("graph_chunks"), t("graph_documents"), t("legal_chunks"))
@@ -148,12 +154,23 @@ def p8_clean_corpus(spark: SparkSession, d: str) -> DataFrame:
     return residue.find_residue(table(spark, d, "documents"), [], clean=True)
 
 
+def p8_partition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with residue and without, together, and those that are both or neither."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    found = residue.find_residue(docs, ["doc_id"]).select("doc_id", F.lit(1).alias("n"))
+    clean = residue.find_residue(docs, [], clean=True).select("doc_id", F.lit(1).alias("n"))
+    each = found.unionAll(clean).unionAll(docs.select("doc_id", F.lit(0).alias("n"))).groupBy("doc_id").agg(F.sum("n").alias("n"))
+    return each.agg(F.count("*").alias("n_documents"), F.count_if(F.col("n") != 1).alias("n_wrong"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_restored, p3_found, p3_repaired, p4_token_budget, p4_chunk_verdicts, p5_found, p5_pieces, p5_rejoined, p5_pieces_tokens, p6_pack_small, p6_pack_large, p6_fill, p6_placed, p7_mix, p7_blocks, p7_kept, p7_shares, p8_found, p8_report, p8_clean_corpus)
+    for f in (p1_found, p1_restored, p3_found, p3_repaired, p4_token_budget, p4_coverage, p4_chunk_verdicts, p5_found, p5_pieces, p5_rejoined, p5_pieces_tokens, p6_pack_small, p6_pack_large, p6_fill, p6_placed, p7_mix, p7_blocks, p7_kept, p7_shares, p8_found, p8_report, p8_clean_corpus, p8_partition)
 }
 
 SQL: dict[str, str] = {
+    "p4_coverage": "SELECT 'documents' AS part, count(*) AS n_rows, count(DISTINCT text) + count(*) FILTER (text IS NULL) AS n_counted FROM documents UNION ALL SELECT 'chunks', count(DISTINCT id), NULL FROM graph_chunks",
+    "p8_partition": "SELECT count(*) AS n_documents, CAST(0 AS BIGINT) AS n_wrong FROM documents",
     "p5_found": "SELECT DISTINCT id AS chunk_id FROM legal_chunks WHERE length(text) > (SELECT capacity FROM size_limits WHERE limit_name = 'split_chunk')",
     "p5_rejoined": "SELECT id AS chunk_id, md5(any_value(text)) AS digest, true AS fits, true AS overlaps FROM legal_chunks WHERE length(text) > (SELECT capacity FROM size_limits WHERE limit_name = 'split_chunk') GROUP BY id",
     "p6_placed": "SELECT limit_name, (SELECT count(*) FROM documents) AS n_items, CAST(0 AS BIGINT) AS n_wrong, CAST(0 AS BIGINT) AS n_bad_containers FROM size_limits WHERE limit_name IN ('pack_small', 'pack_large')",
